@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relish.functions.vectors import bind
+
 # Whitespace removed by strip(), list markers, texts for missing parts.
 WHITESPACE = " \t\n\r\x0b\f"
 UNKNOWN_NAME = "unknown dish"
@@ -140,9 +142,10 @@ def word_set(col: str | Column) -> Column:
 def word_ngrams(col: str | Column, n: int) -> Column:
     """Distinct word n-grams; shorter texts give their single whole gram."""
     words = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), r"\s+"), lambda w: w != "")
-    size = F.size(words)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(size == 0, F.lit([]).cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        all_grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) == 0, F.lit([]).cast("array<string>")).otherwise(F.array_distinct(all_grams))
+
+    return bind(words, grams)

@@ -10,6 +10,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """V2: inner product."""
     return F.aggregate(
@@ -22,8 +27,8 @@ def norm(a: str | Column) -> Column:
 
 def normalize(a: str | Column) -> Column:
     """V1: unit length; the zero vector stays zero."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return bind(norm(a), lambda n: F.transform(
+        _c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -40,7 +45,7 @@ def mean_pool(tokens: str | Column, mask: str | Column) -> Column:
         pairs, zero,
         lambda acc, p: F.zip_with(acc, p["t"], lambda s, x: s + x.cast("double") * p["m"].cast("double")))
     weight = F.greatest(F.aggregate(_c(mask), F.lit(0.0), lambda s, m: s + m.cast("double")), F.lit(1e-9))
-    return normalize(F.transform(total, lambda x: x / weight))
+    return bind(weight, lambda w: bind(F.transform(total, lambda x: x / w), normalize))
 
 
 def zero_fill(vec: str | Column, dim: int) -> Column:

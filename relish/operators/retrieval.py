@@ -15,6 +15,7 @@ from relish.functions.vectors import normalize, zero_fill
 from relish.operators import cells as cell_ops
 from relish.operators.joins import sum_scores
 from relish.operators.windows import first_per_key, rank_results
+from relish.session import stage
 
 QUERY_ROWS = 4096
 ITEM_ROWS = 16384
@@ -53,9 +54,11 @@ def _block_top_k(k: int, skip_same_id: bool):
 
 def _search_buckets(queries: DataFrame, items: DataFrame, k: int, query_blocks: int, skip_same_id: bool) -> DataFrame:
     """Local top-k of every query in every bucket it was sent to."""
-    q = queries.select("query_id", "vec", "bucket", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"))
+    # fresh column names on both sides: queries and items often come from one table
+    q = queries.select(F.col("query_id").alias("query_id"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"))
     d = items.select(
-        "doc_id", "vec", "bucket", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+        F.col("doc_id").alias("doc_id"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
     id_types = dict(queries.dtypes)["query_id"], dict(items.dtypes)["doc_id"]
     return q.groupBy("bucket", "qb").cogroup(d.groupBy("bucket", "qb")).applyInPandas(
         _block_top_k(k, skip_same_id), f"query_id {id_types[0]}, doc_id {id_types[1]}, score double")
@@ -81,7 +84,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, skip_same_id: bool =
         first = _search_buckets(cell_ops.home_bucket(queries, "vec", cells), placed, k, blocks, skip_same_id)
         floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
         low = F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(float("-inf")))
-        with_floor = queries.join(floors.select("query_id", low.alias("floor")), "query_id", "left").withColumn(
+        floors = stage(floors.select("query_id", low.alias("floor")))
+        with_floor = queries.join(floors, "query_id", "left").withColumn(
             "floor", F.coalesce("floor", F.lit(float("-inf"))))
         routed = cell_ops.visits_scoring(with_floor, "vec", "floor", cells)
     hits = _search_buckets(routed, placed, k, blocks, skip_same_id)
