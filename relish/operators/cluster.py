@@ -1,11 +1,27 @@
-"""Clustering operators (summaries first; algorithms below)."""
+"""Cluster summaries, density clusters, silhouettes, k-means and projection."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relish.operators.windows import first_rows, top_categories, top_category
+from relish.functions.vectors import dot
+from relish.operators.cells import partition_vectors, squared_distances, visits_within
+from relish.operators.filters import acceptable_clusterings
+from relish.operators.graph import components
+from relish.operators.ordering import with_position
+from relish.operators.retrieval import top_k
+from relish.operators.windows import elbow, first_rows, top_categories, top_category
+from relish.session import stage
 
 
 def cluster_summary(df: DataFrame, cluster: str, category: str, name: str, order: str, samples: int = 3) -> DataFrame:
@@ -32,3 +48,303 @@ def representatives(df: DataFrame, cluster: str, category: str, name: str, order
         F.sort_array(F.collect_list(F.struct("rank", F.coalesce(name, F.lit("Unknown")).alias("name")))).alias("s"))
     return top.join(first, cluster, "right").select(
         F.col(cluster).alias("cluster_id"), "top_types", F.transform("s", lambda x: x["name"]).alias("samples"))
+
+
+# ------------------------------------------------------------------ neighbour distances
+
+def k_distances(df: DataFrame, id_col: str, vec: str, k: int = 5, **options) -> DataFrame:
+    """Distance of each point to its ``k``-th nearest point, itself counted as the first.
+
+    The nearest point by distance is the best one by ``2x·y - |y|²``, so the
+    exact inner-product search serves.
+    """
+    v = F.col(vec).cast("array<double>")
+    square = dot(v, v)
+    items = df.select(F.col(id_col).alias("doc_id"), F.concat(v, F.array(square)).alias("vec"))
+    queries = df.select(
+        F.col(id_col).alias("query_id"), F.concat(F.transform(v, lambda x: x * 2), F.array(F.lit(-1.0))).alias("vec"))
+    kth = top_k(queries, items, k, **options).filter(F.col("rank") == k).select("query_id", "doc_id")
+    a = df.select(F.col(id_col).alias("query_id"), v.alias("va"))
+    b = df.select(F.col(id_col).alias("doc_id"), v.alias("vb"))
+    gap = F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y))
+    return kth.join(a, "query_id").join(b, "doc_id").select(
+        F.col("query_id").alias(id_col), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("k_distance"))
+
+
+def estimate_eps(df: DataFrame, id_col: str, vec: str, min_samples: int = 5, plotted: bool = True, **options) -> DataFrame:
+    """Eps at the bend of the descending k-distance curve, one row ``(elbow_pos, eps)``."""
+    return elbow(k_distances(df, id_col, vec, min_samples, **options), "k_distance", id_col, plotted)
+
+
+# ------------------------------------------------------------------ density clusters
+
+def _distances(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray) -> np.ndarray:
+    d = np.sqrt(squared_distances(x, y))
+    d[xi[:, None] == yi[None, :]] = 0.0
+    return d
+
+
+def _vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(pdf["vec"].to_numpy()).astype(np.float64, copy=False), pdf["v"].to_numpy()
+
+
+def _count_neighbours(eps: Sequence[float]):
+    def run(visitors: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        if len(visitors) == 0 or len(home) == 0:
+            return pd.DataFrame({"v": [], "e": [], "n": []})
+        x, xi = _vectors(visitors)
+        y, yi = _vectors(home)
+        d = _distances(x, xi, y, yi)
+        return pd.concat([pd.DataFrame({"v": xi, "e": i, "n": (d <= e).sum(1)}) for i, e in enumerate(eps)])
+
+    return run
+
+
+def _stars(near: np.ndarray, xi: np.ndarray, yi: np.ndarray) -> list[tuple[int, int]]:
+    """Edges joining the connected rows and columns of a block, one per member instead of one per pair."""
+    out: list[tuple[int, int]] = []
+    todo = near.any(1)
+    while todo.any():
+        seed = int(todo.argmax())
+        front = np.zeros(near.shape[0], dtype=bool)
+        front[seed] = True
+        xs, ys = front.copy(), np.zeros(near.shape[1], dtype=bool)
+        while front.any():
+            new_y = near[front].any(0) & ~ys
+            ys |= new_y
+            front = near[:, new_y].any(1) & ~xs
+            xs |= front
+        todo &= ~xs
+        members = np.unique(np.concatenate([xi[xs], yi[ys]]))
+        root = members[0]
+        out.extend((int(root), int(m)) for m in members[1:])
+    return out
+
+
+def _link_neighbours(settings: Sequence[tuple[int, float, int]]):
+    def run(visitors: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        columns = ["g", "kind", "a", "b"]
+        if len(visitors) == 0 or len(home) == 0:
+            return pd.DataFrame({c: [] for c in columns})
+        x, xi = _vectors(visitors)
+        y, yi = _vectors(home)
+        d = _distances(x, xi, y, yi)
+        x_core = [frozenset(c) for c in visitors["core"]]
+        y_core = [frozenset(c) for c in home["core"]]
+        out = []
+        for g, eps, _ in settings:
+            cx = np.fromiter((g in c for c in x_core), bool, len(x_core))
+            cy = np.fromiter((g in c for c in y_core), bool, len(y_core))
+            if not cy.any():
+                continue
+            near = d <= eps
+            out.extend((g, 0, a, b) for a, b in _stars(near[np.ix_(cx, cy)], xi[cx], yi[cy]))
+            # a point that is not core has fewer than min_samples neighbours, so these stay few
+            rows, cols = np.nonzero(near & ~cx[:, None] & cy[None, :])
+            out.extend(zip([g] * len(rows), [1] * len(rows), xi[rows].tolist(), yi[cols].tolist()))
+        return pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def dbscan_many(df: DataFrame, id_col: str, vec: str, settings: Sequence[tuple[int, float, int]],
+                rows_per_bucket: int = 4096) -> DataFrame:
+    """C6 for several ``(setting, eps, min_samples)`` at once: ``(setting, id, cluster)``, noise is -1.
+
+    Points are compared only within buckets reachable at the largest eps.  A
+    block of points returns neighbour counts, then for core points only the
+    edges that join them (not every close pair), so dense regions stay linear.
+    Clusters are numbered by their lowest core point; a border point joins the
+    lowest cluster next to it.
+    """
+    eps_values = sorted({e for _, e, _ in settings})
+    points = stage(df.select(F.col(id_col).cast("long").alias("v"), F.col(vec).cast("array<double>").alias("vec")))
+    home, cells = partition_vectors(points, "v", "vec", rows_per_bucket)
+    visits = visits_within(points, "vec", cells, max(eps_values) + 1e-9)
+    largest = visits.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"] or 1
+    parts = math.ceil(largest / rows_per_bucket)
+    keys = ["bucket", "part"]
+
+    def grid(core: DataFrame | None):
+        extra = [] if core is None else [F.col("core").alias("core")]
+
+        def side(frame: DataFrame, part) -> DataFrame:
+            if core is not None:
+                frame = frame.join(core, "v", "left").withColumn("core", F.coalesce("core", F.lit([]).cast("array<int>")))
+            return frame.select(F.col("v").alias("v"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"), *extra, part.alias("part"))
+
+        x = side(visits, F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+        y = side(home, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys))
+
+    counts = grid(None).applyInPandas(_count_neighbours(eps_values), "v long, e int, n long")
+    totals = counts.groupBy("v", "e").agg(F.sum("n").alias("n"))
+    tested = F.array_compact(F.array(*[
+        F.when((F.col("e") == eps_values.index(e)) & (F.col("n") >= m), F.lit(g)) for g, e, m in settings]))
+    core = stage(totals.select("v", F.explode(tested).alias("g")))
+    links = stage(grid(core.groupBy("v").agg(F.collect_list("g").alias("core"))).applyInPandas(
+        _link_neighbours(settings), "g int, kind int, a long, b long"))
+    rooted = stage(components(core.select("g", "v"), links.filter("kind = 0").select("g", "a", "b")))
+    # clusters in order of their lowest core point, numbered from 0 within each setting
+    placed = with_position(rooted.select("g", "root").distinct(), ["g", "root"], "pos")
+    start = placed.groupBy("g").agg(F.min("pos").alias("p0"))
+    numbers = stage(placed.join(start, "g").select("g", "root", (F.col("pos") - F.col("p0")).alias("cluster")))
+    core_clusters = rooted.join(numbers, ["g", "root"]).select("g", "v", "cluster")
+    border = links.filter("kind = 1").select("g", F.col("a").alias("p"), F.col("b").alias("v")).join(
+        core_clusters, ["g", "v"]).groupBy("g", F.col("p").alias("v")).agg(F.min("cluster").alias("cluster"))
+    found = core_clusters.unionByName(border)
+    every = points.select("v", F.explode(F.array(*[F.lit(g) for g, _, _ in settings])).alias("g"))
+    return every.join(found, ["g", "v"], "left").select(
+        F.col("g").alias("setting"), F.col("v").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 5, **options) -> DataFrame:
+    """Density clusters ``(id, cluster)``; noise is -1."""
+    return dbscan_many(df, id_col, vec, [(0, eps, min_samples)], **options).select(id_col, "cluster")
+
+
+# ------------------------------------------------------------------ silhouette
+
+def _cluster_sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    if len(x) == 0 or len(y) == 0:
+        return pd.DataFrame({"v": [], "own": [], "other": [], "total": []})
+    xv, xi = _vectors(x)
+    yv, yi = _vectors(y)
+    codes, names = pd.factorize(y["cluster"])
+    onehot = np.zeros((len(y), len(names)))
+    onehot[np.arange(len(y)), codes] = 1.0
+    sums = _distances(xv, xi, yv, yi) @ onehot
+    n, k = sums.shape
+    return pd.DataFrame({
+        "v": np.repeat(xi, k), "own": np.repeat(x["cluster"].to_numpy(), k), "other": np.tile(np.asarray(names), n),
+        "total": sums.ravel()})
+
+
+def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster", group: str | None = None,
+                      rows_per_block: int = 4096) -> DataFrame:
+    """Exact Euclidean silhouette of every point, ``(g, id, silhouette)``.
+
+    The mean distance to every cluster needs every pair of points; each pair of
+    row blocks is one task-sized group that returns a sum per point and cluster.
+    """
+    g = F.col(group) if group else F.lit(0)
+    points = df.select(g.cast("int").alias("g"), F.col(id_col).cast("long").alias("v"), F.col(vec).cast("array<double>").alias("vec"),
+                       F.col(cluster).cast("long").alias("cluster"))
+    largest = points.groupBy("g").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"] or 1
+    blocks = math.ceil(largest / rows_per_block)
+    own = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    named = [F.col(c).alias(c) for c in ("g", "v", "vec", "cluster")]
+    x = points.select(*named, own.alias("i"), each.alias("j"))
+    y = points.select(*[F.col(c).alias(c) for c in ("g", "v", "vec", "cluster")], each.alias("i"), own.alias("j"))
+    keys = ["g", "i", "j"]
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _cluster_sums(a, b).assign(g=key[0] if key else 0)[["g", "v", "own", "other", "total"]]
+
+    sums = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(run, "g int, v long, own long, other long, total double")
+    sizes = points.groupBy("g", F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("size"))
+    means = sums.groupBy("g", "v", "own", "other").agg(F.sum("total").alias("total")).join(sizes, ["g", "other"])
+    mine = F.col("own") == F.col("other")
+    scored = means.groupBy("g", "v").agg(
+        F.max(F.when(mine, F.try_divide("total", F.nullif(F.col("size") - 1, F.lit(0))))).alias("a"),
+        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"))
+    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.nullif(F.greatest("a", "b"), F.lit(0.0))), F.lit(0.0))
+    return scored.select("g", F.col("v").alias(id_col), value.alias("silhouette"))
+
+
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str = "cluster", exclude_noise: bool = False,
+               method: str = "exact") -> DataFrame:
+    """Mean silhouette, one row.
+
+    ``exact`` uses Euclidean distances between all points; ``fast`` uses
+    squared distances, which need the cluster centres only.
+    """
+    points = df.filter(F.col(cluster) != -1) if exclude_noise else df
+    if method == "fast":
+        ready = points.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(cluster).cast("double").alias("prediction"))
+        value = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(ready)
+        return df.sparkSession.range(1).select(F.lit(float(value)).alias("silhouette"))
+    if method != "exact":
+        raise ValueError(f"unknown method {method}")
+    return silhouette_points(points, id_col, vec, cluster).agg(F.avg("silhouette").alias("silhouette"))
+
+
+# ------------------------------------------------------------------ parameter sweep
+
+EPS_FACTORS = (0.7, 0.85, 1.0, 1.15, 1.3)
+MIN_SAMPLES = (3, 5, 7, 10)
+
+
+def dbscan_sweep(df: DataFrame, id_col: str, vec: str, eps: float, factors: Sequence[float] = EPS_FACTORS,
+                 min_samples: Sequence[int] = MIN_SAMPLES, **options) -> DataFrame:
+    """One row per setting with clusters, noise and the silhouette without noise (-1 if there is none)."""
+    settings = [(i, eps * f, m) for i, (f, m) in enumerate((f, m) for f in factors for m in min_samples)]
+    labelled = stage(dbscan_many(df, id_col, vec, settings, **options))
+    sizes = labelled.groupBy("setting").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
+        F.count_if(F.col("cluster") == -1).alias("n_noise"))
+    several = sizes.filter("n_clusters > 1").select("setting")
+    clustered = labelled.filter("cluster != -1").join(several, "setting", "left_semi").join(
+        df.select(id_col, F.col(vec).alias("_vec")), id_col)
+    scores = silhouette_points(clustered, id_col, "_vec", "cluster", "setting").groupBy(F.col("g").alias("setting")).agg(
+        F.avg("silhouette").alias("silhouette_score"))
+    table = df.sparkSession.createDataFrame([(g, float(e), m) for g, e, m in settings], "setting int, eps double, min_samples int")
+    return table.join(sizes, "setting").join(scores, "setting", "left").select(
+        "setting", "eps", "min_samples", "n_clusters", "n_noise", (F.col("n_noise") / F.col("n")).alias("noise_ratio"),
+        F.coalesce("silhouette_score", F.lit(-1.0)).alias("silhouette_score"))
+
+
+def best_setting(sweep: DataFrame, eps: float) -> DataFrame:
+    """The acceptable setting with the best silhouette (the first of equals), else ``(eps, 5)``."""
+    best = acceptable_clusterings(sweep).agg(
+        F.max_by(F.struct("eps", "min_samples"), F.struct("silhouette_score", -F.col("setting"))).alias("b"))
+    return best.select(
+        F.coalesce("b.eps", F.lit(float(eps))).alias("eps"), F.coalesce("b.min_samples", F.lit(5)).alias("min_samples"),
+        F.col("b").isNotNull().alias("found"))
+
+
+def sweep_matrix(sweep: DataFrame, eps_values: Sequence[float]) -> DataFrame:
+    """Silhouettes as a matrix of min_samples by eps (columns ``eps_0`` and so on)."""
+    column = F.concat(F.lit("eps_"), (F.array_position(F.array(*[F.lit(float(e)) for e in eps_values]), F.col("eps")) - 1).cast("string"))
+    return sweep.withColumn("_e", column).groupBy("min_samples").pivot(
+        "_e", [f"eps_{i}" for i in range(len(eps_values))]).agg(F.first("silhouette_score"))
+
+
+# ------------------------------------------------------------------ k-means and projection
+
+def _features(df: DataFrame, vec: str) -> DataFrame:
+    return df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
+
+
+def kmeans_sweep(df: DataFrame, vec: str, ks: Sequence[int] = range(5, 21), seed: int = 42) -> DataFrame:
+    """Inertia and (squared-distance) silhouette of a k-means fit for each k."""
+    ready = _features(df, vec).select("features").persist()
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+    rows = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="features").fit(ready)
+        rows.append((int(k), float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(ready)))))
+    ready.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def best_k(sweep: DataFrame) -> int:
+    """K with the best silhouette, the lowest of equals."""
+    return sweep.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k")).first()["k"]
+
+
+def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, output: str = "cluster") -> DataFrame:
+    """Rows with their k-means cluster."""
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=output).fit(_features(df, vec).select("features"))
+    return model.transform(_features(df, vec)).drop("features")
+
+
+def pca_2d(df: DataFrame, vec: str) -> tuple[DataFrame, list[float]]:
+    """C4: the two first principal components ``pc1, pc2`` of each row and their share of variance."""
+    ready = _features(df, vec)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(ready)
+    model = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred.transform(ready))
+    out = model.transform(centred.transform(ready)).withColumn("_p", vector_to_array("pc"))
+    return out.select(*df.columns, F.get("_p", F.lit(0)).alias("pc1"), F.get("_p", F.lit(1)).alias("pc2")), [
+        float(x) for x in model.explainedVariance.toArray()]
