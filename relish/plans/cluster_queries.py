@@ -68,28 +68,65 @@ def c3_fast(t: Tables):
     return cluster.silhouette(t.embeddings, "vec_id", "embedding", "label", method="fast").withColumn("silhouette", F.round("silhouette", 6))
 
 
+# points in separated groups: the label along one axis, three vector components across it
+SPREAD_EPS = 0.12
+SPREAD = """pts AS (SELECT vec_id AS id, [label * 2.0::DOUBLE] || embedding[1:3]::DOUBLE[] AS e FROM embeddings),
+dist AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.e, b.e) END AS d FROM pts a CROSS JOIN pts b),
+setting AS (SELECT (row_number() OVER (ORDER BY f, m) - 1)::INT AS g, 0.12 * f AS eps, m FROM (SELECT unnest([0.7, 0.85, 1.0, 1.15, 1.3])::DOUBLE AS f), (SELECT unnest([3, 5, 7, 10]) AS m)),
+near AS (SELECT g, a, b FROM dist JOIN setting ON d <= eps),
+core AS (SELECT g, a AS id FROM near JOIN setting USING (g) GROUP BY g, a, m HAVING count(*) >= m),
+edge AS (SELECT g, a, b FROM near WHERE a <> b AND (g, a) IN (SELECT g, id FROM core) AND (g, b) IN (SELECT g, id FROM core)),
+reach(g, id, root) AS (SELECT g, id, id FROM core UNION SELECT e.g, e.b, r.root FROM reach r JOIN edge e ON e.g = r.g AND e.a = r.id WHERE r.root < e.b),
+root AS (SELECT g, id, min(root) AS root FROM reach GROUP BY 1, 2),
+border AS (SELECT x.g, x.a AS id, min(r.root) AS root FROM near x JOIN root r ON r.g = x.g AND r.id = x.b WHERE (x.g, x.a) NOT IN (SELECT g, id FROM core) GROUP BY 1, 2),
+found AS (SELECT * FROM root UNION ALL SELECT * FROM border),
+size AS (SELECT g, root, count(*) AS n FROM found GROUP BY 1, 2),
+means AS (SELECT x.g, x.id, x.root AS own, y.root AS other, sum(d) AS s FROM found x JOIN found y ON y.g = x.g JOIN dist ON a = x.id AND b = y.id GROUP BY ALL),
+ab AS (SELECT means.g, id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS va, min(CASE WHEN own <> other THEN s / n END) AS vb
+       FROM means JOIN size ON size.g = means.g AND size.root = other GROUP BY 1, 2),
+sil AS (SELECT g, avg(coalesce((vb - va) / nullif(greatest(va, vb), 0), 0)) AS v FROM ab GROUP BY 1),
+sweep AS (SELECT g AS setting, eps, m AS min_samples, (SELECT count(*) FROM size WHERE size.g = setting.g) AS n_clusters,
+  (SELECT count(*) FROM pts) - (SELECT count(*) FROM found WHERE found.g = setting.g) AS n_noise,
+  ((SELECT count(*) FROM pts) - (SELECT count(*) FROM found WHERE found.g = setting.g)) / (SELECT count(*) FROM pts)::DOUBLE AS noise_ratio,
+  CASE WHEN (SELECT count(*) FROM size WHERE size.g = setting.g) > 1 THEN (SELECT v FROM sil WHERE sil.g = setting.g) ELSE -1 END AS silhouette_score FROM setting)"""
+
+
+def spread_points(t: Tables):
+    return t.embeddings.select("vec_id", F.concat(
+        F.array(F.col("label") * F.lit(2.0)), F.slice(F.col("embedding").cast("array<double>"), 1, 3)).alias("vec"))
+
+
 def sweep(t: Tables):
-    return cluster.dbscan_sweep(t.embeddings, "vec_id", "embedding", EPS)
+    return cluster.dbscan_sweep(spread_points(t), "vec_id", "vec", SPREAD_EPS)
 
 
-@query("C7_dbscan_sweep")
+@query("C7_dbscan_sweep", f"WITH RECURSIVE {SPREAD} SELECT setting, round(eps, 6) AS eps, min_samples, n_clusters, n_noise, round(noise_ratio, 6) AS noise_ratio, round(silhouette_score, 6) AS silhouette_score FROM sweep")
 def c7(t: Tables):
     return sweep(t).withColumns({c: F.round(c, 6) for c in ("eps", "noise_ratio", "silhouette_score")})
 
 
-@query("C7_best_setting")
+@query("C7_best_setting", f"""WITH RECURSIVE {SPREAD} SELECT round(eps, 6) AS eps, min_samples, true AS found FROM sweep
+WHERE n_clusters BETWEEN 5 AND 50 AND noise_ratio BETWEEN 0.05 AND 0.30 AND silhouette_score > 0 ORDER BY silhouette_score DESC, setting LIMIT 1""")
 def c7_best(t: Tables):
-    return cluster.best_setting(stage(sweep(t)), EPS)
+    return cluster.best_setting(stage(sweep(t)), SPREAD_EPS).withColumn("eps", F.round("eps", 6))
 
 
-@query("P14_acceptable_clusterings")
+@query("P14_acceptable_clusterings", f"""WITH RECURSIVE {SPREAD} SELECT setting, min_samples, n_clusters, n_noise FROM sweep
+WHERE n_clusters BETWEEN 5 AND 50 AND noise_ratio BETWEEN 0.05 AND 0.30 AND silhouette_score > 0""")
 def p14(t: Tables):
-    return filters.acceptable_clusterings(sweep(t)).select("eps", "min_samples", "n_clusters", "n_noise")
+    return filters.acceptable_clusterings(sweep(t)).select("setting", "min_samples", "n_clusters", "n_noise")
 
 
-@query("C8_sweep_matrix")
+@query("C8_sweep_matrix", f"""WITH RECURSIVE {SPREAD} SELECT min_samples, round(max(silhouette_score) FILTER (setting // 4 = 0), 6) AS eps_0, round(max(silhouette_score) FILTER (setting // 4 = 1), 6) AS eps_1,
+round(max(silhouette_score) FILTER (setting // 4 = 2), 6) AS eps_2, round(max(silhouette_score) FILTER (setting // 4 = 3), 6) AS eps_3, round(max(silhouette_score) FILTER (setting // 4 = 4), 6) AS eps_4 FROM sweep GROUP BY 1""")
 def c8(t: Tables):
-    return cluster.sweep_matrix(sweep(t), [EPS * f for f in cluster.EPS_FACTORS])
+    matrix = cluster.sweep_matrix(sweep(t), [SPREAD_EPS * f for f in cluster.EPS_FACTORS])
+    return matrix.withColumns({f"eps_{i}": F.round(f"eps_{i}", 6) for i in range(5)})
+
+
+@query("C6_dbscan_separated", f"WITH RECURSIVE {SPREAD}, n AS (SELECT g, root, row_number() OVER (PARTITION BY g ORDER BY root) - 1 AS cluster FROM size) SELECT p.id AS vec_id, coalesce(n.cluster, -1) AS cluster FROM pts p LEFT JOIN found f ON f.id = p.id AND f.g = 9 LEFT JOIN n ON n.g = 9 AND n.root = f.root")
+def c6_separated(t: Tables):
+    return cluster.dbscan(spread_points(t), "vec_id", "vec", SPREAD_EPS, 5, rows_per_bucket=64)
 
 
 @query("C1_kmeans_sweep")
