@@ -10,7 +10,7 @@ results stay exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relish.session import stage
+
 PIVOT_BYTES = 32 << 20  # size bound of the pivot matrix shipped with every task
 CHUNK_BITS = 20
 
@@ -77,7 +79,7 @@ def partition_vectors(items: DataFrame, id_col: str, vec: str, rows_per_bucket:
         return plain, Cells(np.zeros((1, dim)), np.array([np.inf]), np.array([chunks]))
     chosen = items.select(id_col, vec).orderBy(F.md5(F.col(id_col).cast("string"))).limit(n_pivots).collect()
     pivots = np.unique(np.array([r[vec] for r in chosen], dtype=np.float64), axis=0)
-    placed = items.withColumn("_a", _assign(pivots)(F.col(vec)))
+    placed = stage(items.withColumn("_a", _assign(pivots)(F.col(vec))))
     stats = placed.groupBy("_a.cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("_a.dist").alias("r")).collect()  # one row per pivot
     radius, chunks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
@@ -157,3 +159,22 @@ def home_bucket(df: DataFrame, vec: str, cells: Cells) -> DataFrame:
             yield pd.Series((full[d.argmin(1)].astype(np.int64) << CHUNK_BITS) if len(vecs) else [], dtype="int64")
 
     return df.withColumn("bucket", home(F.col(vec)))
+
+
+def pair_up(visitors: DataFrame, home: DataFrame, keys: Sequence[str], id_col: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``part``, ready to be grouped by ``keys`` and part.
+
+    The visitors of each key are split into parts of about ``rows`` rows by a
+    hash of the id, and the key's home rows are repeated once per part.  The
+    number of parts is the key's own, so one crowded key does not multiply the
+    others.
+    """
+    parts = visitors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts"))
+    keys = list(keys)
+    # fresh column names on both sides: they often come from one table
+    left = visitors.select(*[F.col(c).alias(c) for c in visitors.columns]).join(parts, keys)
+    right = home.select(*[F.col(c).alias(c) for c in home.columns]).join(parts, keys)
+    return (
+        left.withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).drop("_parts"),
+        right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relish.functions.vectors import dot
-from relish.operators.cells import partition_vectors, squared_distances, visits_within
+from relish.operators.cells import pair_up, partition_vectors, squared_distances, visits_within
 from relish.operators.filters import acceptable_clusterings
 from relish.operators.graph import components
 from relish.operators.ordering import with_position
@@ -160,21 +160,18 @@ def dbscan_many(df: DataFrame, id_col: str, vec: str, settings: Sequence[tuple[i
     eps_values = sorted({e for _, e, _ in settings})
     points = stage(df.select(F.col(id_col).cast("long").alias("v"), F.col(vec).cast("array<double>").alias("vec")))
     home, cells = partition_vectors(points, "v", "vec", rows_per_bucket)
-    visits = visits_within(points, "vec", cells, max(eps_values) + 1e-9)
-    largest = visits.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"] or 1
-    parts = math.ceil(largest / rows_per_bucket)
+    visits = stage(visits_within(points, "vec", cells, max(eps_values) + 1e-9))
     keys = ["bucket", "part"]
 
     def grid(core: DataFrame | None):
-        extra = [] if core is None else [F.col("core").alias("core")]
+        columns = ["v", "vec", "bucket"] + ([] if core is None else ["core"])
 
-        def side(frame: DataFrame, part) -> DataFrame:
+        def side(frame: DataFrame) -> DataFrame:
             if core is not None:
                 frame = frame.join(core, "v", "left").withColumn("core", F.coalesce("core", F.lit([]).cast("array<int>")))
-            return frame.select(F.col("v").alias("v"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"), *extra, part.alias("part"))
+            return frame.select(*columns)
 
-        x = side(visits, F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
-        y = side(home, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        x, y = pair_up(side(visits), side(home), ["bucket"], "v", rows_per_bucket)
         return x.groupBy(*keys).cogroup(y.groupBy(*keys))
 
     counts = grid(None).applyInPandas(_count_neighbours(eps_values), "v long, e int, n long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relish.session import stage
+from relish.session import drop_staged, stage
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         up = stage(rest.groupBy("g", "u").agg(F.min("w").alias("p")))
         while True:
+            up_table = up.select("g", "u", "p")
             over = up.select("g", F.col("u").alias("p"), F.col("p").alias("pp"))
-            deeper = stage(up.join(over, ["g", "p"], "left").select("g", "u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            up = deeper.drop("moved")
-            if deeper.filter("moved").isEmpty():
+            deeper = stage(up_table.join(over, ["g", "p"], "left").select("g", "u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            done = deeper.filter("moved").isEmpty()
+            drop_staged(up)
+            up = deeper
+            if done:
                 break
         top = up.select("g", F.col("u").alias("root"), F.col("p").alias("_up"))
         labels = stage(labels.join(top, ["g", "root"], "left").select("g", "v", F.coalesce("_up", "root").alias("root")))
@@ -34,7 +37,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         tw = up.select("g", F.col("u").alias("w"), F.col("p").alias("pw"))
         moved = rest.join(tu, ["g", "u"]).join(tw, ["g", "w"], "left").select(
             "g", F.col("pu").alias("a"), F.coalesce("pw", "w").alias("b"))
-        rest = stage(
+        smaller = stage(
             moved.filter(F.col("a") != F.col("b"))
             .select("g", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct())
+        drop_staged(rest, up)
+        rest = smaller
     return labels

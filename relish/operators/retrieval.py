@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -52,15 +51,22 @@ def _block_top_k(k: int, skip_same_id: bool):
     return run
 
 
-def _search_buckets(queries: DataFrame, items: DataFrame, k: int, query_blocks: int, skip_same_id: bool) -> DataFrame:
-    """Local top-k of every query in every bucket it was sent to."""
-    # fresh column names on both sides: queries and items often come from one table
-    q = queries.select(F.col("query_id").alias("query_id"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"))
-    d = items.select(
-        F.col("doc_id").alias("doc_id"), F.col("vec").alias("vec"), F.col("bucket").alias("bucket"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+def _search_buckets(queries: DataFrame, items: DataFrame, k: int, query_rows: int | None, skip_same_id: bool) -> DataFrame:
+    """Local top-k of every query in every bucket it was sent to.
+
+    Queries of a bucket are split into groups of ``query_rows``, or kept
+    together when there are few queries in all (None).
+    """
+    q, d = queries.select("query_id", "vec", "bucket"), items.select("doc_id", "vec", "bucket")
+    if query_rows is None:
+        # fresh column names on both sides: queries and items often come from one table
+        q, d = [f.select(*[F.col(c).alias(c) for c in f.columns]) for f in (q, d)]
+        keys = ["bucket"]
+    else:
+        q, d = cell_ops.pair_up(stage(q), d, ["bucket"], "query_id", query_rows)
+        keys = ["bucket", "part"]
     id_types = dict(queries.dtypes)["query_id"], dict(items.dtypes)["doc_id"]
-    return q.groupBy("bucket", "qb").cogroup(d.groupBy("bucket", "qb")).applyInPandas(
+    return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
         _block_top_k(k, skip_same_id), f"query_id {id_types[0]}, doc_id {id_types[1]}, score double")
 
 
@@ -76,19 +82,19 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, skip_same_id: bool =
     most k rows per query.
     """
     n_items, n_queries = items.count(), queries.count()
-    blocks = max(1, math.ceil(n_queries / query_rows))
+    split = query_rows if n_queries > query_rows else None
     placed, cells = cell_ops.partition_vectors(items, "doc_id", "vec", item_rows, n_items)
     if len(cells.pivots) == 1:
         routed = cell_ops.visits_scoring(queries.withColumn("floor", F.lit(0.0)), "vec", "floor", cells)
     else:
-        first = _search_buckets(cell_ops.home_bucket(queries, "vec", cells), placed, k, blocks, skip_same_id)
+        first = _search_buckets(cell_ops.home_bucket(queries, "vec", cells), placed, k, split, skip_same_id)
         floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
         low = F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(float("-inf")))
         floors = stage(floors.select("query_id", low.alias("floor")))
         with_floor = queries.join(floors, "query_id", "left").withColumn(
             "floor", F.coalesce("floor", F.lit(float("-inf"))))
         routed = cell_ops.visits_scoring(with_floor, "vec", "floor", cells)
-    hits = _search_buckets(routed, placed, k, blocks, skip_same_id)
+    hits = _search_buckets(routed, placed, k, split, skip_same_id)
     return rank_results(hits, top=k)
 
 

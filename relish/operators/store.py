@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from relish.functions.text import valid_json
 from relish.operators.filters import constraint_violations
 from relish.operators.ordering import with_position
+from relish.session import stage
 
 # Roles, labels and table layouts of the store.
 ROLES = ["labeler", "reviewer"]
@@ -186,7 +187,7 @@ def promote(store: Store, rows: DataFrame, runs: DataFrame, created_at: Column)
     known = store.consumable.select(F.col("id").alias("consumable_id"))
     missing = rows.select("consumable_id").distinct().join(known, "consumable_id", "left_anti")
     order = F.struct("run_seq", "row_id")
-    valid = (
+    valid = stage(
         rows.filter(F.col("query").isNotNull()).join(known, "consumable_id", "left_semi")
         .join(runs, "run_id").withColumn("_order", order)
     )

@@ -145,22 +145,27 @@ def l5(t: Tables):
 
 # ------------------------------------------------------------------ intents from conversations
 
+def user_turns(t: Tables):
+    """User turns in batches of 25."""
+    said = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("intent"))
+    return ordering.batch_numbers(said, ["conv_id", "turn"], 25)
+
+
 def matches(t: Tables):
     """User turns as intents matched to parts by conversation number."""
-    said = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 40).alias("intent"))
+    said = user_turns(t)
     return said.select(
         (F.col("conv_id") * 10 + F.col("turn")).alias("row_id"), (F.col("conv_id") % 50).alias("consumable_id"),
         F.concat(F.lit("food "), (F.col("conv_id") % 50).cast("string")).alias("consumable_name"), "intent",
-        F.col("turn").cast("string").alias("reasoning"), F.floor(F.col("conv_id") / 5).cast("long").alias("batch"))
+        F.col("turn").cast("string").alias("reasoning"), "batch")
 
 
-MATCHES = """m AS (SELECT conv_id * 10 + turn AS row_id, conv_id % 50 AS consumable_id, 'food ' || (conv_id % 50) AS consumable_name, substr(text, 1, 40) AS intent,
-  turn::VARCHAR AS reasoning, conv_id // 5 AS batch FROM conversations WHERE role = 'user')"""
+MATCHES = """m AS (SELECT conv_id * 10 + turn AS row_id, conv_id % 50 AS consumable_id, 'food ' || (conv_id % 50) AS consumable_name, text AS intent,
+  turn::VARCHAR AS reasoning, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 25 AS batch FROM conversations WHERE role = 'user')"""
 
 
-@query("L6_matching_inputs", f"""WITH n AS (SELECT i, '{{}}' AS x FROM range(1) t(i)),
-conv AS (SELECT conv_id // 5 AS batch, string_agg(r || '. ' || intent, chr(10) ORDER BY r) AS intents_list FROM (
-  SELECT conv_id, substr(text, 1, 30) AS intent, row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'user') GROUP BY 1),
+@query("L6_matching_inputs", f"""WITH conv AS (SELECT r // 25 AS batch, string_agg((r % 25 + 1) || '. ' || intent, chr(10) ORDER BY r) AS intents_list FROM (
+  SELECT conv_id, text AS intent, row_number() OVER (ORDER BY conv_id, turn) - 1 AS r FROM conversations WHERE role = 'user') GROUP BY 1),
 f AS (SELECT p_partkey AS id, p_name AS n, p_partkey // {BATCH} AS batch FROM part),
 w AS (SELECT batch, greatest(max(length(id::VARCHAR)), 15) AS wi, greatest(max(length(n)), 17) AS wn FROM f GROUP BY 1)
 SELECT f.batch, any_value(conv.intents_list) AS intents_list, '| ' || lpad('consumable_id', any_value(wi)::INT, ' ') || ' | ' || rpad('consumable_name', any_value(wn)::INT, ' ') || ' |' || chr(10) ||
@@ -168,8 +173,7 @@ SELECT f.batch, any_value(conv.intents_list) AS intents_list, '| ' || lpad('cons
   string_agg('| ' || lpad(id::VARCHAR, wi::INT, ' ') || ' | ' || rpad(n, wn::INT, ' ') || ' |', chr(10) ORDER BY id) AS food_dataframe
 FROM f JOIN w ON w.batch = f.batch LEFT JOIN conv ON conv.batch = f.batch GROUP BY 1""")
 def l6(t: Tables):
-    said = t.conversations.filter("role = 'user'").groupBy(F.floor(F.col("conv_id") / 5).cast("long").alias("batch")).agg(
-        F.sort_array(F.collect_list(F.struct("conv_id", "turn", F.substring("text", 1, 30).alias("intent")))).alias("s"))
+    said = user_turns(t).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "intent"))).alias("s"))
     intents = said.select("batch", F.transform("s", lambda x: x["intent"]).alias("intents"))
     items = t.part.select(F.col("p_partkey").alias("consumable_id"), F.col("p_name").alias("consumable_name"),
                           F.floor(F.col("p_partkey") / BATCH).cast("long").alias("batch"), F.col("p_partkey").alias("row_id"))
@@ -186,7 +190,7 @@ def l7(t: Tables):
     return generation.pair_blocks(matches(t), items, "batch", "row_id", ["is_vegan", "is_nut_free"], "food_row")
 
 
-@query("L8_flatten_results", f"""WITH u AS (SELECT conv_id, turn, substr(text, 1, 40) AS intent FROM conversations WHERE role = 'user'),
+@query("L8_flatten_results", f"""WITH u AS (SELECT conv_id, turn, text AS intent FROM conversations WHERE role = 'user'),
 a AS (SELECT u.conv_id, u.turn, u.intent, c.text AS answer FROM u LEFT JOIN conversations c ON c.conv_id = u.conv_id AND c.turn = u.turn + 1 AND c.role = 'assistant'),
 q AS (SELECT conv_id, turn, intent, intent AS query, 'intent' AS query_type FROM a
   UNION ALL SELECT conv_id, turn, intent, unnest(list_filter(string_split(answer, chr(10)), lambda x: x <> '')), 'bridged' FROM a)
@@ -194,7 +198,7 @@ SELECT conv_id AS consumable_id, 'food ' || conv_id AS consumable_name, intent A
 FROM q LEFT JOIN part ON p_partkey = conv_id""")
 def l8(t: Tables):
     # the lines of the answer that follows a user turn are its bridged queries
-    said = t.conversations.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.substring("text", 1, 40).alias("original_intent"))
+    said = t.conversations.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("original_intent"))
     answers = t.conversations.filter("role = 'assistant'").select("conv_id", "turn", F.filter(F.split("text", "\n"), lambda x: x != "").alias("queries"))
     results = said.join(answers, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("consumable_id"), F.concat(F.lit("food "), F.col("conv_id").cast("string")).alias("consumable_name"), "original_intent", "queries")

@@ -332,3 +332,16 @@ def v18(t: Tables):
     hits, truth, cat = dish_search(t)
     row = metrics.evaluation_row(hits, truth, "rotated", "embeddings", cat)
     return row.withColumns({c: F.round(c, 6) for c in ("r_at_1", "r_at_5", "ndcg_at_5")})
+
+
+def letter_counts(texts: list[str]):
+    """A stand-in encoder: text length and number of letters e."""
+    import numpy as np
+
+    return np.array([[len(x), x.count("e")] for x in texts], dtype=np.float32)
+
+
+@query("E1_encode", "SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, 'e', '')) AS n_e FROM documents")
+def e1(t: Tables):
+    encoded = retrieval.encode(t.documents, "text", letter_counts)
+    return encoded.select("doc_id", F.get("vec", F.lit(0)).cast("long").alias("n_chars"), F.get("vec", F.lit(1)).cast("long").alias("n_e"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from relish.operators import aggregates, generation
 from relish.operators.store import Store
+from relish.plans.dedup_queries import greedy
 from relish.plans.generation_queries import members
 from relish.plans.registry import Tables, query
 from relish.plans.store_queries import at
@@ -187,9 +188,7 @@ def s13_totals(t: Tables):
 tok AS (SELECT id, block, unnest(words) AS word FROM rows),
 shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM tok x JOIN tok y ON x.block = y.block AND x.word = y.word AND x.id < y.id GROUP BY 1, 2),
 pairs AS (SELECT a, b FROM shared JOIN rows ra ON ra.id = a JOIN rows rb ON rb.id = b WHERE n / (len(ra.words) + len(rb.words) - n)::DOUBLE >= 0.6),
-ord AS (SELECT id, list(a) AS earlier, row_number() OVER (ORDER BY id) AS n FROM rows LEFT JOIN pairs ON b = id GROUP BY id),
-walk(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN list_has_any(w.kept, o.earlier) THEN w.kept ELSE list_append(w.kept, o.id) END FROM walk w JOIN ord o ON o.n = w.n + 1),
-kept AS (SELECT unnest(kept) AS id FROM walk WHERE n = (SELECT max(n) FROM walk))
+""" + greedy("rows", "pairs") + """, kept AS (SELECT id FROM decided WHERE kept_id IS NULL)
 SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id) AS id, 'http://img/' || id AS image_url, block AS consumable_name FROM kept JOIN rows USING (id) WHERE n_chars < 15000""")
 def l15(t: Tables):
     store: Store = store_of(t)

@@ -71,7 +71,7 @@ def p7_one(t: Tables):
 def broken_store(t: Tables) -> Store:
     """The store with wrong labels, repeated pairs, missing items and missing image addresses."""
     s = store_of(t)
-    extra = s.example.filter("consumable_id < 100").withColumn("id", F.col("id") + 5000000)
+    extra = s.example.filter("example_gen_hash = 'g5'").withColumn("id", F.col("id") + 5000000)
     return s.replace(
         label=s.label.withColumn("esci_label", F.when(F.col("label_reason") == "qty 50", "X").otherwise(F.col("esci_label"))),
         example=s.example.unionByName(extra),
@@ -79,10 +79,10 @@ def broken_store(t: Tables) -> Store:
             "image_url", F.when(F.col("consumable_type") != "PROMO", F.col("image_url"))))
 
 
-@query("P11_constraint_violations", f"""{W}, ex AS (SELECT * FROM s_example UNION ALL SELECT * REPLACE (id + 5000000 AS id) FROM s_example WHERE consumable_id < 100)
+@query("P11_constraint_violations", f"""{W}, ex AS (SELECT * FROM s_example UNION ALL SELECT * REPLACE (id + 5000000 AS id) FROM s_example WHERE example_gen_hash = 'g5')
 SELECT 'label' AS table_name, 'check' AS rule, 'esci_label' AS column_name, id FROM s_label WHERE label_reason = 'qty 50'
 UNION ALL SELECT 'consumable', 'not_null', 'image_url', id FROM s_consumable WHERE consumable_type = 'PROMO' AND consumable_name NOT LIKE 'old%'
-UNION ALL SELECT 'example', 'unique', 'query_id,consumable_id', id + 5000000 FROM s_example WHERE consumable_id < 100
+UNION ALL SELECT 'example', 'unique', 'query_id,consumable_id', id + 5000000 FROM s_example WHERE example_gen_hash = 'g5'
 UNION ALL SELECT 'example', 'foreign_key', 'consumable_id', id FROM ex WHERE consumable_id IN (SELECT id FROM s_consumable WHERE consumable_name LIKE 'old%')
 UNION ALL SELECT 'example', 'foreign_key', 'query_id', id FROM ex WHERE query_id NOT IN (SELECT id FROM s_query)""")
 def p11(t: Tables):
@@ -150,10 +150,10 @@ def j8_null(t: Tables):
     return joins.remap(rows, "l_partkey", remapping(t), "old", "new", keep_unmapped=False)
 
 
-@query("J13_label_count", f"{W} SELECT count(*) AS n_labels FROM s_label l JOIN s_example e ON e.id = l.example_id WHERE e.consumable_id < 50")
+@query("J13_label_count", f"{W} SELECT count(*) AS n_labels FROM s_label l JOIN s_example e ON e.id = l.example_id WHERE e.example_gen_hash = 'g2'")
 def j13(t: Tables):
     s = store_of(t)
-    return joins.label_count(s.example, s.label, F.col("consumable_id") < 50)
+    return joins.label_count(s.example, s.label, F.col("example_gen_hash") == "g2")
 
 
 # ------------------------------------------------------------------ promotion
@@ -320,12 +320,12 @@ def m7(t: Tables):
     return ids_of(ops.delete_queries(s, red_queries(s))[0], "query", "example", "label")
 
 
-@query("M8_delete_examples", f"""{W}, d AS (SELECT id, query_id FROM s_example WHERE consumable_id >= 500), kept AS (SELECT * FROM s_example WHERE id NOT IN (SELECT id FROM d))
+@query("M8_delete_examples", f"""{W}, d AS (SELECT id, query_id FROM s_example WHERE example_gen_hash <> 'g1'), kept AS (SELECT * FROM s_example WHERE id NOT IN (SELECT id FROM d))
 SELECT 'example' AS table_name, id FROM kept UNION ALL SELECT 'label', id FROM s_label WHERE example_id NOT IN (SELECT id FROM d)
 UNION ALL SELECT 'query', id FROM s_query WHERE id NOT IN (SELECT query_id FROM d) OR id IN (SELECT query_id FROM kept)""")
 def m8(t: Tables):
     s = store_of(t)
-    return ids_of(ops.delete_examples(s, s.example.filter("consumable_id >= 500").select("id"))[0], "example", "label", "query")
+    return ids_of(ops.delete_examples(s, s.example.filter("example_gen_hash <> 'g1'").select("id"))[0], "example", "label", "query")
 
 
 # ------------------------------------------------------------------ label edits
@@ -362,28 +362,28 @@ def m11(t: Tables):
     return ops.annotation_view(store_of(t), HUMAN, bulk=True).select("example_id", ops.effective_label().alias("esci_label"))
 
 
-@query("M12_update_reasons", f"""{W} SELECT l.id, CASE WHEN l.labeler_id = 1 AND e.consumable_id < 100 THEN 'seen' WHEN l.labeler_id = 1 AND e.consumable_id < 200 THEN NULL ELSE l.label_reason END AS label_reason
+@query("M12_update_reasons", f"""{W} SELECT l.id, CASE WHEN l.labeler_id = 1 AND e.example_gen_hash = 'g1' THEN 'seen' WHEN l.labeler_id = 1 AND e.example_gen_hash = 'g2' THEN NULL ELSE l.label_reason END AS label_reason
 FROM s_label l JOIN s_example e ON e.id = l.example_id""")
 def m12(t: Tables):
     s = store_of(t)
-    edits = s.example.filter("consumable_id < 200").select(
+    edits = s.example.filter("example_gen_hash IN ('g1', 'g2')").select(
         F.col("id").alias("example_id"), F.lit(1).cast("long").alias("labeler_id"),
-        F.when(F.col("consumable_id") < 100, "seen").otherwise("").alias("label_reason"))
+        F.when(F.col("example_gen_hash") == "g1", "seen").otherwise("").alias("label_reason"))
     return ops.update_label_reasons(s, edits).label.select("id", "label_reason")
 
 
-@query("M13_copy_ai_labels", f"""{VIEW}, w AS (SELECT * FROM view WHERE consumable_id < 100)
+@query("M13_copy_ai_labels", f"""{VIEW}, w AS (SELECT * FROM view WHERE example_gen_hash = 'g3')
 SELECT example_id, esci_label FROM s_label WHERE labeler_id = 1 AND example_id NOT IN (SELECT example_id FROM w WHERE ai_esci_label IS NOT NULL)
 UNION ALL SELECT example_id, ai_esci_label FROM w WHERE ai_esci_label IS NOT NULL""")
 def m13(t: Tables):
     s = store_of(t)
-    out, _ = ops.copy_ai_labels(s, s.example.filter("consumable_id < 100").select("id"), HUMAN, at())
+    out, _ = ops.copy_ai_labels(s, s.example.filter("example_gen_hash = 'g3'").select("id"), HUMAN, at())
     return out.label.filter(F.col("labeler_id") == HUMAN).select("example_id", "esci_label")
 
 
-# two line numbers edit texts: one to an existing text, one to a text of its own or shared by an item
+# two generators' examples get new texts: the one an existing text, the other a text per item
 TEXT_EDITS = f"""{W}, edits AS (SELECT id AS example_id, query_id, consumable_id, id AS seq,
-  CASE WHEN consumable_id < 200 THEN (SELECT min(query_content) FROM s_query) ELSE 'edited ' || consumable_id END AS new_text FROM s_example WHERE consumable_id < 400),
+  CASE WHEN example_gen_hash = 'g0' THEN (SELECT min(query_content) FROM s_query) ELSE 'edited ' || consumable_id END AS new_text FROM s_example WHERE example_gen_hash IN ('g0', 'g1')),
 stored AS (SELECT query_content AS new_text, min(id) AS target FROM s_query GROUP BY 1),
 m AS (SELECT e.*, s.target FROM edits e LEFT JOIN stored s USING (new_text)),
 f AS (SELECT new_text, min(seq) AS first_seq FROM m WHERE target IS NULL GROUP BY 1),
@@ -395,9 +395,9 @@ j AS (SELECT p.*, CASE WHEN is_rename THEN 'renamed' WHEN h.id IS NOT NULL AND h
 
 def text_edits(s: Store) -> DataFrame:
     known = s.query.agg(F.min("query_content")).scalar()
-    return s.example.filter("consumable_id < 400").select(
-        F.col("id").alias("example_id"), F.col("id").alias("seq"), "consumable_id").withColumn("_known", known).select(
-        "example_id", "seq", F.when(F.col("consumable_id") < 200, F.col("_known")).otherwise(
+    return s.example.filter("example_gen_hash IN ('g0', 'g1')").select(
+        F.col("id").alias("example_id"), F.col("id").alias("seq"), "consumable_id", "example_gen_hash").withColumn("_known", known).select(
+        "example_id", "seq", F.when(F.col("example_gen_hash") == "g0", F.col("_known")).otherwise(
             F.concat(F.lit("edited "), F.col("consumable_id").cast("string"))).alias("new_text"))
 
 

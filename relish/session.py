@@ -54,4 +54,17 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/relish-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete tables written by ``stage`` that no later result reads."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
