@@ -70,7 +70,7 @@ def p7_one(t: Tables):
 
 def broken_store(t: Tables) -> Store:
     """The store with wrong labels, repeated pairs, missing items and missing image addresses."""
-    s = store_of(t)
+    s = store_of(t, "query", "example", "label")
     extra = s.example.filter("example_gen_hash = 'g5'").withColumn("id", F.col("id") + 5000000)
     return s.replace(
         label=s.label.withColumn("esci_label", F.when(F.col("label_reason") == "qty 50", "X").otherwise(F.col("esci_label"))),
@@ -185,7 +185,7 @@ def three_runs(t: Tables) -> DataFrame:
 
 
 def promoted(t: Tables, bridged: bool = False):
-    return run_ops.promote_runs(store_of(t), three_runs(t), generated_rows(t), at(), bridged=bridged, dry_run=False)
+    return run_ops.promote_runs(store_of(t, "query", "example", "label"), three_runs(t), generated_rows(t), at(), bridged=bridged, dry_run=False)
 
 
 @query("M1_promoted_queries", f"{PROMOTED} SELECT id, query AS query_content, query_filters, 'h' || substr(run_id, 5) AS data_gen_hash, run_id AS mlflow_run_id FROM newq")
@@ -349,7 +349,7 @@ def label_edits(t: Tables) -> DataFrame:
 SELECT l.id, l.labeler_id, l.example_id, coalesce(e.esci_label, l.esci_label) AS esci_label, l.label_reason FROM s_label l LEFT JOIN last e ON e.example_id = l.example_id AND e.labeler_id = l.labeler_id
 UNION ALL SELECT (SELECT max(id) FROM s_label) + row_number() OVER (ORDER BY e.example_id), 1, e.example_id, e.esci_label, NULL FROM last e WHERE e.example_id NOT IN (SELECT example_id FROM s_label WHERE labeler_id = 1)""")
 def m9(t: Tables):
-    return ops.upsert_labels(store_of(t), label_edits(t))[0].label.drop("created_at", "auto_label_score")
+    return ops.upsert_labels(store_of(t, "label"), label_edits(t))[0].label.drop("created_at", "auto_label_score")
 
 
 @query("M10_delete_own_labels", f"{W}, {EDITS} SELECT id FROM s_label WHERE NOT (labeler_id = 1 AND example_id IN (SELECT example_id FROM edits))")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from relish.operators.store import Store, conform
 from relish.plans.registry import Tables
+from relish.session import stage
 
 GIVEN = ["orders", "part", "lineitem"]
 
@@ -41,11 +42,13 @@ FROM {orders} GROUP BY o_custkey % 10""",
 }
 
 
-def store_of(t: Tables) -> Store:
+def store_of(t: Tables, *stored: str) -> Store:
+    """The derived store; the tables named in ``stored`` are written out first, as a real store's are."""
     given = {name: getattr(t, name) for name in GIVEN}
-    return Store(**{
+    tables = {
         name: conform(t.spark.sql(sql, **{g: df for g, df in given.items() if "{" + g + "}" in sql}), name)
-        for name, sql in STORE_SQL.items()})
+        for name, sql in STORE_SQL.items()}
+    return Store(**{name: stage(df) if name in stored else df for name, df in tables.items()})
 
 
 def store_ctes() -> str:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+STAGE_ROW_GROUP = 8 << 20  # small row groups, so that a reader can split a staged file over many tasks
 _local_fallback: dict[str, str] = {}
 
 
@@ -53,7 +54,7 @@ def stage(df: DataFrame) -> DataFrame:
     executors, and gives the reader real table sizes to plan joins with.
     """
     path = f"{shared_dir(df.sparkSession)}/relish-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", STAGE_ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
