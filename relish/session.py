@@ -67,5 +67,7 @@ def drop_staged(*frames: DataFrame) -> None:
         if path is None:
             continue
         spark = df.sparkSession
+        if not hasattr(spark, "_jsparkSession"):
+            continue  # a remote session has no file system handle; the cluster clears the folder
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
