@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from relish.functions.text import word_set
 from relish.operators import cluster, dedup
