@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import mixing, packing
+from relish.llm import mixing, packing, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -28,3 +28,17 @@ def op2(table):
 def op8(table):
     pieces = packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op6_url_filter", url_filter.SQL)
+def op6(table):
+    """Listed besides the rules: the addresses of pages that stem from documents labelled toxic."""
+    pages = table("pages").select("page_id", "url")
+    source = F.regexp_extract("url", r"^[^:]*://[^/?#]*/[a-z]+/([0-9]+)", 1)
+    toxic = table("labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("_doc"))
+    host, path = url_filter.host_path(F.col("url"))
+    listed = pages.withColumn("_doc", source).join(toxic, "_doc", "left_semi").select(host.alias("host"), path.alias("path"))
+    return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
