@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import mixing, packing, url_filter
+from relish.llm import mixing, packing, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -42,3 +42,11 @@ def op6(table):
     host, path = url_filter.host_path(F.col("url"))
     listed = pages.withColumn("_doc", source).join(toxic, "_doc", "left_semi").select(host.alias("host"), path.alias("path"))
     return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op1_toxicity")
+def op1(table):
+    docs = table("documents").select("doc_id", "text")
+    model = toxicity.fit_labels(docs, table("labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
