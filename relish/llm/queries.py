@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import mixing, packing, toxicity, url_filter
+from relish.llm import mixing, nearest, packing, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -50,3 +50,8 @@ def op1(table):
     model = toxicity.fit_labels(docs, table("labels"))
     scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_multi_index_hashing")
+def op10(table):
+    return nearest.search(table("embeddings"), lambda id_: id_ % 20 == 0, k=20)
