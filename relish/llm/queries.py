@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import mixing, nearest, packing, toxicity, url_filter
+from relish.llm import mixing, nearest, packing, substring, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -55,3 +55,9 @@ def op1(table):
 @query("op10_multi_index_hashing")
 def op10(table):
     return nearest.search(table("embeddings"), lambda id_: id_ % 20 == 0, k=20)
+
+
+@query("op9_substring_dedup", substring.SQL)
+def op9(table):
+    kept = substring.remove_repeats(table("documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
