@@ -42,3 +42,12 @@ def stage_blocks(df: DataFrame) -> DataFrame:
      .write.bucketBy(blocks, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
      .option("parquet.block.size", 8 << 20).format("parquet").saveAsTable(name))
     return spark.table(name)
+
+
+def stage_bucketed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df``, which has ``like``'s blocks, in a table bucketed as ``like`` is."""
+    spark = df.sparkSession
+    name = f"relish_{uuid.uuid4().hex}"
+    (df.write.bucketBy(max(1, min(like.rdd.getNumPartitions(), MOST_BLOCKS)), "block").option("path", f"{shared_dir(spark)}/{name}")
+     .option("compression", "zstd").option("parquet.block.size", 8 << 20).format("parquet").saveAsTable(name))
+    return spark.table(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import mixing, nearest, packing, substring, toxicity, url_filter
+from relish.llm import jaccard, mixing, nearest, packing, substring, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -61,3 +61,8 @@ def op10(table):
 def op9(table):
     kept = substring.remove_repeats(table("documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_prefix_tree_join")
+def op7(table):
+    return jaccard.similar_components(table("documents"))
