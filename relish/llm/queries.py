@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import jaccard, mixing, nearest, packing, substring, toxicity, url_filter
+from relish.llm import jaccard, lm, mixing, nearest, packing, substring, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -66,3 +66,8 @@ def op9(table):
 @query("op7_prefix_tree_join")
 def op7(table):
     return jaccard.similar_components(table("documents"))
+
+
+@query("op4_subword_lattice")
+def op4(table):
+    return lm.score(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
