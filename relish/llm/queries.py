@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import jaccard, lm, mixing, nearest, packing, substring, toxicity, url_filter
+from relish.llm import jaccard, lm, mixing, nearest, packing, preferences, substring, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -71,3 +71,11 @@ def op7(table):
 @query("op4_subword_lattice")
 def op4(table):
     return lm.score(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_preference_pairs", preferences.SQL)
+def op3(table):
+    formatted = preferences.format_pairs(preferences.reply_pairs(table("conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
+    return formatted.select("conv_id", "n_common", "prompt", "chosen_text", "rejected_text",
+                            spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
