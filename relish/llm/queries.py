@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import jaccard, lm, mixing, nearest, packing, preferences, substring, toxicity, url_filter
+from relish.llm import jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -79,3 +79,8 @@ def op3(table):
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
     return formatted.select("conv_id", "n_common", "prompt", "chosen_text", "rejected_text",
                             spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
+
+
+@query("op5_block_max_wand")
+def op5(table):
+    return topk.search(table("documents"), lambda id_: id_ % 100 == 0, k=10)
