@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (
         F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     levels = capped.withColumn("_level", level)
-    found = F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything)
+    found = F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything)  # of those that fit, that with the fewest capped
     return levels.withColumn("_found", found).select(
         "source", "source_size",
         F.when(F.col("_found").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_found") * F.col("_w"))).alias("target"))
@@ -133,7 +133,7 @@ ranked AS (
       - coalesce(sum(source_size * 2.0::DOUBLE) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
   FROM sources WINDOW before AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (
-  SELECT source, source_size, coalesce(least(cap, w * (SELECT min(level) FROM ranked WHERE level <= cap / w)), cap) AS target FROM ranked),
+  SELECT source, source_size, coalesce(least(cap, w * (SELECT max(level) FROM ranked WHERE level <= cap / w)), cap) AS target FROM ranked),
 budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes FROM goal),
 placed AS (
