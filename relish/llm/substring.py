@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from relish.llm.arrow import per_pair
 from relish.llm.blocks import stage_blocks
 from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal, is_in, keys_of
-from relish.llm.words import Words, chunks, gram_hashes
+from relish.llm.words import Words, chunks, gram_hashes, mix
 from relish.session import stage
 
 LENGTH = 20
@@ -60,7 +60,7 @@ def run_anchors(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.nd
     highest = np.zeros(len(hashes), np.uint64)  # the largest anchor among the runs over each piece: the piece itself, if it is one
     if len(hashes):
         highest = _slide(of_runs[::-1], reach, np.maximum)[::-1]
-    return runs, at, lowest[at], grams[(highest == grams) & (grams != NONE)]
+    return runs, at, mix(lowest[at]), mix(grams[(highest == grams) & (grams != NONE)])  # the smallest are not spread evenly
 
 
 def _send_anchors(batches, text: str, length: int, gram: int, bits: int):
