@@ -33,7 +33,7 @@ from relish.session import stage
 GRAM = 5
 PERCENT = 80
 PIECE = 1024  # sets in one tree, at most
-SETS = "block int, id long, n_shingles long, set_id long, tokens binary"
+SETS = "block int, row long, id long, n_shingles long, set_id long, tokens binary"
 EDGES = "bin int, a long, b long, token long"
 
 
@@ -76,7 +76,7 @@ def _beginnings(hashes, starts, set_ids, percent):
     length = np.minimum(length, n[stand])
     first = np.repeat(starts[stand] - np.concatenate([[0], np.cumsum(length)[:-1]]) if len(stand) else stand, length)
     at = first + np.arange(int(length.sum()))
-    return hashes[at], np.repeat(set_ids[stand], length), stand, length
+    return mix(hashes[at]), np.repeat(set_ids[stand], length), stand, length  # the smallest are not spread evenly
 
 
 def _send_beginnings(batches, text: str, gram: int, percent: int, bits: int):
@@ -120,9 +120,9 @@ def _sets_of_block(key, table: pa.Table, answers: pa.Table, text: str, gram: int
             if (own := int(set_ids[d])) not in done:
                 done.add(own)
                 tokens[d] = packed(hashes[starts[d]:starts[d + 1]])
-        out.append(pa.table({"block": part.column("block"), "id": part.column("id"), "n_shingles": pa.array(n, pa.int64()),
+        out.append(pa.table({"block": part.column("block"), "row": part.column("row"), "id": part.column("id"), "n_shingles": pa.array(n, pa.int64()),
                              "set_id": pa.array(set_ids.view(np.int64), mask=n == 0), "tokens": pa.array(tokens, pa.binary())}))
-    return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()),
+    return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int32()), "row": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()),
                                                        "set_id": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary())})
 
 
@@ -247,13 +247,13 @@ def _similar_groups(sets: DataFrame, percent: int, piece_size: int) -> DataFrame
     # groups still apart: all but a cluster's largest are compared with all its pieces
     weight = roots.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = weight.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    labelled = _in_pieces(open_sets.join(roots, ["cluster", "set_id"]).join(main, "cluster"), large, piece_size)
+    labelled = stage(_in_pieces(open_sets.join(roots, ["cluster", "set_id"]).join(main, "cluster"), large, piece_size))
     minor = labelled.filter("root <> main")
-    parts = minor.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(piece_size))).alias("parts"))
+    parts = stage(minor.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(piece_size))).alias("parts")))
     number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = labelled.join(parts, "cluster").withColumn("part", number(F.col("parts"))).select("cluster", "piece", "part", "set_id", "root", "tokens")
-    probes = minor.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts"))).withColumn(
-        "piece", number(F.col("pieces"))).select("cluster", "piece", "part", "root", "tokens")
+    probes = stage(minor.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts"))).withColumn(
+        "piece", number(F.col("pieces"))).select("cluster", "piece", "part", "root", "tokens"))
     keys = ["cluster", "piece", "part"]
     links = stage(own.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(per_pair(_linked_roots, percent=percent), "cluster long, a long, b long").distinct())
     merged = components(roots.select(F.col("cluster").alias("g"), F.col("root").alias("v")).distinct(), links.select(F.col("cluster").alias("g"), "a", "b"))
@@ -262,25 +262,13 @@ def _similar_groups(sets: DataFrame, percent: int, piece_size: int) -> DataFrame
     return found.join(large.select("cluster"), "cluster", "left_anti").select("set_id", "root").union(rest)
 
 
-def similar_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id", gram: int = GRAM, percent: int = PERCENT,
-                       piece_size: int = PIECE) -> DataFrame:
-    """``(<row_id>, n_shingles, component_id)``, one row per row of ``docs``.
-
-    A document's set holds its distinct runs of ``gram`` words, A-Z lower-cased;
-    with fewer words, the whole sequence.  Two documents link when their sets'
-    Jaccard similarity is at least ``percent`` / 100; ``component_id`` is the
-    smallest id reachable by links.
-
-    Null and empty texts have the empty set and link with nothing, so they keep
-    their own id.  Equal texts link.  Null ids are not smallest; a component of
-    null ids alone has a null id.  Rows that share an id are documents of their
-    own.  An empty table gives an empty result; other columns are not read.
-    """
-    blocks = stage_blocks(docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
+def _members(blocks: DataFrame, row_id: str, text: str, gram: int, percent: int, piece_size: int) -> DataFrame:
+    """``(block, row, id, n_shingles, root)`` of staged rows; rows with equal roots belong together, a null root to no group."""
+    texts = blocks.select("block", "row", F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     bits = bin_bits(blocks.select("block").distinct().count())
-    sent = blocks.select("block", "text").mapInArrow(functools.partial(_send_beginnings, text="text", gram=gram, percent=percent, bits=bits), SENT)
+    sent = texts.select("block", "text").mapInArrow(functools.partial(_send_beginnings, text="text", gram=gram, percent=percent, bits=bits), SENT)
     shared = answer(sent, _in_several, np.uint8)
-    rows = stage_bucketed(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
+    rows = stage_bucketed(texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         per_pair(_sets_of_block, text="text", gram=gram, percent=percent), SETS), blocks)
     sets = rows.filter("tokens is not null").select("block", "set_id", "tokens")
 
@@ -295,8 +283,41 @@ def similar_components(docs: DataFrame, text: str = "text", row_id: str = "doc_i
     nodes = links.select(F.explode(F.array("a", "b")).alias("v")).distinct().select(F.lit(0).alias("g"), "v")
     clusters = components(nodes, links.select(F.lit(0).alias("g"), "a", "b")).select(F.col("v").alias("set_id"), F.col("root").alias("cluster"))
     grouped = stage(_similar_groups(sets.join(clusters, "set_id").select("cluster", "set_id", "tokens"), percent, piece_size))
+    return stage(rows.select("block", "row", "id", "n_shingles", "set_id").join(grouped, "set_id", "left").select(
+        "block", "row", "id", "n_shingles", F.coalesce("root", "set_id").alias("root")))
+
 
-    members = rows.select("id", "n_shingles", "set_id").join(grouped, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+def similar_components(docs: DataFrame, text: str = "text", row_id: str = "doc_id", gram: int = GRAM, percent: int = PERCENT,
+                       piece_size: int = PIECE) -> DataFrame:
+    """``(<row_id>, n_shingles, component_id)``, one row per row of ``docs``.
+
+    A document's set holds its distinct runs of ``gram`` words, A-Z lower-cased;
+    with fewer words, the whole sequence.  Two documents link when their sets'
+    Jaccard similarity is at least ``percent`` / 100; ``component_id`` is the
+    smallest id reachable by links.
+
+    Null and empty texts have the empty set and link with nothing, so they keep
+    their own id.  Equal texts link.  Null ids are not smallest; a component of
+    null ids alone has a null id.  Rows that share an id are documents of their
+    own.  An empty table gives an empty result; other columns are not read.
+    """
+    blocks = stage_blocks(docs.select(row_id, text).withColumn("row", F.monotonically_increasing_id()))
+    members = _members(blocks, row_id, text, gram, percent, piece_size)
     lowest = members.filter("root is not null").groupBy("root").agg(F.min("id").alias("lowest"))
     return members.join(lowest, "root", "left").select(
         F.col("id").alias(row_id), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("lowest")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", row_id: str = "doc_id", gram: int = GRAM, percent: int = PERCENT, piece_size: int = PIECE) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last), of rows that share it the first.
+
+    Rows with null or empty texts all stay.  Columns named block or row are
+    left out.  The texts are not shuffled: each block gets the numbers of its
+    rows that go.
+    """
+    names = [c for c in docs.columns if c not in ("block", "row")]
+    blocks = stage_blocks(docs.select(*names).withColumn("row", F.monotonically_increasing_id()))
+    members = _members(blocks, row_id, text, gram, percent, piece_size).filter("root is not null")
+    kept = members.groupBy("root").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("kept"))
+    gone = members.join(kept, "root").filter("row <> kept").groupBy("block").agg(F.collect_list("row").alias("_gone"))
+    return blocks.join(stage(gone), "block", "left").filter(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("row"))).select(*names)
