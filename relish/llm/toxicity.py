@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relish.llm.arrow import per_group
 from relish.session import stage
@@ -179,11 +180,11 @@ def text_scores(texts: list[str], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _score_batches(batches, model: Model, names: list[str]):
+def _score_batches(batches, model: Model, text: str, kept: list[str]):
     for batch in batches:
-        scores = [text_scores(texts, model) for texts in _groups(batch.column(batch.num_columns - 1))]
+        scores = [text_scores(texts, model) for texts in _groups(batch.column(batch.schema.get_field_index(text)))]
         scores = np.concatenate(scores) if scores else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -194,9 +195,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     named ``score`` is replaced.
     """
     kept = [c for c in (keep or docs.columns) if c != "score"]
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text_to_score"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + (", " if kept else "") + "score double"
-    return rows.mapInArrow(functools.partial(_score_batches, model=model, names=[*kept, "score"]), schema)
+    rows = docs.select(*kept, *([] if text in kept else [text])).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(functools.partial(_score_batches, model=model, text=text, kept=kept), schema)
 
 
 def held_out(row_id, folds: int = 5):
