@@ -219,7 +219,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, row_id: str = "vec_id", ve
     rows = rows.filter(F.size("vector") == sizes["n"])
     taken = rows.orderBy(F.xxhash64("id"), "row").limit(sample).collect()
     codec = fit_codec(np.array([r["vector"] for r in taken]), np.array([r["id"] for r in taken]), math.sqrt(sizes["norm"]), k, confidence)
-    queries = rows.filter(is_query(F.col("id")))
+    queries = stage(rows.filter(is_query(F.col("id"))))
     blocks, parts = max(1, math.ceil(sizes["many"] / block)), max(1, math.ceil(queries.count() / query_block))
     data = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("part", F.explode(_numbers(parts)))
     asked = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).withColumn("block", F.explode(_numbers(blocks)))
