@@ -106,7 +106,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def set_tags(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Overlay ``updates(run_id, new_tags)`` on the tags of the runs."""
+    """Overlay ``updates(run_id, new_tags)``, one row per run, on the tags of the runs."""
     joined = runs.join(updates.select("run_id", "new_tags"), "run_id", "left")
     kept = F.map_filter("tags", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("new_tags"), k), F.lit(False)))
     empty = F.create_map().cast("map<string,string>")
@@ -124,17 +124,30 @@ def approve_runs(runs: DataFrame, run_ids: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def change_status(runs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply ``changes(run_id, new_status)`` that follow the status machine; the others are returned with a reason."""
+    """Apply ``changes(run_id, new_status, seq)`` that follow the status machine; the others are returned with a reason.
+
+    Several changes of one run are taken in order of ``seq``, each from the
+    status that the valid ones before it led to.
+    """
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in TRANSITIONS])
-    current = changes.join(
-        runs.select("run_id", F.lit(True).alias("_known"), tag("data_status").alias("old_status")), "run_id", "left")
-    step = F.concat(F.coalesce("old_status", F.lit("")), F.lit(">"), F.col("new_status"))
-    checked = current.withColumn(
-        "reason", F.when(F.col("_known").isNull(), "unknown run").when(~F.array_contains(allowed, step), "invalid transition"))
-    ok = checked.filter(F.col("reason").isNull()).select(
-        "run_id", F.create_map(F.lit("data_status"), F.col("new_status")).alias("new_tags"))
-    bad = checked.filter(F.col("reason").isNotNull()).select("run_id", "old_status", "new_status", "reason")
-    return set_tags(runs, ok), bad
+    steps = changes.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "new_status"))).alias("steps"))
+    current = steps.join(
+        runs.select("run_id", F.lit(True).alias("_known"), tag("data_status").alias("_status")), "run_id", "left")
+    row = "struct<old_status:string,new_status:string,ok:boolean>"
+    start = F.struct(F.col("_status").alias("status"), F.array().cast(f"array<{row}>").alias("done"))
+
+    def take(state, step):
+        ok = F.array_contains(allowed, F.concat(F.coalesce(state["status"], F.lit("")), F.lit(">"), F.coalesce(step["new_status"], F.lit(""))))
+        done = F.struct(state["status"].alias("old_status"), step["new_status"].alias("new_status"), ok.alias("ok"))
+        return F.struct(F.when(ok, step["new_status"]).otherwise(state["status"]).alias("status"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    walked = current.withColumn("_end", F.aggregate("steps", start, take))
+    judged = walked.select("run_id", "_known", F.explode("_end.done").alias("d")).select("run_id", "_known", "d.*")
+    reason = F.when(F.col("_known").isNull(), "unknown run").when(~F.col("ok"), "invalid transition")
+    bad = judged.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("run_id", "old_status", "new_status", "reason")
+    updates = walked.filter(F.col("_known") & F.exists("_end.done", lambda d: d["ok"])).select(
+        "run_id", F.create_map(F.lit("data_status"), F.col("_end.status")).alias("new_tags"))
+    return set_tags(runs, updates), bad
 
 
 def promote_runs(store: Store, runs: DataFrame, rows: DataFrame, created_at: Column, bridged: bool = False,

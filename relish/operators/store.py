@@ -390,9 +390,13 @@ def delete_own_labels(store: Store, keys: DataFrame) -> Store:
 
 
 def update_label_reasons(store: Store, edits: DataFrame) -> Store:
-    """Set the reason by (example, labeler, label_reason); an empty reason becomes null."""
+    """Set the reason by ``edits(example_id, labeler_id, label_reason, seq)``; an empty reason becomes null.
+
+    Of several edits of one label the last by ``seq`` counts.
+    """
     key = ["example_id", "labeler_id"]
-    e = edits.select(*key, F.nullif("label_reason", F.lit("")).alias("_new"), F.lit(True).alias("_hit"))
+    last = edits.groupBy(*key).agg(F.max_by(F.struct("label_reason"), "seq").alias("_e"))
+    e = last.select(*key, F.nullif("_e.label_reason", F.lit("")).alias("_new"), F.lit(True).alias("_hit"))
     merged = store.label.join(e, key, "left").withColumn(
         "label_reason", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("label_reason")))
     return store.replace(label=conform(merged, "label"))
@@ -412,40 +416,50 @@ def copy_ai_labels(store: Store, example_ids: DataFrame, human_labeler: int, edi
 
 
 def edit_query_texts(store: Store, edits: DataFrame) -> tuple[Store, DataFrame]:
-    """Change the query text of examples; ``edits(example_id, new_text, seq)``.
-
-    A text that is already stored makes the example point to that query (lowest
-    id).  A new text renames the example's query for all its examples.  Several
-    edits to one new text rename once (the first) and repoint the others; of
-    several renames of one query the last wins.  A repointing that would repeat
-    an existing query-item pair is refused.  Returns one row per edit with its
-    outcome ``repointed``, ``renamed`` or ``refused``.
+    """Change the query text of examples; ``edits(example_id, new_text, seq)``, judged against the store before them.
+
+    Of several edits of one example the last by ``seq`` counts, the others are
+    ``superseded``.  A text that is already stored makes the example point to
+    that query (lowest id).  A new text renames the query of its first edit, for
+    all examples of that query, and its other edits point there.  Of several new
+    texts for one query the last one's first edit wins; the first edits of the
+    others are ``superseded`` and their other edits refused.  Of the edits that
+    would give a query the same item, the first is ``repointed`` unless the pair
+    is stored already; the rest are ``refused``, so pairs stay unique.  Returns
+    one row per edit with its outcome, ``renamed`` included.
     """
-    current = edits.join(
+    known = edits.join(
         store.example.select(F.col("id").alias("example_id"), "query_id", "consumable_id"), "example_id")
+    last = known.groupBy("example_id").agg(F.max("seq").alias("seq"))
+    current = known.join(last, ["example_id", "seq"])
     stored = store.query.groupBy(F.col("query_content").alias("new_text")).agg(F.min("id").alias("target"))
     matched = current.join(stored, "new_text", "left")
     fresh = matched.filter(F.col("target").isNull())
     first = fresh.groupBy("new_text").agg(F.min_by(F.struct("query_id", "example_id", "seq"), "seq").alias("f"))
     renames = first.groupBy(F.col("f.query_id").alias("id")).agg(F.max_by("new_text", "f.seq").alias("_text"))
+    led = first.join(renames.select(F.col("id").alias("_id"), F.col("_text").alias("_won")), F.col("f.query_id") == F.col("_id"))
     planned = matched.join(
-        first.select("new_text", F.col("f.query_id").alias("first_query"), F.col("f.example_id").alias("first_example")),
-        "new_text", "left")
-    is_rename = F.col("target").isNull() & (F.col("first_example") == F.col("example_id"))
-    goal = F.coalesce("target", "first_query")
-    moves = planned.withColumns({"_rename": is_rename, "_goal": goal})
-    taken = store.example.select(F.col("query_id").alias("_goal"), "consumable_id", F.col("id").alias("_holder"))
-    judged = moves.join(taken, ["_goal", "consumable_id"], "left").withColumn(
+        led.select("new_text", F.col("f.query_id").alias("first_query"), F.col("f.example_id").alias("first_example"),
+                   (F.col("new_text") == F.col("_won")).alias("_wins")), "new_text", "left")
+    leads = F.col("target").isNull() & (F.col("first_example") == F.col("example_id"))
+    moves = planned.withColumns({"_leads": leads, "_goal": F.coalesce("target", F.when(F.col("_wins"), F.col("first_query")))})
+    taken = store.example.groupBy(F.col("query_id").alias("_goal"), "consumable_id").agg(F.min("id").alias("_holder"))
+    claims = moves.filter(~F.col("_leads") & F.col("_goal").isNotNull()).groupBy("_goal", "consumable_id").agg(F.min("seq").alias("_first_claim"))
+    pair = ["_goal", "consumable_id"]
+    judged = moves.join(taken, pair, "left").join(claims, pair, "left").withColumn(
         "outcome",
-        F.when(F.col("_rename"), "renamed")
-        .when(F.col("_holder").isNotNull() & (F.col("_holder") != F.col("example_id")), "refused").otherwise("repointed"))
-    repoint = judged.filter(F.col("outcome") == "repointed").groupBy(F.col("example_id").alias("id")).agg(
-        F.max_by("_goal", "seq").alias("_query"))
+        F.when(F.col("_leads"), F.when(F.col("_wins"), "renamed").otherwise("superseded"))
+        .when(F.col("_goal").isNull(), "refused")
+        .when(F.col("_holder").isNotNull() & (F.col("_holder") != F.col("example_id")), "refused")
+        .when(F.col("_holder").isNull() & (F.col("_first_claim") != F.col("seq")), "refused")
+        .otherwise("repointed"))
+    repoint = judged.filter(F.col("outcome") == "repointed").select(F.col("example_id").alias("id"), F.col("_goal").alias("_query"))
+    earlier = known.join(last, ["example_id", "seq"], "left_anti").select("example_id", "seq", "new_text", F.lit("superseded").alias("outcome"))
     query = store.query.join(renames, "id", "left").withColumn("query_content", F.coalesce("_text", "query_content"))
     example = store.example.join(repoint, "id", "left").withColumn("query_id", F.coalesce("_query", "query_id"))
     return (
         store.replace(query=conform(query, "query"), example=conform(example, "example")),
-        judged.select("example_id", "seq", "new_text", "outcome"),
+        judged.select("example_id", "seq", "new_text", "outcome").unionByName(earlier),
     )
 
 

@@ -362,13 +362,17 @@ def m11(t: Tables):
     return ops.annotation_view(store_of(t), HUMAN, bulk=True).select("example_id", ops.effective_label().alias("esci_label"))
 
 
-@query("M12_update_reasons", f"""{W} SELECT l.id, CASE WHEN l.labeler_id = 1 AND e.example_gen_hash = 'g1' THEN 'seen' WHEN l.labeler_id = 1 AND e.example_gen_hash = 'g2' THEN NULL ELSE l.label_reason END AS label_reason
-FROM s_label l JOIN s_example e ON e.id = l.example_id""")
+@query("M12_update_reasons", f"""{W}, r AS (SELECT id AS example_id, step, CASE WHEN (example_gen_hash = 'g1') = (step = 2) THEN 'seen' ELSE '' END AS reason
+  FROM s_example, (VALUES (1), (2)) v(step) WHERE example_gen_hash IN ('g1', 'g2')),
+last AS (SELECT example_id, arg_max(reason, step) AS reason FROM r GROUP BY 1)
+SELECT l.id, CASE WHEN l.labeler_id = 1 AND e.example_id IS NOT NULL THEN nullif(e.reason, '') ELSE l.label_reason END AS label_reason
+FROM s_label l LEFT JOIN last e USING (example_id)""")
 def m12(t: Tables):
+    """Every label is edited twice: to a reason and away from one, or the other way round."""
     s = store_of(t)
-    edits = s.example.filter("example_gen_hash IN ('g1', 'g2')").select(
-        F.col("id").alias("example_id"), F.lit(1).cast("long").alias("labeler_id"),
-        F.when(F.col("example_gen_hash") == "g1", "seen").otherwise("").alias("label_reason"))
+    edits = s.example.filter("example_gen_hash IN ('g1', 'g2')").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.col("id").alias("example_id"), F.lit(1).cast("long").alias("labeler_id"), "seq",
+        F.when((F.col("example_gen_hash") == "g1") == (F.col("seq") == 2), "seen").otherwise("").alias("label_reason"))
     return ops.update_label_reasons(s, edits).label.select("id", "label_reason")
 
 
@@ -381,27 +385,36 @@ def m13(t: Tables):
     return out.label.filter(F.col("labeler_id") == HUMAN).select("example_id", "esci_label")
 
 
-# two generators' examples get new texts: the one an existing text, the other a text per item
-TEXT_EDITS = f"""{W}, edits AS (SELECT id AS example_id, query_id, consumable_id, id AS seq,
-  CASE WHEN example_gen_hash = 'g0' THEN (SELECT min(query_content) FROM s_query) ELSE 'edited ' || consumable_id END AS new_text FROM s_example WHERE example_gen_hash IN ('g0', 'g1')),
+# examples of one generator get an existing text, of another a text per item, of a third two texts, the second a text per item
+TEXT_EDITS = f"""{W}, every AS (SELECT id AS example_id, query_id, consumable_id, id + 1000000 * step AS seq,
+  CASE WHEN example_gen_hash = 'g0' THEN (SELECT min(query_content) FROM s_query) WHEN step = 0 AND example_gen_hash = 'g2' THEN 'draft ' || id % 7 ELSE 'edited ' || consumable_id END AS new_text
+  FROM s_example, (VALUES (0), (1)) v(step) WHERE (example_gen_hash IN ('g0', 'g1') AND step = 0) OR example_gen_hash = 'g2'),
+edits AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY seq DESC) = 1),
 stored AS (SELECT query_content AS new_text, min(id) AS target FROM s_query GROUP BY 1),
 m AS (SELECT e.*, s.target FROM edits e LEFT JOIN stored s USING (new_text)),
-f AS (SELECT new_text, min(seq) AS first_seq FROM m WHERE target IS NULL GROUP BY 1),
-p AS (SELECT m.*, coalesce(m.target, x.query_id) AS goal, m.target IS NULL AND m.seq = f.first_seq AS is_rename
-  FROM m LEFT JOIN f USING (new_text) LEFT JOIN m x ON x.seq = f.first_seq),
-j AS (SELECT p.*, CASE WHEN is_rename THEN 'renamed' WHEN h.id IS NOT NULL AND h.id <> p.example_id THEN 'refused' ELSE 'repointed' END AS outcome
-  FROM p LEFT JOIN s_example h ON h.query_id = p.goal AND h.consumable_id = p.consumable_id)"""
+f AS (SELECT new_text, min(seq) AS first_seq, arg_min(query_id, seq) AS first_query FROM m WHERE target IS NULL GROUP BY 1),
+won AS (SELECT first_query, arg_max(new_text, first_seq) AS text FROM f GROUP BY 1),
+p AS (SELECT m.*, m.target IS NULL AND m.seq = f.first_seq AS leads, w.text IS NOT DISTINCT FROM m.new_text AS wins,
+  CASE WHEN m.target IS NOT NULL THEN m.target WHEN w.text = m.new_text THEN f.first_query END AS goal
+  FROM m LEFT JOIN f USING (new_text) LEFT JOIN won w ON w.first_query = f.first_query),
+h AS (SELECT query_id AS goal, consumable_id, min(id) AS holder FROM s_example GROUP BY ALL),
+j AS (SELECT p.*, CASE WHEN leads AND wins THEN 'renamed' WHEN leads THEN 'superseded' WHEN p.goal IS NULL THEN 'refused' WHEN holder = p.example_id THEN 'repointed'
+    WHEN holder IS NOT NULL THEN 'refused' WHEN row_number() OVER (PARTITION BY p.goal, p.consumable_id, leads ORDER BY seq) = 1 THEN 'repointed' ELSE 'refused' END AS outcome
+  FROM p LEFT JOIN h ON h.goal = p.goal AND h.consumable_id = p.consumable_id)"""
 
 
 def text_edits(s: Store) -> DataFrame:
     known = s.query.agg(F.min("query_content")).scalar()
-    return s.example.filter("example_gen_hash IN ('g0', 'g1')").select(
-        F.col("id").alias("example_id"), F.col("id").alias("seq"), "consumable_id", "example_gen_hash").withColumn("_known", known).select(
-        "example_id", "seq", F.when(F.col("example_gen_hash") == "g0", F.col("_known")).otherwise(
-            F.concat(F.lit("edited "), F.col("consumable_id").cast("string"))).alias("new_text"))
+    step = F.explode(F.when(F.col("example_gen_hash") == "g2", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    text = (F.when(F.col("example_gen_hash") == "g0", F.col("_known"))
+            .when((F.col("example_gen_hash") == "g2") & (F.col("step") == 0), F.concat(F.lit("draft "), (F.col("id") % 7).cast("string")))
+            .otherwise(F.concat(F.lit("edited "), F.col("consumable_id").cast("string"))))
+    return s.example.filter("example_gen_hash IN ('g0', 'g1', 'g2')").withColumn("step", step).withColumn("_known", known).select(
+        F.col("id").alias("example_id"), (F.col("id") + 1_000_000 * F.col("step")).alias("seq"), text.alias("new_text"))
 
 
-@query("M14_edit_outcomes", f"{TEXT_EDITS} SELECT example_id, seq, new_text, outcome FROM j")
+@query("M14_edit_outcomes", f"""{TEXT_EDITS} SELECT example_id, seq, new_text, outcome FROM j
+UNION ALL SELECT example_id, seq, new_text, 'superseded' FROM every ANTI JOIN edits USING (example_id, seq)""")
 def m14(t: Tables):
     s = store_of(t)
     return ops.edit_query_texts(s, text_edits(s))[1]
@@ -413,13 +426,20 @@ def m14_examples(t: Tables):
     return ops.edit_query_texts(s, text_edits(s))[0].example.select("id", "query_id")
 
 
-@query("M14_edited_queries", f"""{TEXT_EDITS}, r AS (SELECT query_id, arg_max(new_text, seq) AS new_text FROM j WHERE is_rename GROUP BY 1)
+@query("M14_edited_queries", f"""{TEXT_EDITS}, r AS (SELECT query_id, any_value(new_text) AS new_text FROM j WHERE outcome = 'renamed' GROUP BY 1)
 SELECT q.id, coalesce(r.new_text, q.query_content) AS query_content FROM s_query q LEFT JOIN r ON r.query_id = q.id""")
 def m14_queries(t: Tables):
     s = store_of(t)
     return ops.edit_query_texts(s, text_edits(s))[0].query.select("id", "query_content")
 
 
+@query("M14_edited_violations", "SELECT NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name, NULL::VARCHAR AS rule, NULL::VARCHAR AS id WHERE false")
+def m14_violations(t: Tables):
+    """The edited store breaks no rule."""
+    s = store_of(t)
+    return ops.store_violations(ops.edit_query_texts(s, text_edits(s))[0])
+
+
 # ------------------------------------------------------------------ duplicate query texts
 
 DEDUP = f"""{W}, first AS (SELECT id, min(id) OVER (PARTITION BY query_content) AS first_id FROM s_query),
@@ -517,21 +537,31 @@ def m15_counts(t: Tables):
     return run_ops.approve_runs(runs, ids)[1]
 
 
-@query("M16_invalid_changes", f"""WITH {RUNS} SELECT run_id, status AS old_status, CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'migrated' END AS new_status, 'invalid transition' AS reason FROM runs
-WHERE NOT (k % 2 = 0 AND status IN ('pending_review', 'pending_approval', 'migrated_partial')) AND NOT (k % 2 = 1 AND status IN ('approved', 'migrated_partial'))""")
+# every run is told to become approved, then (every second run) pending_approval again, then migrated
+STEPS = f"""WITH RECURSIVE {RUNS}, allowed(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in run_ops.TRANSITIONS)}),
+steps(seq, new_status) AS (VALUES (1, 'approved'), (2, 'pending_approval'), (3, 'migrated')),
+walk AS (SELECT run_id, k, 0 AS seq, status AS old_status, status, NULL::VARCHAR AS new_status, true AS ok FROM runs
+  UNION ALL SELECT w.run_id, w.k, s.seq, w.status, CASE WHEN a.a IS NOT NULL AND NOT (s.seq = 2 AND w.k % 2 = 0) THEN s.new_status ELSE w.status END, s.new_status,
+    a.a IS NOT NULL OR (s.seq = 2 AND w.k % 2 = 0)
+  FROM walk w JOIN steps s ON s.seq = w.seq + 1 LEFT JOIN allowed a ON a.a = w.status AND a.b = s.new_status)"""
+
+
+def status_changes(runs):
+    steps = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(x).alias("new_status")) for i, x in ((3, "migrated"), (1, "approved"), (2, "pending_approval"))])
+    rows = runs.withColumn("s", F.explode(steps)).filter("NOT (s.seq = 2 AND cast(params['start_idx'] AS int) % 2 = 0)")
+    return rows.select("run_id", "s.new_status", "s.seq")
+
+
+@query("M16_invalid_changes", f"{STEPS} SELECT run_id, old_status, new_status, 'invalid transition' AS reason FROM walk WHERE NOT ok")
 def m16(t: Tables):
     runs = runs_of(t)
-    even = F.col("params")["start_idx"].cast("int") % 2 == 0
-    return run_ops.change_status(runs, runs.select("run_id", F.when(even, "approved").otherwise("migrated").alias("new_status")))[1]
+    return run_ops.change_status(runs, status_changes(runs))[1]
 
 
-@query("M16_changed_status", f"""WITH {RUNS} SELECT run_id, CASE WHEN k % 2 = 0 AND status IN ('pending_review', 'pending_approval', 'migrated_partial') THEN 'approved'
-WHEN k % 2 = 1 AND status IN ('approved', 'migrated_partial') THEN 'migrated' ELSE status END AS data_status FROM runs""")
+@query("M16_changed_status", f"{STEPS} SELECT run_id, status AS data_status FROM walk WHERE seq = 3")
 def m16_after(t: Tables):
     runs = runs_of(t)
-    even = F.col("params")["start_idx"].cast("int") % 2 == 0
-    after, _ = run_ops.change_status(runs, runs.select("run_id", F.when(even, "approved").otherwise("migrated").alias("new_status")))
-    return after.select("run_id", run_ops.tag("data_status").alias("data_status"))
+    return run_ops.change_status(runs, status_changes(runs))[0].select("run_id", run_ops.tag("data_status").alias("data_status"))
 
 
 SUMMARY = f"""WITH {RUNS}, summary AS (SELECT experiment_name, run_id, CASE WHEN script = 'initial_generation.py' THEN 'initial_generation'

@@ -101,8 +101,9 @@ def test_label_edits(spark, store):
     human = {r["example_id"]: (r["esci_label"], r["label_reason"]) for r in out.label.filter("labeler_id = 1").collect()}
     assert human == {2: ("C", "no"), 1: ("S", None)} and bad.count() == 1 and max(ids(out.label)) == 5
     assert ids(ops.delete_own_labels(store, edits).label) == [1, 2, 4]
-    reasons = spark.createDataFrame([(2, 1, "")], "example_id long, labeler_id long, label_reason string")
-    assert ops.update_label_reasons(store, reasons).label.filter("id = 3").first()["label_reason"] is None
+    reasons = spark.createDataFrame([(2, 1, "", 2), (2, 1, "first", 1)], "example_id long, labeler_id long, label_reason string, seq long")
+    edited = ops.update_label_reasons(store, reasons).label
+    assert edited.filter("id = 3").first()["label_reason"] is None and edited.count() == store.label.count()
     copied, without = ops.copy_ai_labels(store, spark.createDataFrame([(1,), (2,), (4,)], "id long"), 1, at())
     assert {r["example_id"]: r["esci_label"] for r in copied.label.filter("labeler_id = 1").collect()} == {1: "E", 2: "S"}
     assert [r["example_id"] for r in without.collect()] == [4]
@@ -114,6 +115,9 @@ def test_query_text_edits(spark, store):
     # example 3 (soup, item 2) cannot move to the query of example 2, which has the same item
     assert {r["example_id"]: r["outcome"] for r in outcome.collect()} == {3: "refused", 1: "renamed"}
     assert {r["id"]: r["query_content"] for r in out.query.collect()} == {1: "pilaf", 2: "soup", 3: "rice"}
+    again = spark.createDataFrame([(3, "stew", 1), (3, "broth", 2), (1, "broth", 3), (4, "broth", 4)], "example_id long, new_text string, seq long")
+    out, outcome = ops.edit_query_texts(store, again)
+    assert {r["seq"]: r["outcome"] for r in outcome.collect()}[1] == "superseded" and ops.store_violations(out).isEmpty()
     moved, _ = ops.edit_query_texts(store, spark.createDataFrame([(4, "soup", 1)], "example_id long, new_text string, seq long"))
     assert moved.example.filter("id = 4").first()["query_id"] == 2
 
@@ -142,6 +146,7 @@ def test_run_rules(spark):
     got = {r["run_id"]: (r["generation_type"], r["esci_label"], r["end_idx"], r["data_gen_hash"]) for r in run_ops.run_summary(runs).collect()}
     assert got == {"a": ("intent_generation_3step", "E", None, "unknown"), "b": ("initial_generation", "unknown", 14, "c")}
     assert run_ops.eligible_runs(runs).count() == 0  # no hash
-    after, bad = run_ops.change_status(runs, spark.createDataFrame([("a", "approved"), ("b", "approved"), ("z", "approved")], "run_id string, new_status string"))
-    assert {r["run_id"]: r["reason"] for r in bad.collect()} == {"a": "invalid transition", "z": "unknown run"}
-    assert {r["run_id"]: r["tags"]["data_status"] for r in after.collect()} == {"a": "migrated", "b": "approved", "c": "approved"}
+    after, bad = run_ops.change_status(runs, spark.createDataFrame([("a", "approved", 1), ("b", "migrated", 3), ("b", "approved", 1), ("b", "migrated", 2), ("z", "approved", 1)],
+                                                                   "run_id string, new_status string, seq int"))
+    assert sorted((r["run_id"], r["reason"]) for r in bad.collect()) == [("a", "invalid transition"), ("b", "invalid transition"), ("z", "unknown run")]
+    assert after.count() == 3 and {r["run_id"]: r["tags"]["data_status"] for r in after.collect()} == {"a": "migrated", "b": "migrated", "c": "approved"}
