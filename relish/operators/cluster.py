@@ -52,23 +52,36 @@ def representatives(df: DataFrame, cluster: str, category: str, name: str, order
 
 # ------------------------------------------------------------------ neighbour distances
 
+SPARE = 8  # further neighbours whose exact distances are compared, beyond the k asked for
+
+
+def centred(df: DataFrame, vec: str) -> DataFrame:
+    """``df`` with the mean vector subtracted from ``vec``, so that small distances are not lost among large coordinates."""
+    v = F.col(vec).cast("array<double>")
+    means = df.select(F.posexplode(v).alias("_at", "_x")).groupBy("_at").agg(F.avg("_x").alias("_m")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("m"))
+    return df.withColumn("_mean", means.scalar()).withColumn(vec, F.zip_with(v, "_mean", lambda x, m: x - m)).drop("_mean")
+
+
 def k_distances(df: DataFrame, id_col: str, vec: str, k: int = 5, **options) -> DataFrame:
     """Distance of each point to its ``k``-th nearest point, itself counted as the first.
 
-    The nearest point by distance is the best one by ``2x·y - |y|²``, so the
-    exact inner-product search serves.
+    The nearest points by distance are the best ones by ``2x·y - |y|²``, so the
+    inner-product search finds them, on centred vectors and a few more than
+    ``k``; the distances that decide are those of true differences.
     """
-    v = F.col(vec).cast("array<double>")
-    square = dot(v, v)
-    items = df.select(F.col(id_col).alias("doc_id"), F.concat(v, F.array(square)).alias("vec"))
-    queries = df.select(
+    points = stage(centred(df.select(id_col, vec), vec))
+    v = F.col(vec)
+    items = points.select(F.col(id_col).alias("doc_id"), F.concat(v, F.array(dot(v, v))).alias("vec"))
+    queries = points.select(
         F.col(id_col).alias("query_id"), F.concat(F.transform(v, lambda x: x * 2), F.array(F.lit(-1.0))).alias("vec"))
-    kth = top_k(queries, items, k, **options).filter(F.col("rank") == k).select("query_id", "doc_id")
-    a = df.select(F.col(id_col).alias("query_id"), v.alias("va"))
-    b = df.select(F.col(id_col).alias("doc_id"), v.alias("vb"))
+    near = top_k(queries, items, k + SPARE, **options).select("query_id", "doc_id")
+    a = df.select(F.col(id_col).alias("query_id"), F.col(vec).cast("array<double>").alias("va"))
+    b = df.select(F.col(id_col).alias("doc_id"), F.col(vec).cast("array<double>").alias("vb"))
     gap = F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y))
-    return kth.join(a, "query_id").join(b, "doc_id").select(
-        F.col("query_id").alias(id_col), F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("k_distance"))
+    true = near.join(a, "query_id").join(b, "doc_id").select("query_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("d"))
+    return true.groupBy("query_id").agg(F.array_sort(F.collect_list("d")).alias("d")).select(
+        F.col("query_id").alias(id_col), F.try_element_at("d", F.lit(k)).alias("k_distance")).filter("k_distance IS NOT NULL")
 
 
 def estimate_eps(df: DataFrame, id_col: str, vec: str, min_samples: int = 5, plotted: bool = True, **options) -> DataFrame:
@@ -79,7 +92,8 @@ def estimate_eps(df: DataFrame, id_col: str, vec: str, min_samples: int = 5, plo
 # ------------------------------------------------------------------ density clusters
 
 def _distances(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray) -> np.ndarray:
-    d = np.sqrt(squared_distances(x, y))
+    origin = y.mean(0)  # near the points of the block, products lose little
+    d = np.sqrt(squared_distances(x - origin, y - origin))
     d[xi[:, None] == yi[None, :]] = 0.0
     return d
 
@@ -333,15 +347,18 @@ def best_k(sweep: DataFrame) -> int:
 
 def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, output: str = "cluster") -> DataFrame:
     """Rows with their k-means cluster."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=output).fit(_features(df, vec).select("features"))
+    ready = _features(df, vec).select("features").persist()
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=output).fit(ready)
+    ready.unpersist()
     return model.transform(_features(df, vec)).drop("features")
 
 
 def pca_2d(df: DataFrame, vec: str) -> tuple[DataFrame, list[float]]:
     """C4: the two first principal components ``pc1, pc2`` of each row and their share of variance."""
-    ready = _features(df, vec)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(ready)
-    model = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred.transform(ready))
-    out = model.transform(centred.transform(ready)).withColumn("_p", vector_to_array("pc"))
+    scaler = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(_features(df, vec))
+    ready = scaler.transform(_features(df, vec)).persist()
+    model = PCA(k=2, inputCol="centred", outputCol="pc").fit(ready)
+    ready.unpersist()
+    out = model.transform(scaler.transform(_features(df, vec))).withColumn("_p", vector_to_array("pc"))
     return out.select(*df.columns, F.get("_p", F.lit(0)).alias("pc1"), F.get("_p", F.lit(1)).alias("pc2")), [
         float(x) for x in model.explainedVariance.toArray()]

@@ -23,7 +23,6 @@ CANDIDATES_TYPE = (
     "array<struct<id:bigint,name:string,queries:array<struct<query:string,dimensions:map<string,string>,reasoning:string>>>>")
 MATCHES_TYPE = "array<struct<consumable_id:bigint,consumable_name:string,intent:string,reasoning:string>>"
 RESULTS_TYPE = "array<struct<consumable_id:bigint,consumable_name:string,original_intent:string,queries:array<string>>>"
-MAX_DIMENSIONS = 1000
 
 
 def _cell(df: DataFrame, name: str) -> Column:
@@ -75,15 +74,17 @@ def build_prompts(df: DataFrame, batch: str, order: str, template: str, esci_lab
 
 
 def apply_batches(prompts: DataFrame, fn: Callable[[str], str], batch: str = "batch", max_retries: int = 3,
-                  parallelism: int = 8, backoff: Sequence[float] = (0.0,)) -> DataFrame:
+                  parallelism: int | None = None, backoff: Sequence[float] = (0.0,)) -> DataFrame:
     """L2: call ``fn(prompt) -> output text`` once per batch with retries.
 
     A batch that keeps failing gives a row with status ``failed`` and the last
-    error; the others are not affected.  At most ``parallelism`` tasks (1..32)
-    call the function at a time.  Write the result before using it twice.
+    error; the others are not affected.  ``parallelism`` limits the rate: at most
+    so many tasks call the function at a time; by default there is no limit, and
+    prompts are spread as Spark's shuffle settings say.  Write the result before
+    using it twice.
     """
-    if not 1 <= parallelism <= 32:
-        raise ValueError("parallelism must be between 1 and 32")
+    if parallelism is not None and parallelism < 1:
+        raise ValueError("parallelism must be at least 1")
     if max_retries < 1:
         raise ValueError("max_retries must be at least 1")
     waits = tuple(backoff) or (0.0,)
@@ -105,7 +106,8 @@ def apply_batches(prompts: DataFrame, fn: Callable[[str], str], batch: str = "ba
                             time.perf_counter() - started, len(prompt), output))
             yield pd.DataFrame(out, columns=["batch", "status", "error", "attempts", "seconds", "prompt_length", "output"])
 
-    spread = prompts.select(F.col(batch).cast("long").alias("batch"), "prompt").repartition(parallelism, "batch")
+    spread = prompts.select(F.col(batch).cast("long").alias("batch"), "prompt")
+    spread = spread.repartition("batch") if parallelism is None else spread.repartition(parallelism, "batch")
     return spread.mapInPandas(
         run, "batch long, status string, error string, attempts int, seconds double, prompt_length int, output string")
 
@@ -125,16 +127,21 @@ def flatten_candidates(df: DataFrame, candidates: str = "candidates", keep: Sequ
         dims.alias("dimensions_json"), F.coalesce("q.reasoning", F.lit("")).alias("reasoning"), "q.dimensions")
 
 
+def dimension_rows(flat: DataFrame, keep: Sequence[str] = ("consumable_id", "query"), dimensions: str = "dimensions") -> DataFrame:
+    """L4 in long form: one row ``(*keep, dimension, value)`` per dimension of a query, for any number of names."""
+    return flat.select(*keep, F.explode(dimensions).alias("dimension", "value"))
+
+
 def dimension_names(flat: DataFrame, dimensions: str = "dimensions") -> list[str]:
-    """Sorted distinct dimension keys; their number is bounded by ``MAX_DIMENSIONS``."""
-    keys = flat.select(F.explode(F.map_keys(dimensions)).alias("k")).distinct().limit(MAX_DIMENSIONS + 1).collect()
-    if len(keys) > MAX_DIMENSIONS:
-        raise ValueError(f"more than {MAX_DIMENSIONS} dimension names")
-    return sorted(r["k"] for r in keys)
+    """Sorted distinct dimension names, which are to become column names and so are listed on the driver."""
+    return sorted(r["k"] for r in flat.select(F.explode(F.map_keys(dimensions)).alias("k")).distinct().collect())
 
 
 def flatten_with_dimensions(df: DataFrame, candidates: str = "candidates", names: Sequence[str] | None = None) -> DataFrame:
-    """L4: flattened rows with one ``dim_<name>`` column per dimension, names sorted."""
+    """L4: flattened rows with one ``dim_<name>`` column per dimension, names sorted.
+
+    Give the ``names`` wanted, or use ``dimension_rows``, where names are many.
+    """
     flat = flatten_candidates(df, candidates)
     names = dimension_names(flat) if names is None else sorted(names)
     return flat.select(

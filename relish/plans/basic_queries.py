@@ -19,12 +19,12 @@ STRIP = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 # ---------------------------------------------------------------- filters
 
 def documents_with_blanks(t: Tables):
-    """Documents with the text of short ones blanked and of very long ones nulled."""
-    n = F.col("n_chars")
-    return t.documents.withColumn("text", F.when(n < 300, F.lit(" \n ")).when(n < 20000, F.col("text")))
+    """Documents of which some have a blank text and some none."""
+    i = F.col("doc_id")
+    return t.documents.withColumn("text", F.when(i % 17 == 3, F.lit(" \n ")).when(i % 41 != 5, F.col("text")))
 
 
-BLANKED = """b AS (SELECT doc_id, lang, source, n_chars, CASE WHEN n_chars < 300 THEN ' ' || chr(10) || ' ' WHEN n_chars < 20000 THEN text END AS text FROM documents)"""
+BLANKED = """b AS (SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id % 17 = 3 THEN ' ' || chr(10) || ' ' WHEN doc_id % 41 <> 5 THEN text END AS text FROM documents)"""
 
 
 @query("P1_remove_null_rows", f"""WITH {BLANKED}

@@ -63,7 +63,7 @@ def c3(t: Tables):
     return cluster.silhouette(t.embeddings, "vec_id", "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query("C3_silhouette_fast")
+@query("C3_silhouette_fast", f"""WITH {POINTS}, {SILHOUETTE.replace('sum(d)', 'sum(d * d)')} SELECT round(avg(coalesce((vb - va) / greatest(va, vb), 0)), 6) AS silhouette FROM ab""")
 def c3_fast(t: Tables):
     return cluster.silhouette(t.embeddings, "vec_id", "embedding", "label", method="fast").withColumn("silhouette", F.round("silhouette", 6))
 
@@ -136,7 +136,7 @@ def c1(t: Tables):
 
 @query("C2_kmeans")
 def c2(t: Tables):
-    k = cluster.best_k(cluster.kmeans_sweep(t.embeddings, "embedding", range(5, 9)))
+    k = cluster.best_k(cluster.kmeans_sweep(t.embeddings, "embedding"))
     return cluster.kmeans(t.embeddings, "embedding", k).select("vec_id", "cluster")
 
 
@@ -144,3 +144,44 @@ def c2(t: Tables):
 def c4(t: Tables):
     projected, shares = cluster.pca_2d(t.embeddings, "embedding")
     return projected.select("vec_id", "pc1", "pc2").withColumns({"share1": F.lit(shares[0]), "share2": F.lit(shares[1])})
+
+
+# the same points set far apart by label, where k-means has one right answer
+APART = """apart AS (SELECT vec_id, label, embedding::DOUBLE[] || list_transform(range(10), lambda i: CASE WHEN i = label THEN 100.0::DOUBLE ELSE 0 END) AS e FROM embeddings),
+parts AS (SELECT vec_id, label, unnest(range(74)) AS pos, unnest(e) AS x FROM apart),
+centre AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY label, pos)"""
+
+
+def apart(t: Tables):
+    axes = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 100.0).otherwise(0.0))
+    return t.embeddings.select("vec_id", "label", F.concat(F.col("embedding").cast("array<double>"), axes).alias("vec"))
+
+
+@query("C1_kmeans_separated", f"""WITH {APART} SELECT count(DISTINCT label)::INT AS k, round(sum((x - m) * (x - m)), 4) AS inertia FROM parts JOIN centre USING (label, pos)""")
+def c1_separated(t: Tables):
+    points = apart(t)
+    groups = points.select("label").distinct().count()
+    return cluster.kmeans_sweep(points, "vec", [groups]).select("k", F.round("inertia", 4).alias("inertia"))
+
+
+@query("C2_kmeans_separated", "SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first_of_cluster FROM embeddings")
+def c2_separated(t: Tables):
+    points = apart(t)
+    found = cluster.kmeans(points, "vec", points.select("label").distinct().count())
+    first = found.groupBy("cluster").agg(F.min("vec_id").alias("first_of_cluster"))
+    return found.join(first, "cluster").select("vec_id", "first_of_cluster")
+
+
+@query("C4_pca_two_sums", """WITH s AS (SELECT vec_id, list_sum(embedding[1:32]::DOUBLE[]) * 2 AS x, list_sum(embedding[33:64]::DOUBLE[]) + list_sum(embedding[1:32]::DOUBLE[]) AS y FROM embeddings),
+c AS (SELECT covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS d, avg(x) AS mx, avg(y) AS my FROM s),
+v AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM c)
+SELECT vec_id, round(abs(((x - mx) * b + (y - my) * (l1 - a)) / sqrt(b * b + (l1 - a) ** 2)), 5) AS pc1, round(abs(((x - mx) * b + (y - my) * (l2 - a)) / sqrt(b * b + (l2 - a) ** 2)), 5) AS pc2,
+  round(l1 / (l1 + l2), 6) AS share1, round(l2 / (l1 + l2), 6) AS share2 FROM s, v""")
+def c4_two_sums(t: Tables):
+    """All components enter through two sums, of which the projection is known in closed form, up to sign."""
+    def total(start):
+        return F.aggregate(F.slice(F.col("embedding").cast("array<double>"), start, 32), F.lit(0.0), lambda a, x: a + x)
+    sums = t.embeddings.select("vec_id", F.array(total(1) * 2, total(33) + total(1)).alias("sums"))
+    projected, shares = cluster.pca_2d(sums, "sums")
+    return projected.select("vec_id", F.round(F.abs("pc1"), 5).alias("pc1"), F.round(F.abs("pc2"), 5).alias("pc2"),
+                            F.round(F.lit(shares[0]), 6).alias("share1"), F.round(F.lit(shares[1]), 6).alias("share2"))

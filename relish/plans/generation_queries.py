@@ -120,6 +120,11 @@ def l4(t: Tables):
     return generation.flatten_with_dimensions(nested(t))
 
 
+@query("L4_dimension_rows", f"""WITH {FLAT} SELECT * FROM (SELECT consumable_id, query, unnest(['cuisine', 'location', 'price']) AS dimension, unnest([dim_cuisine, dim_location, dim_price]) AS value FROM flat) WHERE value IS NOT NULL""")
+def l4_rows(t: Tables):
+    return generation.dimension_rows(generation.flatten_candidates(nested(t)))
+
+
 @query("A16_dimension_fill", f"""WITH {FLAT} SELECT 'cuisine' AS dimension, count(dim_cuisine) AS n, round(count(dim_cuisine) * 100.0::DOUBLE / count(*), 6) AS pct FROM flat
 UNION ALL SELECT 'location', count(dim_location), round(count(dim_location) * 100.0::DOUBLE / count(*), 6) FROM flat
 UNION ALL SELECT 'price', count(dim_price), round(count(dim_price) * 100.0::DOUBLE / count(*), 6) FROM flat""")

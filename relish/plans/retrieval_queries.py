@@ -16,7 +16,7 @@ VECTORS = """
 vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM vecs),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.v, b.v), 12) AS score,
-                  CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel
+                  CASE WHEN a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 THEN 1 ELSE 0 END AS rel
            FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
 """
@@ -55,15 +55,12 @@ def search(t: Tables, k: int, **options):
     return stage(hits)  # read several times by the measures
 
 
-def same_label(t: Tables, results):
-    """Judgements of the retrieved pairs: relevant when the labels agree."""
-    labels = t.embeddings.select("vec_id", "label")
-    return (
-        results.select("query_id", "doc_id")
-        .join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-        .join(labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
-        .select("query_id", "doc_id", (F.col("ql") == F.col("dl")).cast("int").alias("rel"))
-    )
+def judgements(t: Tables):
+    """Relevant documents of every query, retrieved or not: those of its label among the fifty with neighbouring ids."""
+    rows = t.embeddings.select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("block"))
+    other = rows.select(F.col("vec_id").alias("doc_id"), "label", "block")
+    return rows.withColumnRenamed("vec_id", "query_id").join(other, ["label", "block"]).filter("query_id <> doc_id").select(
+        "query_id", "doc_id", F.lit(1).alias("rel"))
 
 
 def two_modalities(t: Tables):
@@ -197,12 +194,12 @@ def v8(t: Tables):
 
 
 @query("V9_hit_rate", f"""WITH {VECTORS}, first AS (
-  SELECT query_id, min(rank) FILTER (rel > 0 AND rank <= 10) AS r FROM ranked GROUP BY query_id)
+  SELECT query_id, min(rank) FILTER (rel > 0 AND rank <= 10) AS r FROM ranked GROUP BY query_id HAVING max(rel) = 1)
 SELECT k, count(*) AS n_queries, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 6) AS recall
 FROM first, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
 def v9(t: Tables):
     hits = search(t, 10)
-    return metrics.hit_rates(hits, same_label(t, hits)).withColumn("recall", F.round("recall", 6))
+    return metrics.hit_rates(hits, judgements(t)).withColumn("recall", F.round("recall", 6))
 
 
 @query("V10_true_label_recall", f"""WITH {CATALOGUE}, r AS (
@@ -218,12 +215,12 @@ def v10(t: Tables):
 @query("V11_ndcg", f"""WITH {VECTORS}, top AS (SELECT * FROM ranked WHERE rank <= 20),
 d AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg FROM top WHERE rank <= 10 GROUP BY 1),
 i AS (SELECT query_id, sum(rel / log2(br + 1)) AS idcg FROM (
-   SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS br FROM top) WHERE br <= 10 GROUP BY 1)
+   SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS br FROM ranked) WHERE br <= 10 GROUP BY 1 HAVING max(rel) = 1)
 SELECT query_id, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM d JOIN i USING (query_id)""")
 def v11(t: Tables):
-    # twenty documents per query are judged, ten are scored: the ideal may use unretrieved ones
+    # the ideal uses all judgements of a query, retrieved or not
     hits = search(t, 20)
-    return metrics.ndcg_per_query(hits, same_label(t, hits), 10).withColumn("ndcg", F.round("ndcg", 6))
+    return metrics.ndcg_per_query(hits, judgements(t), 10).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query("V12_truncated_ndcg", f"""WITH {CATALOGUE}, top AS (SELECT query_id, rank, CASE WHEN doc_id = truth THEN 1.0 ELSE 0.0 END AS rel FROM full_ranked WHERE rank <= 5),
@@ -241,7 +238,7 @@ def v12(t: Tables):
 SELECT coalesce(median(rank), 0)::DOUBLE AS median_rank FROM r""")
 def v13(t: Tables):
     hits = search(t, 20)
-    return metrics.median_rank(hits, same_label(t, hits))
+    return metrics.median_rank(hits, judgements(t))
 
 
 @query("W4_rank", f"""WITH {VECTORS}
@@ -254,14 +251,14 @@ def w4(t: Tables):
 SELECT query_id, min(rank) AS rank FROM ranked WHERE rel > 0 AND rank <= 10 GROUP BY 1""")
 def w5(t: Tables):
     hits = search(t, 10)
-    return windows.first_relevant_rank(hits, same_label(t, hits))
+    return windows.first_relevant_rank(hits, judgements(t))
 
 
 @query("J14_judge_results", f"""WITH {VECTORS}
 SELECT query_id, doc_id, rel FROM ranked WHERE rank <= 5""")
 def j14(t: Tables):
     hits = search(t, 5)
-    positive = same_label(t, hits).filter("rel = 1")
+    positive = judgements(t)
     return joins.judge_results(hits, positive).select("query_id", "doc_id", "rel")
 
 
@@ -276,10 +273,9 @@ def u3(t: Tables):
 SELECT query_id, count(*) FILTER (rank <= 5 AND rel = 1) AS n_overlap FROM ranked WHERE rank <= 10 GROUP BY 1""")
 def u5(t: Tables):
     hits = search(t, 10)
-    judged = joins.judge_results(hits, same_label(t, hits))
-    lists = judged.groupBy("query_id").agg(
-        F.collect_list(F.when(F.col("rel") > 0, F.col("doc_id"))).alias("relevant"),
-        F.collect_list(F.when(F.col("rank") <= 5, F.col("doc_id"))).alias("retrieved"))
+    retrieved = hits.filter("rank <= 5").groupBy("query_id").agg(F.collect_list("doc_id").alias("retrieved"))
+    relevant = judgements(t).groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))
+    lists = retrieved.join(relevant, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
     return lists.select("query_id", F.size(setops.overlap("relevant", "retrieved")).cast("long").alias("n_overlap"))
 
 
@@ -309,14 +305,14 @@ def v16(t: Tables):
 
 
 @query("V17_peek", f"""WITH {VECTORS}, top AS (SELECT * FROM ranked WHERE rank <= 10),
-rel AS (SELECT query_id, count(*) AS n_relevant, array_to_string(list_sort(list(doc_id))[1:10], ',') AS relevant_ids FROM top WHERE rel = 1 GROUP BY 1),
+rel AS (SELECT query_id, count(*) AS n_relevant, array_to_string(list_sort(list(doc_id))[1:10], ',') AS relevant_ids FROM ranked WHERE rel = 1 GROUP BY 1),
 hit AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) FILTER (rank <= 5) AS retrieved_ids,
         count(*) FILTER (rank <= 5 AND rel = 1) AS n_overlap FROM top GROUP BY 1)
 SELECT query_id, n_relevant, relevant_ids, retrieved_ids, n_overlap FROM rel JOIN hit USING (query_id)""")
 def v17(t: Tables):
     hits = search(t, 10)
     corpus = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("title"))
-    seen = metrics.peek(hits, same_label(t, hits), corpus, 5)
+    seen = metrics.peek(hits, judgements(t), corpus, 5)
     return seen.select(
         "query_id", "n_relevant", F.array_join(F.col("relevant_ids").cast("array<string>"), ",").alias("relevant_ids"),
         F.array_join(F.transform("retrieved", lambda r: r["doc_id"].cast("string")), ",").alias("retrieved_ids"),

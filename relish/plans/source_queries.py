@@ -146,14 +146,14 @@ def s16(t: Tables):
 def raw_catalogue(t: Tables):
     """Documents as a raw catalogue: language and source as the dish, the text as its ingredients."""
     return t.documents.select(
-        "doc_id", F.when(F.col("n_chars") < 15000, F.concat(F.lit("http://img/"), F.col("doc_id").cast("string"))).alias("image_url"),
+        "doc_id", F.when(F.col("doc_id") % 29 != 7, F.concat(F.lit("http://img/"), F.col("doc_id").cast("string"))).alias("image_url"),
         F.when(F.col("source") != "src3", F.concat(F.lit(" "), "lang", F.lit(" "), "source")).alias("dish_name"),
         F.when(F.col("lang") == "es", F.lit("nan")).otherwise(F.col("lang")).alias("food_type"), F.col("text").alias("ingredients"),
         F.when(F.col("n_chars") % 2 == 0, F.lit('{"kcal": 1}')).otherwise("{").alias("nutritional_profile"), F.lit(" fried ").alias("cooking_method"))
 
 
 PREPARED = """prep AS (SELECT doc_id, 'http://img/' || doc_id AS image_url, lang || ' ' || source AS consumable_name, CASE WHEN lang <> 'es' THEN lang END AS consumable_type,
-  CASE WHEN n_chars % 2 = 0 THEN '{"kcal": 1}' END AS consumable_nutritional_profile, 'fried' AS consumable_cooking_method FROM documents WHERE n_chars < 15000 AND source <> 'src3')"""
+  CASE WHEN n_chars % 2 = 0 THEN '{"kcal": 1}' END AS consumable_nutritional_profile, 'fried' AS consumable_cooking_method FROM documents WHERE doc_id % 29 <> 7 AND source <> 'src3')"""
 
 
 @query("L14_prepare_consumables", f"WITH {PREPARED} SELECT * FROM prep")
@@ -164,11 +164,11 @@ def l14(t: Tables):
 def with_gaps(t: Tables):
     """Prepared rows of which some lack a name or an image."""
     return t.documents.select(
-        "doc_id", F.when(F.col("n_chars") < 15000, F.lit("http://img")).alias("image_url"),
+        "doc_id", F.when(F.col("doc_id") % 29 != 7, F.lit("http://img")).alias("image_url"),
         F.when(F.col("lang") != "es", F.col("source")).alias("consumable_name"))
 
 
-GAPS = "g AS (SELECT doc_id, n_chars >= 15000 AS no_image, lang = 'es' AS no_name, (row_number() OVER (ORDER BY doc_id) - 1) AS pos FROM documents)"
+GAPS = "g AS (SELECT doc_id, doc_id % 29 = 7 AS no_image, lang = 'es' AS no_name, (row_number() OVER (ORDER BY doc_id) - 1) AS pos FROM documents)"
 
 
 @query("S13_insert_consumables", f"""WITH {GAPS} SELECT pos // 50 AS batch, count(*) AS records, count(*) FILTER (NOT no_image AND NOT no_name) AS inserted, count(*) FILTER (no_image OR no_name) AS rejected,
@@ -189,7 +189,7 @@ tok AS (SELECT id, block, unnest(words) AS word FROM rows),
 shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM tok x JOIN tok y ON x.block = y.block AND x.word = y.word AND x.id < y.id GROUP BY 1, 2),
 pairs AS (SELECT a, b FROM shared JOIN rows ra ON ra.id = a JOIN rows rb ON rb.id = b WHERE n / (len(ra.words) + len(rb.words) - n)::DOUBLE >= 0.6),
 """ + greedy("rows", "pairs") + """, kept AS (SELECT id FROM decided WHERE kept_id IS NULL)
-SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id) AS id, 'http://img/' || id AS image_url, block AS consumable_name FROM kept JOIN rows USING (id) WHERE n_chars < 15000""")
+SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id) AS id, 'http://img/' || id AS image_url, block AS consumable_name FROM kept JOIN rows USING (id) WHERE id % 29 <> 7""")
 def l15(t: Tables):
     store: Store = store_of(t)
     loaded, _, _ = writers.load_catalogue(store, raw_catalogue(t), "doc_id", at(), 0.6)

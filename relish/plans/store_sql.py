@@ -54,7 +54,7 @@ def store_of(t: Tables, *stored: str) -> Store:
 def store_ctes() -> str:
     """The same tables as WITH clauses, named ``s_query`` and so on."""
     names = {g: g for g in GIVEN}
-    return ",\n".join(f"s_{name} AS ({sql.format(**names)})" for name, sql in STORE_SQL.items())
+    return ",\n".join(f"s_{name} AS MATERIALIZED ({sql.format(**names)})" for name, sql in STORE_SQL.items())
 
 
 def generated_rows(t: Tables) -> DataFrame:

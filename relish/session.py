@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 STAGE_ROW_GROUP = 8 << 20  # small row groups, so that a reader can split a staged file over many tasks
 _local_fallback: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app: str = "relish", cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -30,6 +32,23 @@ def local_session(app: str = "relish", cpus: int | str = "*", shuffle_partitions
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session started elsewhere, where they could not import it.
+
+    Nothing is sent if the package is installed, on PYTHONPATH, or in the
+    working folder.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in [*found, os.getcwd()] or "site-packages" in root or not hasattr(spark, "_jsparkSession"):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/relish", "zip", root, "relish"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

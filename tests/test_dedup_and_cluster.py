@@ -48,7 +48,7 @@ def texts(n, seed):
     return out
 
 
-@pytest.mark.parametrize("leaders", [1, 6, 32])
+@pytest.mark.parametrize("leaders", [6, 32])
 @pytest.mark.parametrize("within", [(), ("block",)])
 def test_text_decisions_match_going_in_order(spark, leaders, within):
     rows = texts(66, 5)
@@ -58,6 +58,14 @@ def test_text_decisions_match_going_in_order(spark, leaders, within):
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("leaders", [1, 2, 32])
+def test_kept_id_does_not_depend_on_leaders(spark, leaders):
+    rows = [(1, "a b p"), (2, "a b c d"), (3, "e f g h"), (4, "a b c d e f g h"), (5, "e f g h")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    links = dedup.removed_links(df, "id", "text", .5, leaders=leaders)
+    assert {(r["id"], r["kept_id"]) for r in links.collect()} == {(4, 2), (5, 3)}
+
+
 def test_chain_depends_on_order(spark):
     a, b, c = "1 2 3 4 5 6", "1 2 3 4 5 7", "1 2 3 4 8 7"
     for order, gone in (((a, b, c), {1}), ((b, a, c), {1, 2})):
@@ -125,3 +133,14 @@ def test_silhouette_of_two_pairs(spark):
 def test_best_setting_falls_back(spark):
     sweep = spark.createDataFrame([(0, .1, 3, 2, 1, .1, .9)], "setting int, eps double, min_samples int, n_clusters long, n_noise long, noise_ratio double, silhouette_score double")
     assert cluster.best_setting(sweep, .2).first().asDict() == {"eps": .2, "min_samples": 5, "found": False}
+
+
+@pytest.mark.parametrize("scale", [3.0, 0.01])
+def test_neighbour_distances_far_from_the_origin(spark, scale):
+    rng = np.random.default_rng(9)
+    points = np.array([5.0e5, 5.5e6]) + rng.random((300, 2)) * scale
+    points[40:43] = points[3]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>")
+    want = np.sort(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)), axis=1)[:, 4]
+    got = {r["id"]: r["k_distance"] for r in cluster.k_distances(df, "id", "vec", 5).collect()}
+    assert np.allclose([got[i] for i in range(300)], want, rtol=1e-9, atol=1e-9)
