@@ -68,11 +68,11 @@ def c3_fast(t: Tables):
     return cluster.silhouette(t.embeddings, "vec_id", "embedding", "label", method="fast").withColumn("silhouette", F.round("silhouette", 6))
 
 
-# points in separated groups: the label along one axis, three vector components across it
-SPREAD_EPS = 0.12
-SPREAD = """pts AS (SELECT vec_id AS id, [label * 2.0::DOUBLE] || embedding[1:3]::DOUBLE[] AS e FROM embeddings),
+# points in separated groups: the label along one axis, the vector across it
+SPREAD_EPS = 1.1
+SPREAD = """pts AS (SELECT vec_id AS id, [label * 2.0::DOUBLE] || embedding::DOUBLE[] AS e FROM embeddings),
 dist AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.e, b.e) END AS d FROM pts a CROSS JOIN pts b),
-setting AS (SELECT (row_number() OVER (ORDER BY f, m) - 1)::INT AS g, 0.12 * f AS eps, m FROM (SELECT unnest([0.7, 0.85, 1.0, 1.15, 1.3])::DOUBLE AS f), (SELECT unnest([3, 5, 7, 10]) AS m)),
+setting AS (SELECT (row_number() OVER (ORDER BY f, m) - 1)::INT AS g, 1.1::DOUBLE * f AS eps, m FROM (SELECT unnest([0.7, 0.85, 1.0, 1.15, 1.3])::DOUBLE AS f), (SELECT unnest([3, 5, 7, 10]) AS m)),
 near AS (SELECT g, a, b FROM dist JOIN setting ON d <= eps),
 core AS (SELECT g, a AS id FROM near JOIN setting USING (g) GROUP BY g, a, m HAVING count(*) >= m),
 edge AS (SELECT g, a, b FROM near WHERE a <> b AND (g, a) IN (SELECT g, id FROM core) AND (g, b) IN (SELECT g, id FROM core)),
@@ -93,7 +93,7 @@ sweep AS (SELECT g AS setting, eps, m AS min_samples, (SELECT count(*) FROM size
 
 def spread_points(t: Tables):
     return t.embeddings.select("vec_id", F.concat(
-        F.array(F.col("label") * F.lit(2.0)), F.slice(F.col("embedding").cast("array<double>"), 1, 3)).alias("vec"))
+        F.array(F.col("label") * F.lit(2.0)), F.col("embedding").cast("array<double>")).alias("vec"))
 
 
 def sweep(t: Tables):
@@ -124,9 +124,9 @@ def c8(t: Tables):
     return matrix.withColumns({f"eps_{i}": F.round(f"eps_{i}", 6) for i in range(5)})
 
 
-@query("C6_dbscan_separated", f"WITH RECURSIVE {SPREAD}, n AS (SELECT g, root, row_number() OVER (PARTITION BY g ORDER BY root) - 1 AS cluster FROM size) SELECT p.id AS vec_id, coalesce(n.cluster, -1) AS cluster FROM pts p LEFT JOIN found f ON f.id = p.id AND f.g = 9 LEFT JOIN n ON n.g = 9 AND n.root = f.root")
+@query("C6_dbscan_separated", f"WITH RECURSIVE {SPREAD}, n AS (SELECT g, root, row_number() OVER (PARTITION BY g ORDER BY root) - 1 AS cluster FROM size) SELECT p.id AS vec_id, coalesce(n.cluster, -1) AS cluster FROM pts p LEFT JOIN found f ON f.id = p.id AND f.g = 13 LEFT JOIN n ON n.g = 13 AND n.root = f.root")
 def c6_separated(t: Tables):
-    return cluster.dbscan(spread_points(t), "vec_id", "vec", SPREAD_EPS, 5, rows_per_bucket=64)
+    return cluster.dbscan(spread_points(t), "vec_id", "vec", SPREAD_EPS * 1.15, 5, rows_per_bucket=64)
 
 
 @query("C1_kmeans_sweep")

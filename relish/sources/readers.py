@@ -62,20 +62,20 @@ def read_delimited(spark: SparkSession, path: str, names: Sequence[str], sep: st
 
 def get_table(tables: Store | Mapping[str, DataFrame], name: str, limit: int | None = None,
               columns: Sequence[str] | str = "*", where: str | None = None, order_by: str | Sequence[str] | None = None) -> DataFrame:
-    """A table with optional SQL filter, order, limit and columns."""
+    """A table with optional SQL filter, order, limit and columns, each as SQL has it (``"type, id DESC NULLS LAST"``)."""
     frames = tables.tables() if isinstance(tables, Store) else tables
     if name not in frames:
         raise ValueError(f"unknown table {name}")
-    df = frames[name]
+    plain = lambda text: text.replace("{", "{{").replace("}", "}}")
+    listed = columns if isinstance(columns, str) else ", ".join(f"`{c}`" for c in columns)
+    parts = [f"SELECT {plain(listed)} FROM {{source}}"]
     if where:
-        df = df.where(where)
+        parts.append(f"WHERE {plain(where)}")
     if order_by:
-        keys = [order_by] if isinstance(order_by, str) else list(order_by)
-        df = df.orderBy(*[F.expr(k[:-5]).desc() if k.lower().endswith(" desc") else F.expr(k) for k in keys])
+        parts.append("ORDER BY " + plain(order_by if isinstance(order_by, str) else ", ".join(order_by)))
     if limit:
-        df = df.limit(limit)
-    names = [c.strip() for c in columns.split(",")] if isinstance(columns, str) else list(columns)
-    return df.select(*names)
+        parts.append(f"LIMIT {int(limit)}")
+    return frames[name].sparkSession.sql(" ".join(parts), source=frames[name])
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
