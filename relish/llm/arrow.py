@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
 
+def release() -> None:
+    """Give memory of finished work back to the machine; a worker process would keep it while it waits for tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_group(fn: Callable, **fixed) -> Callable:
     """``fn(key, table, ...)`` with fixed arguments, for ``applyInArrow``."""
 
     def run(key, table):
-        return fn(key, table, **fixed)
+        out = fn(key, table, **fixed)
+        release()
+        return out
 
     return run
 
 
-def per_group_stream(fn: Callable, **fixed) -> Callable:
-    """``fn(key, batches, ...)`` that takes and gives record batches, so that a group never is in memory whole."""
+def per_batches(fn: Callable, **fixed) -> Callable:
+    """``fn(batches, ...)`` with fixed arguments, for ``mapInArrow``."""
 
-    def run(key, batches):
-        return fn(key, batches, **fixed)
+    def run(batches):
+        yield from fn(batches, **fixed)
+        release()
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -31,7 +42,9 @@ def per_pair(fn: Callable, **fixed) -> Callable:
     """``fn(key, left, right, ...)`` with fixed arguments, for cogrouped ``applyInArrow``."""
 
     def run(key, left, right):
-        return fn(key, left, right, **fixed)
+        out = fn(key, left, right, **fixed)
+        release()
+        return out
 
     return run
 

@@ -15,14 +15,12 @@ Equal sets count once throughout.  Every step is exact; nothing is sampled.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relish.llm.arrow import packed, per_group, per_pair
+from relish.llm.arrow import packed, per_batches, per_group, per_pair
 from relish.llm.blocks import stage_blocks, stage_bucketed
 from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal, is_in, keys_of
 from relish.llm.trie import Tree, groups
@@ -266,13 +264,13 @@ def _members(blocks: DataFrame, row_id: str, text: str, gram: int, percent: int,
     """``(block, row, id, n_shingles, root)`` of staged rows; rows with equal roots belong together, a null root to no group."""
     texts = blocks.select("block", "row", F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     bits = bin_bits(blocks.select("block").distinct().count())
-    sent = texts.select("block", "text").mapInArrow(functools.partial(_send_beginnings, text="text", gram=gram, percent=percent, bits=bits), SENT)
+    sent = texts.select("block", "text").mapInArrow(per_batches(_send_beginnings, text="text", gram=gram, percent=percent, bits=bits), SENT)
     shared = answer(sent, _in_several, np.uint8)
     rows = stage_bucketed(texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         per_pair(_sets_of_block, text="text", gram=gram, percent=percent), SETS), blocks)
     sets = rows.filter("tokens is not null").select("block", "set_id", "tokens")
 
-    counted = answer(sets.select("block", "tokens").mapInArrow(functools.partial(_send_all, bits=bits), SENT), _counts, np.uint32)
+    counted = answer(sets.select("block", "tokens").mapInArrow(per_batches(_send_all, bits=bits), SENT), _counts, np.uint32)
     edges = stage(sets.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         per_pair(_cluster_edges, percent=percent, bits=bits), EDGES))
     within = edges.filter("bin < 0").select("a", "b")

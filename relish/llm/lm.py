@@ -16,14 +16,12 @@ each of its words, for the word-level base score.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relish.llm.arrow import joined, packed, per_group, per_pair
+from relish.llm.arrow import joined, packed, per_batches, per_group, per_pair
 from relish.llm.blocks import stage_blocks
 from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal
 from relish.llm.lattice import automaton, by_length, expected, forward, read_pieces
@@ -90,7 +88,7 @@ def _sum_counts(key, table: pa.Table) -> pa.Table:
 def fit_pieces(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces, from the training words of all blocks."""
     for _ in range(rounds):
-        run = functools.partial(_expected_batches, pieces=pieces, log_p=log_p)
+        run = per_batches(_expected_batches, pieces=pieces, log_p=log_p)
         rows = words.select("counts", "lengths", "letters").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(
             per_group(_sum_counts), "part int, counts binary").orderBy("part").collect()
         counts = np.concatenate([np.frombuffer(r["counts"], np.float64) for r in rows]) + SMOOTHING
@@ -121,7 +119,7 @@ def _sum_values(batches, step: int, at: int):
 
 
 def _total(column: DataFrame, step: int = 1, at: int = 0) -> int:
-    return column.mapInArrow(functools.partial(_sum_values, step=step, at=at), "n long").agg(F.sum("n")).first()[0] or 0
+    return column.mapInArrow(per_batches(_sum_values, step=step, at=at), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _score_block(key, table: pa.Table, answers: pa.Table, pieces: list[bytes], log_p: np.ndarray,
@@ -174,7 +172,7 @@ def score(docs: DataFrame, vocabulary: str, text: str = "text", row_id: str = "d
     words = stage(blocks.groupBy("block").applyInArrow(per_group(_words_of_block), WORDS))
     trained = words.agg(F.sum("docs")).first()[0] or 0
     bits = bin_bits(words.count())
-    answers = stage(answer(words.select("block", "keys", "counts").mapInArrow(functools.partial(_send_words, bits=bits), SENT), _corpus_counts, np.int64))
+    answers = stage(answer(words.select("block", "keys", "counts").mapInArrow(per_batches(_send_words, bits=bits), SENT), _corpus_counts, np.int64))
     distinct = _total(answers.select("extra"), 2, 1) + (trained > 0)
     tokens = _total(words.select("counts")) + trained
     log_p = fit_pieces(words, pieces, first, rounds) if trained else first

@@ -21,7 +21,8 @@ RANGE_DIGITS = 3  # hexadecimal digits of the key that name a range
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")  # one character a word, no array of words
+    return F.when(text.rlike(WORD), F.length(marks)).otherwise(0).cast("long")
 
 
 def random_key(row_id: Column, seed: str) -> Column:

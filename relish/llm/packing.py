@@ -10,7 +10,6 @@ pass over the table, no shuffle.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relish.llm.arrow import per_batches
+
 MAX_LENGTH = 1024
 END_ID = 0
 ROWS_AT_ONCE = 64
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str =
                            T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    run = functools.partial(_pack_batches, path=tokenizer, ranks=ranks, longest=longest, end_id=end_id, schema=to_arrow_schema(schema))
+    run = per_batches(_pack_batches, path=tokenizer, ranks=ranks, longest=longest, end_id=end_id, schema=to_arrow_schema(schema))
     pieces = docs.select(F.col(row_id), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
     return pieces.select(
         "*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

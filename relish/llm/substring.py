@@ -15,8 +15,6 @@ block.  The texts are written once, bucketed, and never shuffled.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from relish.llm.arrow import per_pair
+from relish.llm.arrow import per_batches, per_pair
 from relish.llm.blocks import stage_blocks
 from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal, is_in, keys_of
 from relish.llm.words import Words, chunks, gram_hashes, mix
@@ -204,7 +202,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     blocks = stage_blocks(docs.select(*names).withColumn(text, F.col(text).cast("string")))
     bits = bin_bits(blocks.select("block").distinct().count())
     options = {"length": length, "gram": gram, "text": text}
-    sent = blocks.select("block", text).mapInArrow(functools.partial(_send_anchors, bits=bits, **options), SENT)
+    sent = blocks.select("block", text).mapInArrow(per_batches(_send_anchors, bits=bits, **options), SENT)
     anchors = stage(answer(sent, _repeated, np.uint8))
     runs = blocks.select("block", row_id, text).groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(
         per_pair(_send_runs, bits=bits, row_id=row_id, **options), SENT)

@@ -11,7 +11,6 @@ it is worth a look.  The k best of every shard are merged by score.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 from bisect import bisect_left
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relish.llm.arrow import packed, per_group, per_pair
+from relish.llm.arrow import packed, per_batches, per_group, per_pair
 from relish.llm.blocks import stage_blocks
 from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal
 from relish.llm.words import chunks
@@ -219,7 +218,7 @@ def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: s
     total = index.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
     sizes = {"docs": total["docs"] or 1, "words": max(1, total["words"] or 1)}
     bits = bin_bits(total["shards"])
-    known = answer(index.select("block", "keys", "starts", "asked").mapInArrow(functools.partial(_send_frequencies, bits=bits), SENT), _frequencies, np.int64)
+    known = answer(index.select("block", "keys", "starts", "asked").mapInArrow(per_batches(_send_frequencies, bits=bits), SENT), _frequencies, np.int64)
     queries = stage(blocks.filter("is_query").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         per_pair(_queries_of_block, terms=terms, **sizes), QUERIES))
     parts = max(1, math.ceil(queries.count() / PART))

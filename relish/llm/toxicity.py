@@ -11,7 +11,6 @@ pass over the table without a shuffle, with a model of fixed size.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relish.llm.arrow import per_group
+from relish.llm.arrow import per_batches, per_group
 from relish.session import stage
 
 ORDERS = (3, 4, 5)
@@ -157,7 +156,7 @@ def fit(labelled: DataFrame, sample_text: str = "text", label: str = "label", ke
     best = np.sort(best[(clean + toxic)[best] > 0])
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
-    found = rows.mapInArrow(functools.partial(_kept_batches, place=place), "label int, features binary")
+    found = rows.mapInArrow(per_batches(_kept_batches, place=place), "label int, features binary")
     fitted = found.withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(per_group(_fit_task, ratio=ratio[best]), "weights binary, bias double").first()
     weights = np.zeros(BUCKETS, np.float32)
     weights[best] = np.frombuffer(fitted["weights"], "<f8")
@@ -197,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     kept = [c for c in (keep or docs.columns) if c != "score"]
     rows = docs.select(*kept, *([] if text in kept else [text])).withColumn(text, F.col(text).cast("string"))
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(functools.partial(_score_batches, model=model, text=text, kept=kept), schema)
+    return rows.mapInArrow(per_batches(_score_batches, model=model, text=text, kept=kept), schema)
 
 
 def held_out(row_id, folds: int = 5):
