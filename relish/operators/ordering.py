@@ -81,22 +81,26 @@ def with_hash_position(df: DataFrame, key: Column, groups: Sequence[str] = (), n
     )
 
 
+TOP_ROWS = 10_000  # so many first rows are taken by a bounded sort; deeper ones by their position
+
+
 def seeded_window(df: DataFrame, id_col: str, seed: int = 42, start: int = 0, limit: int | None = None) -> DataFrame:
     """Shuffle the whole table by seed, skip ``start`` rows, keep ``limit`` rows.
 
-    With a limit the sort is a bounded top-(start+limit); without one only rows
-    before ``start`` are dropped, by hash position.
+    The first TOP_ROWS rows come from a bounded top sort; deeper windows, and
+    those without a limit, from hash positions, in no particular row order.
     """
     if limit is None and start == 0:
         return df
-    if limit is None:
-        return with_hash_position(df, shuffle_key(seed, id_col), name="_pos").filter(F.col("_pos") >= start).drop("_pos")
-    return df.orderBy(shuffle_key(seed, id_col)).offset(start).limit(limit)
+    if limit is not None and start + limit <= TOP_ROWS:
+        return df.orderBy(shuffle_key(seed, id_col)).offset(start).limit(limit)
+    placed = with_hash_position(df, shuffle_key(seed, id_col), name="_pos").filter(F.col("_pos") >= start)
+    return (placed if limit is None else placed.filter(F.col("_pos") < start + limit)).drop("_pos")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """T4: repeatable random sample of ``n`` rows."""
-    return df.orderBy(shuffle_key(seed, id_col)).limit(n)
+    return seeded_window(df, id_col, seed, 0, n)
 
 
 def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -118,7 +122,10 @@ def systematic_sample(df: DataFrame, order: Sequence[str | Column], size: int) -
 
 def page(df: DataFrame, order: Sequence[str | Column], number: int, size: int = 6) -> DataFrame:
     """One page of records (0-based page number)."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    start = number * size
+    if start + size <= TOP_ROWS:
+        return df.orderBy(*order).offset(start).limit(size)
+    return with_position(df, order, "_pos").filter((F.col("_pos") >= start) & (F.col("_pos") < start + size)).drop("_pos").orderBy(*order)
 
 
 def batch_numbers(df: DataFrame, order: Sequence[str | Column], size: int, name: str = "batch") -> DataFrame:

@@ -105,9 +105,11 @@ def store_violations(store: Store) -> DataFrame:
 
 # ------------------------------------------------------------------ annotation view
 
-def annotation_view(store: Store, human_labeler: int, run_id: str | None = None, bulk: bool = False) -> DataFrame:
+def annotation_view(store: Store, human_labeler: int, run_id: str | None = None, bulk: bool = False, ordered: bool = False) -> DataFrame:
     """Examples with query, item, the label of the generator named by the example's hash, and one human's label.
 
+    ``ordered`` sorts all rows by example, for showing them.
+
     When several labelers share the generator's name, the one that labelled the
     example is used, the lowest id first.
     """
@@ -135,7 +137,8 @@ def annotation_view(store: Store, human_labeler: int, run_id: str | None = None,
     if bulk:
         columns = ["example_id", "query_id", "consumable_id", "query", "consumable_name",
                    F.col("ai.esci_label").alias("ai_esci_label"), "human_esci_label"]
-    return view.select(*columns).orderBy("example_id")
+    shown = view.select(*columns)
+    return shown.orderBy("example_id") if ordered else shown
 
 
 def ambiguous_generators(store: Store) -> DataFrame:

@@ -42,12 +42,12 @@ LEFT JOIN s_label hu ON hu.example_id = e.id AND hu.labeler_id = 1)"""
 @query("J1_annotation_view", f"""{VIEW} SELECT example_id, query_id, consumable_id, example_gen_hash, query, query_filters, consumable_name,
 consumable_ingredients, ai_esci_label, ai_label_reason, human_esci_label FROM view WHERE mlflow_run_id = 'run_7'""")
 def j1(t: Tables):
-    return ops.annotation_view(store_of(t), HUMAN, "run_7").drop("created_at", "human_label_reason", "mlflow_run_id")
+    return ops.annotation_view(store_of(t), HUMAN, "run_7", ordered=True).drop("created_at", "human_label_reason", "mlflow_run_id")
 
 
 @query("J1_bulk_view", f"{VIEW} SELECT example_id, query_id, consumable_id, query, consumable_name, ai_esci_label, human_esci_label FROM view")
 def j1_bulk(t: Tables):
-    return ops.annotation_view(store_of(t), HUMAN, bulk=True)
+    return ops.annotation_view(store_of(t), HUMAN, bulk=True, ordered=True)
 
 
 @query("P6_reviewed_only", f"{VIEW} SELECT example_id, human_esci_label FROM view WHERE human_esci_label IS NOT NULL AND human_esci_label <> ''")
