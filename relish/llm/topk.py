@@ -46,13 +46,13 @@ def _word_table(batches):
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(fresh)
-        rows.append(doc[first] + base)
+        rows.append((doc[first] + base).astype(np.int32))
         keys.append(hashes[first])
-        counts.append(np.diff(np.append(first, len(hashes))))
+        counts.append(np.diff(np.append(first, len(hashes))).astype(np.int32))
         sizes.append(n)
         base += len(n)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return cat(rows, np.int64), cat(keys, np.uint64), cat(counts, np.int64), cat(sizes, np.int64)
+    return cat(rows, np.int32), cat(keys, np.uint64), cat(counts, np.int32), cat(sizes, np.int64)
 
 
 def _index_block(key, table: pa.Table) -> pa.Table:
@@ -61,8 +61,8 @@ def _index_block(key, table: pa.Table) -> pa.Table:
     row, keys, counts, sizes = _word_table(table.to_batches())
     asked = table.column("is_query").to_numpy(zero_copy_only=False)
     wanted = np.unique(keys[asked[row]]) if len(row) else keys
-    order = np.lexsort((row, keys))
-    row, keys, counts = row[order], keys[order], counts[order]
+    order = np.argsort(keys, kind="stable")  # rows of one word stay in order
+    row, counts, keys = row[order], counts[order], keys[order]
     words, starts = np.unique(keys, return_index=True)
     arrays = [table.column("id").to_numpy(zero_copy_only=False), sizes.astype(np.int32), words, np.append(starts, len(keys)).astype(np.int64),
               row.astype(np.int32), counts.astype(np.int32), wanted]
