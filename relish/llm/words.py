@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts are handled in groups of about this many bytes; one longer text makes its own group
+CHUNK_BYTES = 1 << 20  # texts are handled in groups of about this many bytes; one longer text makes its own group
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
