@@ -3,16 +3,17 @@
 Every block of documents is a shard and indexes all its words once; the index
 is a row of packed arrays, with postings in order of document id.  One exchange
 gives each shard the corpus frequency of its queries' words, so all shards
-score with global statistics.  In a shard a query moves through its words'
-postings by WAND: the largest possible scores of words tell which document
-could still enter the top k, the largest scores of blocks of postings whether
-it is worth a look.  The k best of every shard are merged by score.
+score with global statistics.  Packed queries meet every shard without a
+shuffle.  In a shard a query of few words moves through its words' postings by
+WAND: the largest possible scores of words tell which document could still
+enter the top k, the largest scores of blocks of postings whether it is worth a
+look.  With many words these bounds exclude next to nothing, and all postings
+are added up.  The k best of every shard are merged by score.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from bisect import bisect_left
 
 import numpy as np
@@ -28,10 +29,11 @@ from relish.session import stage
 
 K1, B = 1.2, 0.75
 POSTINGS = 64  # postings with one common largest score
-TERMS = 12  # words of a query made from a document
-PART = 65_536  # queries that one task takes through a shard
+SHORT = 12  # words up to which a query goes by WAND
+STEP = 1 << 18  # postings added up at once
+CHUNK = 8 << 20  # bytes of queries that go through a shard together
 INDEX = "block int, docs long, words long, ids binary, sizes binary, keys binary, starts binary, at binary, tf binary, asked binary"
-QUERIES = "query_id long, row long, keys binary, weights binary"
+QUERIES = "query_ids binary, rows binary, lengths binary, keys binary, weights binary"
 HITS = "row long, query_id long, id long, score double"
 
 
@@ -91,8 +93,8 @@ def idf(docs: int, frequency):
     return np.log(1 + (docs - frequency + 0.5) / (frequency + 0.5))
 
 
-def _queries_of_block(key, table: pa.Table, answers: pa.Table, docs: int, words: int, terms: int) -> pa.Table:
-    """The query made from each query document: the words of the whole text that weigh most in it, of those other documents hold too."""
+def _queries_of_block(key, table: pa.Table, answers: pa.Table, docs: int, words: int, terms: int | None) -> pa.Table:
+    """The query made from each query document, in one row: the words of the whole text that other documents hold too; with ``terms``, those that weigh most in it."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
     frequency = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("extra").to_pylist()] or [np.zeros(0, np.int64)])
     order = np.argsort(keys)
@@ -100,16 +102,29 @@ def _queries_of_block(key, table: pa.Table, answers: pa.Table, docs: int, words:
     row, own, counts, sizes = _word_table(table.to_batches())
     df = frequency[np.searchsorted(keys, own)] if len(own) else frequency[:0]
     rare = idf(docs, df)
-    weight = rare * counts * (K1 + 1) / (counts + K1 * (1 - B + B * sizes[row] / (words / docs))) if len(own) else rare
-    out = [[], [], [], []]
-    bounds = np.searchsorted(row, np.arange(table.num_rows + 1))
-    for i, (query, number) in enumerate(zip(table.column("id").to_pylist(), table.column("row").to_pylist())):
-        a, b = bounds[i], bounds[i + 1]
-        some = np.flatnonzero(df[a:b] > 1) + a
-        some = some[np.lexsort((own[some], -weight[some]))[:terms]]
-        for column, value in zip(out, (query, number, packed(own[some]), packed(rare[some]))):
-            column.append(value)
-    return pa.table({"query_id": pa.array(out[0], pa.int64()), "row": pa.array(out[1], pa.int64()), "keys": pa.array(out[2], pa.binary()), "weights": pa.array(out[3], pa.binary())})
+    some = np.flatnonzero(df > 1)
+    if terms is not None and len(some):
+        weight = rare * counts * (K1 + 1) / (counts + K1 * (1 - B + B * sizes[row] / (words / docs)))
+        order = some[np.lexsort((own[some], -weight[some], row[some]))]
+        starts = np.searchsorted(row[order], np.arange(table.num_rows))
+        some = order[np.arange(len(order)) - starts[row[order]] < terms]
+    arrays = [table.column("id").to_numpy(zero_copy_only=False), table.column("row").to_numpy(zero_copy_only=False),
+              np.bincount(row[some], minlength=table.num_rows).astype(np.int64), own[some], rare[some]]
+    return pa.table({name: pa.array([packed(a)] if table.num_rows else [], pa.binary()) for name, a in zip(("query_ids", "rows", "lengths", "keys", "weights"), arrays)})
+
+
+def _pack_queries(batches):
+    """Rows of queries put together to about CHUNK bytes."""
+    names, held = [x.split()[0] for x in QUERIES.split(", ")], []
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in zip(*held)], names)
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+            held.append(row)
+            if sum(len(x) for r in held for x in r) >= CHUNK:
+                yield flush()
+                held = []
+    if held:
+        yield flush()
 
 
 def wand(lists: list[tuple[list[int], list[float], list[float]]], k: int, skip: int) -> list[tuple[float, int]]:
@@ -168,44 +183,76 @@ def wand(lists: list[tuple[list[int], list[float], list[float]]], k: int, skip:
     return [(s, -d) for s, d in sorted(heap, key=lambda x: (-x[0], -x[1]))]
 
 
-def _search_shard(key, table: pa.Table, queries: pa.Table, docs: int, words: int, k: int) -> pa.Table:
-    out: list[list] = [[], [], [], []]
-    if table.num_rows and queries.num_rows:
-        get = lambda name, kind: np.frombuffer(table.column(name)[0].as_py(), kind)
-        ids, sizes, keys, starts, at, tf = (get(n, t) for n, t in (("ids", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64), ("at", np.int32), ("tf", np.int32)))
-        known: dict[int, tuple | None] = {}
+def full(places, weights, starts, at, share, docs: int, k: int, skip: int) -> list[tuple[float, int]]:
+    """As ``wand``, by adding up all postings; each document's sum is taken in the order of the words."""
+    n = starts[places + 1] - starts[places]
+    ends = np.cumsum(n)
+    total, a = np.zeros(docs), 0
+    while a < len(places):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        many = n[a:b]
+        where = np.repeat(starts[places[a:b]] - (ends[a:b] - many - done), many) + np.arange(ends[b - 1] - done)
+        np.add.at(total, at[where].astype(np.intp), share[where] * np.repeat(weights[a:b], many))
+        a = b
+    if skip >= 0:
+        total[skip] = 0.0
+    found = np.flatnonzero(total)
+    if len(found) > k:
+        found = np.flatnonzero(total >= np.partition(total, docs - k)[docs - k])
+    found = found[np.lexsort((found, -total[found]))[:k]]
+    return list(zip(total[found].tolist(), found.tolist()))
+
+
+def _search_shards(batches, docs: int, words: int, k: int):
+    """The best documents of a shard for each query, for rows of a shard's index with some queries."""
+    block = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+            ids, sizes, keys, starts, at, tf = (get(n, t) for n, t in (("ids", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64), ("at", np.int32), ("tf", np.int32)))
+            if not len(keys):
+                continue
+            if block != batch.column("block")[i].as_py():
+                block, known = batch.column("block")[i].as_py(), {}
+                share = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / (words / docs)))[at])
+
+            def postings(place: int):
+                if place not in known:
+                    own = share[starts[place]:starts[place + 1]]
+                    known[place] = at[starts[place]:starts[place + 1]].tolist(), own, np.maximum.reduceat(own, np.arange(0, len(own), POSTINGS))
+                return known[place]
 
-        def postings(word: int):
-            if word not in known:
-                place = int(np.searchsorted(keys, np.uint64(word)))
-                if place == len(keys) or keys[place] != word:
-                    known[word] = None
+            terms, weights, ends = get("q_keys", np.uint64), get("q_weights", np.float64), np.cumsum(get("q_lengths", np.int64))
+            places = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
+            there = keys[places] == terms
+            out: list[list] = [[], [], [], []]
+            first = 0
+            for query, row, end in zip(get("q_query_ids", np.int64).tolist(), get("q_rows", np.int64).tolist(), ends.tolist()):
+                some = np.flatnonzero(there[first:end]) + first
+                first = end
+                if not len(some):
+                    continue
+                own = int(np.searchsorted(ids, query))
+                skip = own if own < len(ids) and ids[own] == query else -1
+                if len(some) <= SHORT:
+                    lists = [(d, (s * w).tolist(), (m * w).tolist()) for (d, s, m), w in zip(map(postings, places[some].tolist()), weights[some].tolist())]
+                    best = wand(lists, k, skip)
                 else:
-                    a, b = starts[place], starts[place + 1]
-                    share = tf[a:b] * (K1 + 1) / (tf[a:b] + K1 * (1 - B + B * sizes[at[a:b]] / (words / docs)))
-                    known[word] = at[a:b].tolist(), share, np.maximum.reduceat(share, np.arange(0, b - a, POSTINGS))
-            return known[word]
-
-        for query, row, terms, weights in zip(*(queries.column(c).to_pylist() for c in ("query_id", "row", "keys", "weights"))):
-            lists = []
-            for word, weight in zip(np.frombuffer(terms, np.uint64).tolist(), np.frombuffer(weights, np.float64).tolist()):
-                if found := postings(word):
-                    lists.append((found[0], (found[1] * weight).tolist(), (found[2] * weight).tolist()))
-            if lists:
-                place = int(np.searchsorted(ids, query))
-                for score, document in wand(lists, k, place if place < len(ids) and ids[place] == query else -1):
+                    best = full(places[some], weights[some], starts, at, share, len(ids), k, skip)
+                for score, document in best:
                     for column, value in zip(out, (row, query, int(ids[document]), score)):
                         column.append(value)
-    return pa.table({"row": pa.array(out[0], pa.int64()), "query_id": pa.array(out[1], pa.int64()), "id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "id", "score"])
 
 
-def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: str = "doc_id", terms: int = TERMS) -> DataFrame:
+def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: str = "doc_id", terms: int | None = None) -> DataFrame:
     """``(query_id, rank, <row_id>, score)``: the k other documents with the largest BM25 scores for each query document.
 
-    Words are lower-cased in A-Z.  The query of a document consists of the
-    ``terms`` words of its whole text with the largest BM25 weight there, of
-    those that occur in several documents; every document with one of them is
-    a candidate.  Results are exact; ties go to the smaller id.
+    Words are lower-cased in A-Z.  The query of a document consists of all
+    distinct words of its text that occur in several documents, or, if
+    ``terms`` is given, of so many of them with the largest BM25 weight there;
+    every document with one of them is a candidate.  Results are exact; ties go to the smaller id.
 
     Rows with a null id take no part.  Null and empty texts are found by
     nothing and, as queries, find nothing.  Rows that share an id are documents
@@ -221,11 +268,8 @@ def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: s
     known = answer(index.select("block", "keys", "starts", "asked").mapInArrow(per_batches(_send_frequencies, bits=bits), SENT), _frequencies, np.int64)
     queries = stage(blocks.filter("is_query").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         per_pair(_queries_of_block, terms=terms, **sizes), QUERIES))
-    parts = max(1, math.ceil(queries.count() / PART))
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    places = index.agg(F.collect_list("block").alias("blocks"))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).withColumn("block", F.explode(places.scalar()))
-    found = index.select("block", "ids", "sizes", "keys", "starts", "at", "tf").withColumn("part", number).groupBy("block", "part").cogroup(
-        asked.groupBy("block", "part")).applyInArrow(per_pair(_search_shard, k=k, **sizes), HITS)
+    asked = stage(queries.mapInArrow(per_batches(_pack_queries), QUERIES))
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).hint("shuffle_replicate_nl")  # read again for each part of the index: a shuffle would write all queries once per shard
+    found = index.select("block", "ids", "sizes", "keys", "starts", "at", "tf").crossJoin(asked).mapInArrow(per_batches(_search_shards, k=k, **sizes), HITS)
     place = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(row_id), "score")
