@@ -6,8 +6,9 @@ words' sums.  The pieces are those of an existing vocabulary, weighed in a
 lattice by a forward recursion in log space (``lattice.py``), and, as one
 further piece each, the words of the training texts, whose counts are
 discounted in favour of spellings.  The vocabulary's own scores give the first
-piece probabilities; passes over the distinct training words then set them to
-the expected counts of the pieces (expectation maximisation).
+piece probabilities; passes over the distinct training words, weighed by how
+often they occur, then set them to the expected counts of the pieces
+(expectation maximisation).
 
 Each block of documents reduces its texts to distinct words once; passes work
 on those.  One exchange of word counts gives every block the corpus count of
@@ -67,7 +68,7 @@ def _words_of_block(key, table: pa.Table) -> pa.Table:
 
 
 def _expected_batches(batches, pieces: list[bytes], log_p: np.ndarray):
-    """Expected piece counts of a task's training words, in rows of PART pieces."""
+    """Expected piece counts of a task's training words, each as often as it occurs, in rows of PART pieces."""
     tool, counts = automaton(pieces), np.zeros(len(pieces))
     for batch in batches:
         for row in range(batch.num_rows):
@@ -75,7 +76,7 @@ def _expected_batches(batches, pieces: list[bytes], log_p: np.ndarray):
             ends = np.cumsum(lengths, dtype=np.int64)
             used = np.flatnonzero(many)
             for some, words in by_length(letters, (ends - lengths)[used], ends[used]):
-                counts += expected(words, np.ones(len(some)), tool, log_p)
+                counts += expected(words, many[used[some]].astype(float), tool, log_p)
     parts = range(-(-len(pieces) // PART))
     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([packed(counts[p * PART:(p + 1) * PART]) for p in parts], pa.binary())], ["part", "counts"])
 
