@@ -6,7 +6,8 @@ into bytes and every byte is indexed.  If two codes differ in at most R bits,
 one of their bytes differs in at most R / bytes bits, so looking up all bytes
 that near to a query's finds every code within R.  Those are ranked by the
 original vectors.  R follows from the score of the k-th best vector found so
-far: codes of vectors that reach it lie within R with a stated confidence.
+far: codes of vectors that reach it lie within R with a stated confidence.  A
+query that finds fewer than k vectors that way is compared with all of them.
 
 A block of vectors meets a block of queries in one task; both have bounded
 size, and a task returns k rows a query.
@@ -156,12 +157,28 @@ def _sample_limits(asked: np.ndarray, own: np.ndarray, codec: Codec, k: int) ->
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 1e-9 * codec.longest**2
 
 
-def _search_block(key, data: pa.Table, queries: pa.Table, codec: Codec, k: int) -> pa.Table:
+def _hits(row: list, query: list, id_: list, score: list) -> pa.Table:
+    return pa.table({"row": pa.array(row, pa.int64()), "query_id": pa.array(query, pa.int64()),
+                     "id": pa.array(id_, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
+def _search_block(key, data: pa.Table, queries: pa.Table, codec: Codec, k: int, every: bool = False) -> pa.Table:
+    """The best vectors of a block for each query, of those within the radius or of ``every`` one."""
     out_row, out_query, out_id, out_score = [], [], [], []
     if data.num_rows and queries.num_rows:
         vectors, ids = _vectors(data), np.array(data.column("id"))
-        index = Index(codec.codes(vectors))
         asked, own = _vectors(queries), np.array(queries.column("id"))
+        if every:
+            for i, row in enumerate(queries.column("row").to_pylist()):
+                found = np.flatnonzero(ids != own[i])
+                scores = _scores(vectors[found], asked[i])
+                top = _best(scores, ids[found], k)
+                out_row += [row] * len(top)
+                out_query += [own[i]] * len(top)
+                out_id += ids[found[top]].tolist()
+                out_score += scores[top].tolist()
+            return _hits(out_row, out_query, out_id, out_score)
+        index = Index(codec.codes(vectors))
         codes, norms = codec.codes(asked, True), np.sqrt((asked**2).sum(1))
         limits = np.concatenate([_sample_limits(asked[i:i + 256], own[i:i + 256], codec, k) for i in range(0, len(asked), 256)])
         for i, row in enumerate(queries.column("row").to_pylist()):
@@ -182,8 +199,7 @@ def _search_block(key, data: pa.Table, queries: pa.Table, codec: Codec, k: int)
             out_query += [own[i]] * len(top)
             out_id += ids[found[top]].tolist()
             out_score += scores[top].tolist()
-    return pa.table({"row": pa.array(out_row, pa.int64()), "query_id": pa.array(out_query, pa.int64()),
-                     "id": pa.array(out_id, pa.int64()), "score": pa.array(out_score, pa.float64())})
+    return _hits(out_row, out_query, out_id, out_score)
 
 
 def usable(vectors: DataFrame, row_id: str, vector: str) -> DataFrame:
@@ -220,11 +236,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, row_id: str = "vec_id", ve
     taken = rows.orderBy(F.xxhash64("id"), "row").limit(sample).collect()
     codec = fit_codec(np.array([r["vector"] for r in taken]), np.array([r["id"] for r in taken]), math.sqrt(sizes["norm"]), k, confidence)
     queries = stage(rows.filter(is_query(F.col("id"))))
-    blocks, parts = max(1, math.ceil(sizes["many"] / block)), max(1, math.ceil(queries.count() / query_block))
-    data = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("part", F.explode(_numbers(parts)))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).withColumn("block", F.explode(_numbers(blocks)))
-    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(
-        per_pair(_search_block, codec=codec, k=k), "row long, query_id long, id long, score double")
     place = Window.partitionBy("row").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("id").alias(row_id), "score")
+
+    def best(asked: DataFrame, every: bool) -> DataFrame:
+        blocks, parts = max(1, math.ceil(sizes["many"] / block)), max(1, math.ceil(asked.count() / query_block))
+        data = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("part", F.explode(_numbers(parts)))
+        spread = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).withColumn("block", F.explode(_numbers(blocks)))
+        found = data.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInArrow(
+            per_pair(_search_block, codec=codec, k=k, every=every), "row long, query_id long, id long, score double")
+        return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+
+    found = stage(best(queries, False))
+    # queries that found fewer than there are
+    many, copies = found.groupBy("row").agg(F.count("*").alias("many")), rows.groupBy("id").agg(F.count("*").alias("copies"))
+    short = stage(queries.join(many, "row", "left").join(copies, "id").filter(
+        F.coalesce("many", F.lit(0)) < F.least(F.lit(k), F.lit(sizes["many"]) - F.col("copies"))).select("row", "id", "vector"))
+    if not short.isEmpty():
+        found = found.join(short.select("row"), "row", "left_anti").unionByName(best(short, True))
+    return found.select("query_id", "rank", F.col("id").alias(row_id), "score")
