@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
+from relish.llm import filter_audit, jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -84,3 +84,8 @@ def op3(table):
 @query("op5_block_max_wand")
 def op5(table):
     return topk.search(table("documents"), lambda id_: id_ % 100 == 0, k=10)
+
+
+@query("op11_filter_audit", filter_audit.SQL)
+def op11(table):
+    return filter_audit.audit(table("documents").select("doc_id", "text", "source"), table("labels"))
