@@ -66,8 +66,8 @@ def masks(docs: DataFrame, labels: DataFrame, filters: Callable[[Column], dict[s
     rows = rows.groupBy("id", "content", "part", "mask").agg(F.count("*").alias("n"))
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").filter("id IS NOT NULL").groupBy("id").agg(
         F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
-        F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic")).withColumn("deal", F.lit(0))
-    spread = F.when(F.col("id").isNull(), F.crc32("content") + 1).otherwise(0).cast("int")  # rows without an id have no labels: no group of them
+        F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic")).withColumn("deal", F.lit(0).cast("long"))
+    spread = F.when(F.col("id").isNull(), F.crc32("content") + 1).otherwise(0)  # rows without an id have no labels: no group of them
     marked = rows.withColumn("deal", spread).join(marks, ["id", "deal"], "left")
     first = rows.filter("id IS NOT NULL").groupBy("content").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     judged = marked.join(first, ["content", "id"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import filter_audit, jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
+from relish.llm import conversation_trie, filter_audit, jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -89,3 +89,8 @@ def op5(table):
 @query("op11_filter_audit", filter_audit.SQL)
 def op11(table):
     return filter_audit.audit(table("documents").select("doc_id", "text", "source"), table("labels"))
+
+
+@query("op12_conversation_trie", conversation_trie.SQL)
+def op12(table):
+    return conversation_trie.rebuilt_trie(table("conversations"))
