@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from relish.llm import conversation_trie, filter_audit, jaccard, lm, mixing, nearest, packing, preferences, substring, topk, toxicity, url_filter
+from relish.llm import conversation_trie, filter_audit, jaccard, lm, mixing, nearest, packing, preferences, substring, suffix_dedup, topk, toxicity, url_filter
 from relish.llm.registry import ORACLES, QUERIES, query
 
 
@@ -94,3 +94,9 @@ def op11(table):
 @query("op12_conversation_trie", conversation_trie.SQL)
 def op12(table):
     return conversation_trie.rebuilt_trie(table("conversations"))
+
+
+@query("op13_suffix_dedup", suffix_dedup.SQL)
+def op13(table):
+    kept = suffix_dedup.remove_repeated_bytes(table("documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
