@@ -98,5 +98,5 @@ def op12(table):
 
 @query("op13_suffix_dedup", suffix_dedup.SQL)
 def op13(table):
-    kept = suffix_dedup.remove_repeated_bytes(table("documents").select("doc_id", "text"))
+    kept = suffix_dedup.remove_repeated_bytes(table("documents"), keep=["doc_id"])
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))

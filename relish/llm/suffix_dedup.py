@@ -5,7 +5,7 @@ pairs of names at growing offsets (8, and so on up to half the threshold, then
 the whole threshold), as prefix doubling ranks suffixes.  Names are 64-bit
 mixes of the pair, so a task computes them from its texts, and a sort need not
 send a rank back for every position: it only says which names stand alone or
-who has them first.  Spark sorts names over all documents three times; after
+who has them first.  Spark sorts names over all documents in three rounds; after
 each sort, positions whose name is unique, or settled, drop out.
 
 1. Names of half the threshold, of synchronising positions only: in every
@@ -35,14 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from relish.llm.arrow import per_batches, per_pair
+from relish.llm.arrow import per_batches, per_group, per_pair
 from relish.llm.blocks import stage_blocks
-from relish.llm.exchange import SENT, answer, bin_bits, count_sorted, deal, is_in, keys_of
-from relish.llm.words import CHUNK_BYTES, mix, text_bytes
+from relish.llm.exchange import bin_bits, count_sorted, is_in
+from relish.llm.words import mix, text_bytes
 from relish.session import stage
 
 LENGTH = 50
 SHORTEST = 16  # a threshold of less than two exact names of eight bytes is not supported
+GROUP_BYTES = 1 << 18  # texts are named in groups of about this many bytes
+SENT = "step int, bin int, block int, keys binary, extra binary"
+ANSWER = "step int, block int, keys binary"
 LAST_ID = np.iinfo(np.int64).max
 UPPER = np.uint64(0xFFFFFFFF00000000)
 LOWER = np.uint64(0x00000000FFFFFFFF)
@@ -74,7 +77,7 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def text_groups(batches, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_groups(batches, text: str, limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Groups of whole rows of about ``limit`` bytes, or one longer row: the rows, their bytes, and offsets."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
@@ -130,7 +133,7 @@ class Synchronised:
         return starts, pair(self.names[starts], self.names[starts + self.length - self.half])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, Synchronised]]:
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = GROUP_BYTES) -> Iterator[tuple[int, Synchronised]]:
     """The windows of a group of texts; a longer text comes in overlapping parts, each with its place in the text."""
     if len(data) <= 2 * limit or len(offsets) > 2:
         yield 0, Synchronised(data, offsets, 0, len(data), length)
@@ -141,6 +144,57 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = C
         yield begin, Synchronised(data[begin:end], np.array([0, end - begin]), low - begin, low - begin + limit, length)
 
 
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit values as a compressed text of their bytes by place; of sorted values, the differences."""
+    values = values.view(np.uint64)
+    if rising:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).reshape(n)
+    return np.cumsum(values, dtype=np.uint64) if rising else values
+
+
+def _table(columns: dict[str, list], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.table({name: pa.array(columns[name], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
+
+
+def _deal(step: int, block: int, keys: np.ndarray, extra: np.ndarray, bits: int) -> pa.Table:
+    """A block's sorted distinct keys, with a value each, dealt into bins by their upper bits."""
+    bins = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    found, starts = np.unique(bins, return_index=True)
+    ends = np.append(starts[1:], len(keys))
+    return _table({"step": [step] * len(found), "bin": found, "block": [block] * len(found),
+                   "keys": [squeeze(keys[a:b], True) for a, b in zip(starts, ends)],
+                   "extra": [squeeze(extra[a:b]) for a, b in zip(starts, ends)]}, SENT)
+
+
+def _sort_bin(key, table: pa.Table) -> pa.Table:
+    """The keys of all blocks in one bin, sorted: which of them concern their block."""
+    judge = {1: _repeated, 2: _earlier_elsewhere, 3: _several, 4: _earlier_elsewhere}[key[0].as_py()]
+    parts = [unsqueeze(b, True) for b in table.column("keys").to_pylist()]
+    keys, extra = np.concatenate(parts), np.concatenate([unsqueeze(b) for b in table.column("extra").to_pylist()])
+    back = judge(keys, extra)
+    blocks, lists, at = [], [], 0
+    for block, part in zip(table.column("block").to_pylist(), parts):
+        chosen = part[back[at:at + len(part)]]
+        at += len(part)
+        if len(chosen):
+            blocks.append(block)
+            lists.append(squeeze(chosen, True))
+    return _table({"step": [key[0].as_py()] * len(blocks), "block": blocks, "keys": lists}, ANSWER)
+
+
+def _sorted_names(sent: DataFrame) -> DataFrame:
+    return sent.groupBy("step", "bin").applyInArrow(per_group(_sort_bin), ANSWER)
+
+
 def _send_names(batches, text: str, length: int, bits: int):
     """Step 1: the distinct names of each block's synchronising positions, and whether one stands at several places."""
     found: dict[int, list[np.ndarray]] = {}
@@ -151,40 +205,37 @@ def _send_names(batches, text: str, length: int, bits: int):
             of = blocks[sync.text]
             for block in np.unique(of).tolist():
                 found.setdefault(block, []).append(own[of == block] if of[0] != of[-1] else own)
-    for block, lists in found.items():
-        keys, many = np.unique(np.concatenate(lists), return_counts=True)
-        yield deal(block, keys, bits, np.minimum(many, 2).astype(np.uint8))
+    for block in list(found):
+        keys, many = np.unique(np.concatenate(found.pop(block)), return_counts=True)
+        yield from _deal(1, block, keys, np.minimum(many, 2).astype(np.uint64), bits).to_batches()
 
 
-def _repeated(keys, many, block):
+def _repeated(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
     order, starts, run = count_sorted(keys)
-    total = np.add.reduceat(many[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
     back = np.zeros(len(keys), bool)
-    back[order] = total[run] > 1
-    return back, None
+    back[order] = np.add.reduceat(many[order], starts)[run] > 1
+    return back
 
 
-def _earlier_elsewhere(keys, ids, block):
+def _earlier_elsewhere(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Entries whose key another block has with a smaller id."""
+    ids = ids.view(np.int64)
     order = np.lexsort((ids, keys))
     sorted_keys, sorted_ids = keys[order], ids[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    starts = np.flatnonzero(fresh)
     back = np.zeros(len(keys), bool)
-    if len(starts):
-        back[order] = sorted_ids > sorted_ids[starts][np.cumsum(fresh) - 1]
-    return back, None
+    back[order] = sorted_ids > sorted_ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    return back
 
 
-def _several(keys, around, block):
+def _several(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Names that have more than one surrounding, within a block or over blocks."""
     order, starts, run = count_sorted(keys)
+    low, high = (f.reduceat(around[order], starts) for f in (np.minimum, np.maximum))
     back = np.zeros(len(keys), bool)
-    if len(starts):
-        low, high = (f.reduceat(around[order], starts) for f in (np.minimum, np.maximum))
-        back[order] = ((low != high) | (low == SEVERAL))[run]
-    return back, None
+    back[order] = ((low != high) | (low == SEVERAL))[run]
+    return back
 
 
 def _ids(table: pa.Table, row_id: str) -> np.ndarray:
@@ -240,44 +291,33 @@ class Block:
         return self.row[of], self.first[of] + nth, self.id[of], self.keys[left]
 
 
-def _no_entries() -> pa.Table:
-    return pa.table({"step": pa.array([], pa.int32()), "bin": pa.array([], pa.int32()), "block": pa.array([], pa.int32()),
-                     "keys": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
-
-
-def _with_step(batch: pa.RecordBatch, step: int) -> pa.Table:
-    return pa.Table.from_batches([batch]).add_column(0, "step", pa.array(np.full(batch.num_rows, step, np.int32)))
-
-
 def _answers(answers: pa.Table) -> list[np.ndarray]:
-    step = answers.column("step").to_numpy()
-    return [keys_of(answers.filter(pa.array(step == s))) for s in (1, 2, 3, 4)]
+    """The keys of each step that concern a block, sorted."""
+    keys: list[list[np.ndarray]] = [[], [], [], []]
+    for step, data in zip(answers.column("step").to_pylist(), answers.column("keys").to_pylist()):
+        keys[step - 1].append(unsqueeze(data, True))
+    return [np.sort(_cat(parts, np.uint64)) for parts in keys]
 
 
 def _send_surroundings(key, table: pa.Table, answers: pa.Table, length: int, bits: int, text: str, row_id: str) -> pa.Table:
-    """Step 2: surroundings with their smallest id, and names with their only surrounding (or SEVERAL)."""
+    """Step 2: surroundings with their smallest id; step 3: names with their only surrounding (or SEVERAL)."""
     if not table.num_rows:
-        return _no_entries()
-    block, number = Block(table, keys_of(answers), None, text, row_id, length), key[0].as_py()
+        return _table({"step": [], "bin": [], "block": [], "keys": [], "extra": []}, SENT)
+    block, number = Block(table, _answers(answers)[0], None, text, row_id, length), key[0].as_py()
     around, least = _least(block.around, block.id)
     order, starts, _ = count_sorted(block.name)
     low, high = (f.reduceat(block.around[order], starts) if len(starts) else np.zeros(0, np.uint64) for f in (np.minimum, np.maximum))
-    return pa.concat_tables([_with_step(deal(number, around, bits, least), 2),
-                             _with_step(deal(number, block.name[order][starts], bits, np.where(low == high, low, SEVERAL)), 3)])
+    return pa.concat_tables([_deal(2, number, around, least, bits), _deal(3, number, block.name[order][starts], np.where(low == high, low, SEVERAL), bits)])
 
 
 def _send_windows(key, table: pa.Table, answers: pa.Table, length: int, bits: int, text: str, row_id: str) -> pa.Table:
-    """Step 3: names of the windows that are still open, with their smallest id."""
+    """Step 4: names of the windows that are still open, with their smallest id."""
     if not table.num_rows:
-        return _no_entries().drop_columns(["step"])
+        return _table({"step": [], "bin": [], "block": [], "keys": [], "extra": []}, SENT)
     repeated, elsewhere, several, _ = _answers(answers)
     block = Block(table, repeated, several, text, row_id, length)
     _, _, ids, keys = block.open_windows(block.settled(elsewhere))
-    return pa.Table.from_batches([deal(key[0].as_py(), *_swap(_least(keys, ids), bits))])
-
-
-def _swap(keyed: tuple[np.ndarray, np.ndarray], bits: int):
-    return keyed[0], bits, keyed[1]
+    return _deal(4, key[0].as_py(), *_least(keys, ids), bits)
 
 
 def _remove(key, table: pa.Table, answers: pa.Table, length: int, text: str, row_id: str, kept_names: list[str], schema: pa.Schema) -> pa.Table:
@@ -294,7 +334,7 @@ def _remove(key, table: pa.Table, answers: pa.Table, length: int, text: str, row
     ends = np.concatenate([(block.first + block.count)[settled], (starts + 1)[gone]]) - 1 + length
     order = np.argsort(rows, kind="stable")
     rows, begins, ends = rows[order], begins[order], ends[order]
-    n_bytes, n_removed, spans, kept, row = [], [], [], [], 0
+    n_bytes, n_removed, span_starts, span_ends, n_spans, kept, row = [], [], [], [], [], [], 0
     for part, data, offsets in text_groups(table.to_batches(), text):
         a, b = np.searchsorted(rows, [row, row + part.num_rows])
         local = offsets[rows[a:b] - row]
@@ -315,20 +355,23 @@ def _remove(key, table: pa.Table, answers: pa.Table, length: int, text: str, row
         n_bytes.append(np.diff(offsets))
         n_removed.append(np.diff(total[offsets]))
         of = np.searchsorted(offsets, opened, "right") - 1
-        lists = [[] for _ in range(part.num_rows)]
-        for o, x, y in zip(of.tolist(), (opened - offsets[of]).tolist(), (closed - offsets[of]).tolist()):
-            lists[o].append({"start": x, "end": y})
-        spans += lists
+        span_starts.append(opened - offsets[of])
+        span_ends.append(closed - offsets[of])
+        n_spans.append(np.bincount(of, minlength=part.num_rows))
         left = offsets - total[offsets]
         kept.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(left.astype(np.int64)),
                                                      pa.py_buffer(np.append(data[~covered], np.uint8(0)))]).cast(pa.binary()))
         row += part.num_rows
+    kind = schema.field("removed").type
+    edges = pa.StructArray.from_arrays([_cat(span_starts, np.int64), _cat(span_ends, np.int64)], fields=[kind.value_type.field(0), kind.value_type.field(1)])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(_cat(n_spans, np.int64))]).astype(np.int32)), edges).cast(kind)
     return pa.Table.from_arrays([*(table.column(c) for c in kept_names), pa.array(_cat(n_bytes, np.int64)), pa.array(_cat(n_removed, np.int64)),
-                                 pa.array(spans, schema.field("removed").type), pa.chunked_array(kept)], schema=schema)
+                                 lists, pa.chunked_array(kept)], schema=schema)
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``removed`` and ``kept_bytes``.
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH,
+                          keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``n_bytes``, ``n_removed``, ``removed`` and ``kept_bytes``.
 
     A byte goes if a string of ``length`` bytes (SHORTEST or more) that covers
     it also starts in a document with a smaller id.  ``removed`` lists the
@@ -345,25 +388,21 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", row_id: str = "do
     if length < SHORTEST:
         raise ValueError(f"length must be {SHORTEST} or more")
     made = ["n_bytes", "n_removed", "removed", "kept_bytes"]
-    kept_names = [c for c in docs.columns if c not in [*made, "block"]]
-    blocks = stage_blocks(docs.select(*kept_names).withColumn(text, F.col(text).cast("string")).withColumn(row_id, F.col(row_id).cast("long")))
-    options = {"length": length, "text": text}
+    kept_names = [c for c in (docs.columns if keep is None else keep) if c not in [*made, "block"]]
+    blocks = stage_blocks(docs.select(*dict.fromkeys([*kept_names, row_id, text])).withColumn(text, F.col(text).cast("string"))
+                          .withColumn(row_id, F.col(row_id).cast("long")))
+    options = {"length": length, "text": text, "row_id": row_id}
     bits = bin_bits(blocks.select("block").distinct().count())
     rows = blocks.select("block", row_id, text)
-    sent = blocks.select("block", text).mapInArrow(per_batches(_send_names, bits=bits, **options), SENT)
-    known = stage(answer(sent, _repeated, np.uint8).withColumn("step", F.lit(1)))
-    sent = stage(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        per_pair(_send_surroundings, bits=bits, row_id=row_id, **options), "step int, " + SENT))
-    second = answer(sent.filter("step = 2").drop("step"), _earlier_elsewhere, np.int64).withColumn("step", F.lit(2))
-    third = answer(sent.filter("step = 3").drop("step"), _several, np.uint64).withColumn("step", F.lit(3))
-    known = stage(known.unionByName(second).unionByName(third))
-    sent = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(per_pair(_send_windows, bits=bits, row_id=row_id, **options), SENT)
-    known = known.unionByName(answer(sent, _earlier_elsewhere, np.int64).withColumn("step", F.lit(4)))
+    ask = lambda fn, known: rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(per_pair(fn, bits=bits, **options), SENT)
+    known = stage(_sorted_names(blocks.select("block", text).mapInArrow(per_batches(_send_names, text=text, length=length, bits=bits), SENT)))
+    known = known.unionByName(stage(_sorted_names(ask(_send_surroundings, known))))
+    known = known.unionByName(_sorted_names(ask(_send_windows, known)))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*(blocks.schema[c] for c in kept_names), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("removed", span), T.StructField("kept_bytes", T.BinaryType())])
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        per_pair(_remove, row_id=row_id, kept_names=kept_names, schema=to_arrow_schema(schema), **options), schema)
+        per_pair(_remove, kept_names=kept_names, schema=to_arrow_schema(schema), **options), schema)
 
 
 SQL = r"""
