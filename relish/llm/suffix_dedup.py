@@ -9,7 +9,7 @@ who has them first.  Spark sorts names over all documents in three rounds; after
 each sort, positions whose name is unique, or settled, drop out.
 
 1. Names of half the threshold, of synchronising positions only: in every
-   window of the threshold's length the position with the smallest name, so equal
+   window of the threshold's length the position with the smallest lower half of a name, so equal
    windows have theirs at the same place and one position in thirteen is sorted.
    Where this name is unique, no window around it is repeated.
 2. Pairs of these with the names on both sides: all bytes that any window of
@@ -47,7 +47,6 @@ GROUP_BYTES = 1 << 18  # texts are named in groups of about this many bytes
 SENT = "step int, bin int, block int, keys binary, extra binary"
 ANSWER = "step int, block int, keys binary"
 LAST_ID = np.iinfo(np.int64).max
-UPPER = np.uint64(0xFFFFFFFF00000000)
 LOWER = np.uint64(0x00000000FFFFFFFF)
 SEVERAL = np.uint64(0)
 
@@ -101,7 +100,7 @@ class Synchronised:
         self.names, self.at, self.first, self.count = np.zeros(0, np.uint64), empty, empty, empty
         if len(data) >= length:
             self.names = names(data, self.half)
-            order = (self.names & UPPER) | np.arange(len(self.names), dtype=np.uint64)
+            order = (self.names << np.uint64(32)) | np.arange(len(self.names), dtype=np.uint64)  # by lower halves: keys are dealt by upper bits
             lowest = _lowest(order, length - self.half + 1)
             inside = np.zeros(len(data) + 1, np.int8)
             long_enough = np.diff(offsets) >= length
@@ -206,8 +205,12 @@ def _send_names(batches, text: str, length: int, bits: int):
             for block in np.unique(of).tolist():
                 found.setdefault(block, []).append(own[of == block] if of[0] != of[-1] else own)
     for block in list(found):
-        keys, many = np.unique(np.concatenate(found.pop(block)), return_counts=True)
-        yield from _deal(1, block, keys, np.minimum(many, 2).astype(np.uint64), bits).to_batches()
+        keys = np.concatenate(found.pop(block))
+        keys.sort()
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(fresh)
+        yield from _deal(1, block, keys[starts], np.minimum(np.diff(np.append(starts, len(keys))), 2).astype(np.uint64), bits).to_batches()
 
 
 def _repeated(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -255,7 +258,8 @@ def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
 class Block:
     """The synchronising positions of a block's texts whose name is repeated: name, surroundings, text (row of the block) and windows."""
 
-    def __init__(self, table: pa.Table, repeated: np.ndarray, several: np.ndarray | None, text: str, row_id: str, length: int):
+    def __init__(self, table: pa.Table, repeated: np.ndarray, several: np.ndarray | None, elsewhere: np.ndarray | None, text: str,
+                 row_id: str, length: int):
         ids = _ids(table, row_id)
         name, around, rows, first, count, detailed, keys = [], [], [], [], [], [], []
         row = 0
@@ -264,15 +268,15 @@ class Block:
                 sync.keep(is_in(sync.names[sync.at], repeated))
                 name.append(sync.names[sync.at])
                 around.append(sync.surroundings())
-                rows.append(sync.text + row)
+                rows.append((sync.text + row).astype(np.int32))
                 first.append(sync.first - sync.offsets[sync.text] + shift)
-                count.append(sync.count)
+                count.append(sync.count.astype(np.int32))
                 if several is not None:
-                    detailed.append(is_in(name[-1], several))
+                    detailed.append(is_in(name[-1], several) & ~is_in(around[-1], elsewhere))
                     keys.append(sync.windows(np.flatnonzero(detailed[-1]))[1])
             row += part.num_rows
         self.name, self.around = _cat(name, np.uint64), _cat(around, np.uint64)
-        self.row, self.first, self.count = _cat(rows, np.int64), _cat(first, np.int64), _cat(count, np.int64)
+        self.row, self.first, self.count = _cat(rows, np.int32), _cat(first, np.int64), _cat(count, np.int32)
         self.id = ids[self.row]
         self.detailed = _cat(detailed, bool)  # positions whose windows are named one by one
         self.keys = _cat(keys, np.uint64)  # names of the windows of these
@@ -282,13 +286,11 @@ class Block:
         keys, least = _least(self.around, self.id)
         return is_in(self.around, elsewhere) | (self.id > least[np.searchsorted(keys, self.around)]) if len(keys) else np.zeros(0, bool)
 
-    def open_windows(self, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start, id and name of every window of the detailed positions that are not settled."""
-        of = np.repeat(np.flatnonzero(self.detailed), self.count[self.detailed])
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(self.count[self.detailed]) - self.count[self.detailed], self.count[self.detailed])
+    def open_windows(self, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position (an index) and name of every window of the detailed positions that are not settled."""
+        of = np.repeat(np.flatnonzero(self.detailed).astype(np.int32), self.count[self.detailed])
         left = ~settled[of]
-        of, nth = of[left], nth[left]
-        return self.row[of], self.first[of] + nth, self.id[of], self.keys[left]
+        return of[left], self.keys[left]
 
 
 def _answers(answers: pa.Table) -> list[np.ndarray]:
@@ -303,7 +305,7 @@ def _send_surroundings(key, table: pa.Table, answers: pa.Table, length: int, bit
     """Step 2: surroundings with their smallest id; step 3: names with their only surrounding (or SEVERAL)."""
     if not table.num_rows:
         return _table({"step": [], "bin": [], "block": [], "keys": [], "extra": []}, SENT)
-    block, number = Block(table, _answers(answers)[0], None, text, row_id, length), key[0].as_py()
+    block, number = Block(table, _answers(answers)[0], None, None, text, row_id, length), key[0].as_py()
     around, least = _least(block.around, block.id)
     order, starts, _ = count_sorted(block.name)
     low, high = (f.reduceat(block.around[order], starts) if len(starts) else np.zeros(0, np.uint64) for f in (np.minimum, np.maximum))
@@ -315,9 +317,9 @@ def _send_windows(key, table: pa.Table, answers: pa.Table, length: int, bits: in
     if not table.num_rows:
         return _table({"step": [], "bin": [], "block": [], "keys": [], "extra": []}, SENT)
     repeated, elsewhere, several, _ = _answers(answers)
-    block = Block(table, repeated, several, text, row_id, length)
-    _, _, ids, keys = block.open_windows(block.settled(elsewhere))
-    return _deal(4, key[0].as_py(), *_least(keys, ids), bits)
+    block = Block(table, repeated, several, elsewhere, text, row_id, length)
+    of, keys = block.open_windows(block.settled(elsewhere))
+    return _deal(4, key[0].as_py(), *_least(keys, block.id[of]), bits)
 
 
 def _remove(key, table: pa.Table, answers: pa.Table, length: int, text: str, row_id: str, kept_names: list[str], schema: pa.Schema) -> pa.Table:
@@ -325,13 +327,18 @@ def _remove(key, table: pa.Table, answers: pa.Table, length: int, text: str, row
     if not table.num_rows:
         return schema.empty_table()
     repeated, elsewhere, several, windows = _answers(answers)
-    block = Block(table, repeated, several, text, row_id, length)
+    block = Block(table, repeated, several, elsewhere, text, row_id, length)
     settled = block.settled(elsewhere)
-    rows, starts, ids, keys = block.open_windows(settled)
-    names_, least = _least(keys, ids)
-    gone = is_in(keys, windows) | (ids > least[np.searchsorted(names_, keys)]) if len(keys) else np.zeros(0, bool)
-    rows, begins = np.concatenate([block.row[settled], rows[gone]]), np.concatenate([block.first[settled], starts[gone]])
-    ends = np.concatenate([(block.first + block.count)[settled], (starts + 1)[gone]]) - 1 + length
+    of, keys = block.open_windows(settled)
+    distinct, least = _least(keys, block.id[of])
+    gone = is_in(keys, windows)
+    if len(keys):
+        gone |= block.id[of] > least[np.searchsorted(distinct, keys)]
+    nth = np.arange(len(of)) - np.searchsorted(of, of)  # windows of a position are neighbours, in order
+    rows, begins = np.concatenate([block.row[settled], block.row[of[gone]]]), np.concatenate([block.first[settled], (block.first[of] + nth)[gone]])
+    ends = begins + length
+    ends[:int(settled.sum())] += block.count[settled] - 1
+    del of, keys, nth, distinct, least
     order = np.argsort(rows, kind="stable")
     rows, begins, ends = rows[order], begins[order], ends[order]
     n_bytes, n_removed, span_starts, span_ends, n_spans, kept, row = [], [], [], [], [], [], 0
