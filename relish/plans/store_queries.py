@@ -376,9 +376,9 @@ def m12(t: Tables):
     return ops.update_label_reasons(s, edits).label.select("id", "label_reason")
 
 
-@query("M13_copy_ai_labels", f"""{VIEW}, w AS (SELECT * FROM view WHERE example_gen_hash = 'g3')
-SELECT example_id, esci_label FROM s_label WHERE labeler_id = 1 AND example_id NOT IN (SELECT example_id FROM w WHERE ai_esci_label IS NOT NULL)
-UNION ALL SELECT example_id, ai_esci_label FROM w WHERE ai_esci_label IS NOT NULL""")
+@query("M13_copy_ai_labels", f"""{VIEW}, w AS MATERIALIZED (SELECT example_id, ai_esci_label FROM view WHERE example_gen_hash = 'g3' AND ai_esci_label IS NOT NULL)
+SELECT l.example_id, l.esci_label FROM s_label l ANTI JOIN w USING (example_id) WHERE l.labeler_id = 1
+UNION ALL SELECT example_id, ai_esci_label FROM w""")
 def m13(t: Tables):
     s = store_of(t)
     out, _ = ops.copy_ai_labels(s, s.example.filter("example_gen_hash = 'g3'").select("id"), HUMAN, at())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 STAGE_ROW_GROUP = 8 << 20  # small row groups, so that a reader can split a staged file over many tasks
+FULL_SPLIT = 128 << 20
 _local_fallback: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -79,6 +80,20 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table over all cores.
+
+    A file is read in one task per row group, however many cores wait.  A table
+    of less than one full split per core is dealt out before costly work; a
+    larger one has splits enough and is left as it is.
+    """
+    if not hasattr(df.sparkSession, "_jsparkSession"):
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if cores > 1 and int(str(size)) < cores * FULL_SPLIT else df
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete tables written by ``stage`` that no later result reads."""
     for df in frames:

@@ -132,7 +132,7 @@ def test_duplicate_queries_collapse(spark, store):
 def test_ambiguous_generators_do_not_multiply_rows(spark, store):
     twice = store.replace(labeler=store.labeler.unionByName(conform(
         spark.createDataFrame([(9, "h0", "labeler", "synthetic_data_generation_intent")], "id long, name string, role string, type string"), "labeler")))
-    view = ops.annotation_view(twice, 1)
+    view = ops.annotation_view(twice, 1, ordered=True)
     assert [(r["example_id"], r["ai_esci_label"], r["human_esci_label"]) for r in view.collect()] == [(1, "E", None), (2, "S", "I"), (3, "E", None), (4, None, None)]
     assert ops.ambiguous_generators(twice).first()["name"] == "h0"
 
