@@ -31,8 +31,9 @@ K1, B = 1.2, 0.75
 POSTINGS = 64  # postings with one common largest score
 SHORT = 12  # words up to which a query goes by WAND
 STEP = 1 << 18  # postings added up at once
-CHUNK = 8 << 20  # bytes of queries that go through a shard together
-INDEX = "block int, docs long, words long, ids binary, sizes binary, keys binary, starts binary, at binary, tf binary, asked binary"
+CHUNK = 2 << 20  # bytes of queries that go through a shard together
+SHARD_POSTINGS = 1 << 20  # postings of a shard; more only where one text has more words
+INDEX = "block int, docs long, words long, ids binary, rows binary, sizes binary, keys binary, starts binary, at binary, tf binary, asked binary"
 QUERIES = "query_ids binary, rows binary, lengths binary, keys binary, weights binary"
 HITS = "row long, query_id long, id long, score double"
 
@@ -57,19 +58,30 @@ def _word_table(batches):
     return cat(rows, np.int32), cat(keys, np.uint64), cat(counts, np.int32), cat(sizes, np.int64)
 
 
-def _index_block(key, table: pa.Table) -> pa.Table:
-    """The inverted index of a shard."""
+def _index_block(key, table: pa.Table, most: int) -> pa.Table:
+    """The inverted indexes of the shards of a block: runs of its documents, in order of ids, with a bounded number of postings."""
     table = table.take(pa.array(np.argsort(table.column("id").to_numpy(zero_copy_only=False), kind="stable")))
-    row, keys, counts, sizes = _word_table(table.to_batches())
+    all_rows, all_keys, all_counts, all_sizes = _word_table(table.to_batches())
+    ends = np.searchsorted(all_rows, np.arange(table.num_rows), "right")
     asked = table.column("is_query").to_numpy(zero_copy_only=False)
-    wanted = np.unique(keys[asked[row]]) if len(row) else keys
-    order = np.argsort(keys, kind="stable")  # rows of one word stay in order
-    row, counts, keys = row[order], counts[order], keys[order]
-    words, starts = np.unique(keys, return_index=True)
-    arrays = [table.column("id").to_numpy(zero_copy_only=False), sizes.astype(np.int32), words, np.append(starts, len(keys)).astype(np.int64),
-              row.astype(np.int32), counts.astype(np.int32), wanted]
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "docs": pa.array([table.num_rows]), "words": pa.array([int(sizes.sum())]),
-                     **{name: pa.array([packed(a)], pa.binary()) for name, a in zip(("ids", "sizes", "keys", "starts", "at", "tf", "asked"), arrays)}})
+    out: list[tuple] = []
+    low = 0
+    while low < table.num_rows:
+        begin = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, begin + most, "right")))
+        own = slice(begin, int(ends[high - 1]))
+        row, keys, counts = all_rows[own] - low, all_keys[own], all_counts[own]
+        wanted = np.unique(keys[asked[low:high][row]]) if len(row) else keys
+        order = np.argsort(keys, kind="stable")  # rows of one word stay in order
+        words, starts = np.unique(keys[order], return_index=True)
+        part = table.slice(low, high - low)
+        arrays = [part.column("id").to_numpy(zero_copy_only=False), part.column("row").to_numpy(zero_copy_only=False), all_sizes[low:high].astype(np.int32), words,
+                  np.append(starts, len(keys)).astype(np.int64), row[order].astype(np.int32), counts[order].astype(np.int32), wanted]
+        out.append((key[0].as_py(), part.num_rows, int(all_sizes[low:high].sum()), *(packed(a) for a in arrays)))
+        low = high
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = zip(*out) if out else [[] for _ in INDEX.split(", ")]
+    return pa.table({c.split()[0]: pa.array(x, kinds[c.split()[1]]) for c, x in zip(INDEX.split(", "), columns)})
 
 
 def _send_frequencies(batches, bits: int):
@@ -206,15 +218,16 @@ def full(places, weights, starts, at, share, docs: int, k: int, skip: int) -> li
 
 def _search_shards(batches, docs: int, words: int, k: int):
     """The best documents of a shard for each query, for rows of a shard's index with some queries."""
-    block = None
+    shard = None
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-            ids, sizes, keys, starts, at, tf = (get(n, t) for n, t in (("ids", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64), ("at", np.int32), ("tf", np.int32)))
+            ids, own_rows, sizes, keys, starts, at, tf = (get(n, t) for n, t in (
+                ("ids", np.int64), ("rows", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64), ("at", np.int32), ("tf", np.int32)))
             if not len(keys):
                 continue
-            if block != batch.column("block")[i].as_py():
-                block, known = batch.column("block")[i].as_py(), {}
+            if shard != own_rows[0]:
+                shard, known = int(own_rows[0]), {}
                 share = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / (words / docs)))[at])
 
             def postings(place: int):
@@ -233,8 +246,8 @@ def _search_shards(batches, docs: int, words: int, k: int):
                 first = end
                 if not len(some):
                     continue
-                own = int(np.searchsorted(ids, query))
-                skip = own if own < len(ids) and ids[own] == query else -1
+                own = np.flatnonzero(own_rows == row)
+                skip = int(own[0]) if len(own) else -1
                 if len(some) <= SHORT:
                     lists = [(d, (s * w).tolist(), (m * w).tolist()) for (d, s, m), w in zip(map(postings, places[some].tolist()), weights[some].tolist())]
                     best = wand(lists, k, skip)
@@ -246,7 +259,8 @@ def _search_shards(batches, docs: int, words: int, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "id", "score"])
 
 
-def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: str = "doc_id", terms: int | None = None) -> DataFrame:
+def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: str = "doc_id", terms: int | None = None,
+           shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """``(query_id, rank, <row_id>, score)``: the k other documents with the largest BM25 scores for each query document.
 
     Words are lower-cased in A-Z.  The query of a document consists of all
@@ -256,12 +270,12 @@ def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: s
 
     Rows with a null id take no part.  Null and empty texts are found by
     nothing and, as queries, find nothing.  Rows that share an id are documents
-    and queries of their own; a query leaves out its own row's id once.  An
-    empty table gives an empty result; other columns are not read.
+    and queries of their own; a query leaves out its own row only.  An empty
+    table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
     blocks = stage_blocks(rows.withColumn("is_query", is_query(F.col("id"))).withColumn("row", F.monotonically_increasing_id()))
-    index = stage(blocks.groupBy("block").applyInArrow(per_group(_index_block), INDEX))
+    index = stage(blocks.groupBy("block").applyInArrow(per_group(_index_block, most=shard_postings), INDEX))
     total = index.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
     sizes = {"docs": total["docs"] or 1, "words": max(1, total["words"] or 1)}
     bits = bin_bits(total["shards"])
@@ -270,6 +284,6 @@ def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: s
         per_pair(_queries_of_block, terms=terms, **sizes), QUERIES))
     asked = stage(queries.mapInArrow(per_batches(_pack_queries), QUERIES))
     asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).hint("shuffle_replicate_nl")  # read again for each part of the index: a shuffle would write all queries once per shard
-    found = index.select("block", "ids", "sizes", "keys", "starts", "at", "tf").crossJoin(asked).mapInArrow(per_batches(_search_shards, k=k, **sizes), HITS)
+    found = index.select("ids", "rows", "sizes", "keys", "starts", "at", "tf").crossJoin(asked).mapInArrow(per_batches(_search_shards, k=k, **sizes), HITS)
     place = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(row_id), "score")

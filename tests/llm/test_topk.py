@@ -46,3 +46,11 @@ def test_adding_up_equals_wand(monkeypatch, step):
         skip = int(at[0])
         want = topk.wand([(d, s.tolist(), np.maximum.reduceat(s, np.arange(0, len(s), topk.POSTINGS)).tolist()) for d, s in own], 10, skip)
         assert topk.full(places, weights[places], starts, at, share, 900, 10, skip) == want
+
+
+@pytest.mark.parametrize("partitions, postings", [(1, 1 << 20), (8, 1 << 20), (2, 3)])
+def test_repeated_ids_do_not_depend_on_partitions(spark, partitions, postings):
+    rows = [(100, "one two three four")] * 3 + [(i, f"word{i % 4} two four x{i}") for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = topk.search(df, lambda i: i % 100 == 0, k=2, shard_postings=postings)
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got.collect()) == [(100, 1, 100)] * 3 + [(100, 2, 100)] * 3
