@@ -25,6 +25,7 @@ MAX_LENGTH = 1024
 END_ID = 0
 ROWS_AT_ONCE = 64
 TWO_SPACES = re.compile(r"\s\s")
+LONG_SPACE = re.compile(r"\s{10000}")  # the rank library's pattern runs out of stack on far longer runs
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -62,7 +63,13 @@ class Encoder:
         """Ids of each text."""
         if self.ranks is None:
             return self.whole(texts)
-        return [self.whole([t])[0] if "<|" in t else np.array((self.ranks if TWO_SPACES.search(t) else self.plain)(t), "<u4").tobytes() for t in texts]
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        spaces = TWO_SPACES.search(text)
+        if "<|" in text or spaces and LONG_SPACE.search(text):
+            return self.whole([text])[0]
+        return np.array((self.ranks if spaces else self.plain)(text), "<u4").tobytes()
 
 
 def encoder(path: str, ranks: str | None) -> Encoder:
