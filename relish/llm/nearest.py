@@ -137,6 +137,7 @@ def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    scores = np.where(np.isnan(scores), -np.inf, scores)  # opposite overflows
     if len(scores) > 4 * k:
         some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
         return some[np.lexsort((ids[some], -scores[some]))][:k]
@@ -162,7 +163,7 @@ def _hits(row: list, query: list, id_: list, score: list) -> pa.Table:
                      "id": pa.array(id_, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
-def _search_block(key, data: pa.Table, queries: pa.Table, codec: Codec, k: int, every: bool = False) -> pa.Table:
+def _search_block(key, data: pa.Table, queries: pa.Table, codec: Codec | None, k: int, every: bool = False) -> pa.Table:
     """The best vectors of a block for each query, of those within the radius or of ``every`` one."""
     out_row, out_query, out_id, out_score = [], [], [], []
     if data.num_rows and queries.num_rows:
@@ -221,7 +222,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, row_id: str = "vec_id", ve
     ``is_query`` maps the id column to a condition.  A query's own id is no
     candidate of it.  Vectors that are null, zero, hold a null or non-finite
     component, have a null id or another length than the most common one take
-    no part.  Ties go to the smaller id; rows that repeat an id are candidates
+    no part.  Where the square of a norm overflows, codes say nothing, and all
+    vectors are compared.  Ties go to the smaller id; rows that repeat an id are candidates
     and queries of their own.  An empty table gives an empty result; other
     columns are not read.
     """
@@ -233,8 +235,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, row_id: str = "vec_id", ve
     if sizes is None:
         return spark.createDataFrame([], empty)
     rows = rows.filter(F.size("vector") == sizes["n"])
-    taken = rows.orderBy(F.xxhash64("id"), "row").limit(sample).collect()
-    codec = fit_codec(np.array([r["vector"] for r in taken]), np.array([r["id"] for r in taken]), math.sqrt(sizes["norm"]), k, confidence)
+    finite = math.isfinite(sizes["norm"])
+    taken = [] if not finite else rows.orderBy(F.xxhash64("id"), "row").limit(sample).collect()
+    codec = None if not finite else fit_codec(np.array([r["vector"] for r in taken]), np.array([r["id"] for r in taken]), math.sqrt(sizes["norm"]), k, confidence)
     queries = stage(rows.filter(is_query(F.col("id"))))
     place = Window.partitionBy("row").orderBy(F.desc("score"), "id")
 
@@ -246,6 +249,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, row_id: str = "vec_id", ve
             per_pair(_search_block, codec=codec, k=k, every=every), "row long, query_id long, id long, score double")
         return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
+    if not finite:
+        return best(queries, True).select("query_id", "rank", F.col("id").alias(row_id), "score")
     found = stage(best(queries, False))
     # queries that found fewer than there are
     many, copies = found.groupBy("row").agg(F.count("*").alias("many")), rows.groupBy("id").agg(F.count("*").alias("copies"))
