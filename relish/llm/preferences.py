@@ -17,18 +17,25 @@ TRAINED = ("assistant",)
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv_id, turns)``: the turns of each conversation, ordered by turn, then role and text, as (role, text)."""
+    """``(conv_id, turns)``: the turns of each conversation, ordered by turn, then role and text, as (role, text).
+
+    Rows without a conversation id belong to none and are left out.
+    """
     entry = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return turns.groupBy(conv_id).agg(F.array_sort(F.collect_list(entry)).alias("turns")).withColumn(
+    return turns.filter(F.col(conv_id).isNotNull()).groupBy(conv_id).agg(F.array_sort(F.collect_list(entry)).alias("turns")).withColumn(
         "turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
+def _plain(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
+
+
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("")), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), _plain(turn["role"]), F.lit(CLOSE))
 
 
 def _body(turn: Column) -> Column:
-    return F.concat(F.coalesce(turn["text"], F.lit("")), F.lit(END))
+    return F.concat(_plain(turn["text"]), F.lit(END))
 
 
 def render(turns: Column) -> Column:
@@ -54,7 +61,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """``pairs`` with ``n_common``, ``prompt``, ``chosen_text``, ``rejected_text``, ``chosen_spans`` and ``rejected_spans``.
 
     ``chosen`` and ``rejected`` are arrays of (role, text).  Turns are equal if
-    role and text are; null equals null and renders as empty; a null role is not
+    role and text are; null is the same as empty and renders so; a null role is not
     trained.  A null conversation counts as empty.  If one conversation begins
     the other, or both are equal, its completion is empty.  Repeated rows are
     formatted alike, an empty table gives an empty result, and columns of
@@ -64,7 +71,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     a, b = F.coalesce(F.col(chosen), none), F.coalesce(F.col(rejected), none)
     both = F.least(F.size(a), F.size(b))
     same = F.transform(F.arrays_zip(F.slice(a, 1, both).alias("a"), F.slice(b, 1, both).alias("b")),
-                       lambda z: z["a"]["role"].eqNullSafe(z["b"]["role"]) & z["a"]["text"].eqNullSafe(z["b"]["text"]))
+                       lambda z: (_plain(z["a"]["role"]) == _plain(z["b"]["role"])) & (_plain(z["a"]["text"]) == _plain(z["b"]["text"])))
     first = F.array_position(same, False)
     out = pairs.withColumn("n_common", F.when(first > 0, first - 1).otherwise(both.cast("long")))
     start = (F.col("n_common") + 1).cast("int")
@@ -79,6 +86,7 @@ def reply_pairs(turns: DataFrame) -> DataFrame:
 
     The other reply is the conversation's first one, or an empty one if there
     is no other.  Without an assistant turn both sides are the whole conversation.
+    Rows without a conversation id are left out.
     """
     told = conversations(turns)
     is_reply = lambda t: F.coalesce(t["role"] == "assistant", F.lit(False))
@@ -94,7 +102,7 @@ def reply_pairs(turns: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH t AS (
-  SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+  SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 ends AS (
   SELECT *, max(CASE WHEN role = 'assistant' THEN pos END) OVER w AS last, min(CASE WHEN role = 'assistant' THEN pos END) OVER w AS first,
     min_by(text, CASE WHEN role = 'assistant' THEN pos END) OVER w AS first_text FROM t WINDOW w AS (PARTITION BY conv_id)),
