@@ -33,6 +33,7 @@ SHORT = 12  # words up to which a query goes by WAND
 STEP = 1 << 18  # postings added up at once
 CHUNK = 2 << 20  # bytes of queries that go through a shard together
 SHARD_POSTINGS = 1 << 20  # postings of a shard; more only where one text has more words
+HELD = 1 << 20  # hits after which those of a task are reduced
 INDEX = "block int, docs long, words long, ids binary, rows binary, sizes binary, keys binary, starts binary, at binary, tf binary, asked binary"
 QUERIES = "query_ids binary, rows binary, lengths binary, keys binary, weights binary"
 HITS = "row long, query_id long, id long, score double"
@@ -216,9 +217,19 @@ def full(places, weights, starts, at, share, docs: int, k: int, skip: int) -> li
     return list(zip(total[found].tolist(), found.tolist()))
 
 
+def _leading(hits: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """The k best (row, query, id, score) of each query row; ties to the smaller id."""
+    row, query, found, score = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((found, -score, row))
+    row, query, found, score = row[order], query[order], found[order], score[order]
+    first = np.searchsorted(row, row)
+    lead = np.arange(len(row)) - first < k
+    return [row[lead], query[lead], found[lead], score[lead]]
+
+
 def _search_shards(batches, docs: int, words: int, k: int):
-    """The best documents of a shard for each query, for rows of a shard's index with some queries."""
-    shard = None
+    """The best documents of a task's shards for each of its queries, from rows of a shard's index with some queries."""
+    shard, hits, held = None, [], 0
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
@@ -256,7 +267,13 @@ def _search_shards(batches, docs: int, words: int, k: int):
                 for score, document in best:
                     for column, value in zip(out, (row, query, int(ids[document]), score)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "id", "score"])
+            hits.append([np.array(x, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64))])
+            held += len(out[0])
+            if held > HELD:
+                hits = [_leading(hits, k)]
+                held = len(hits[0][0]) // 2  # all of it may be needed: what is held grows with the queries of the task only
+    if hits:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _leading(hits, k)], ["row", "query_id", "id", "score"])
 
 
 def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: str = "doc_id", terms: int | None = None,
