@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relish.operators import cluster, filters
+from relish.operators import cluster, filters, minibatch
 from relish.plans.registry import Tables, query
 from relish.session import stage
 
@@ -185,3 +185,22 @@ def c4_two_sums(t: Tables):
     projected, shares = cluster.pca_2d(sums, "sums")
     return projected.select("vec_id", F.round(F.abs("pc1"), 5).alias("pc1"), F.round(F.abs("pc2"), 5).alias("pc2"),
                             F.round(F.lit(shares[0]), 6).alias("share1"), F.round(F.lit(shares[1]), 6).alias("share2"))
+
+
+@query("C1_minibatch_sweep", f"""WITH {APART},
+fit AS (SELECT count(DISTINCT label)::INT AS k, round(sum((x - m) * (x - m)), 4) AS inertia FROM parts JOIN centre USING (label, pos)),
+d AS (SELECT x.vec_id, x.label, y.label AS other, sum(list_distance(x.e, y.e)) AS s, count(*) AS n FROM apart x JOIN apart y ON true GROUP BY ALL),
+p AS (SELECT vec_id, max(CASE WHEN label = other THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT k, inertia, round((SELECT avg((b - a) / greatest(a, b)) FROM p), 6) AS silhouette FROM fit""")
+def c1_minibatch(t: Tables):
+    points = apart(t)
+    found = minibatch.sweep(points, "vec_id", "vec", [points.select("label").distinct().count()])
+    return found.select("k", F.round("inertia", 4).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("C2_minibatch", "SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first_of_cluster FROM embeddings")
+def c2_minibatch(t: Tables):
+    points = apart(t)
+    found = minibatch.assign(points, "vec", minibatch.fit(points, "vec_id", "vec", [points.select("label").distinct().count()]))
+    first = found.groupBy("cluster").agg(F.min("vec_id").alias("first_of_cluster"))
+    return found.join(first, "cluster").select("vec_id", "first_of_cluster")
