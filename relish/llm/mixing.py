@@ -4,8 +4,9 @@ Each row gets a hash-random key.  Whole passes over a source (epochs) are taken
 while its target allows; of the last, partial pass the rows come in key order up
 to the exact word where the budget ends.  Only sums per source and key range
 are shuffled: prefix sums over 4,096 key ranges name the range in which the
-budget ends, and only the rows of that one range are sorted.  The texts
-themselves never move.
+budget ends, and only the rows of that one range are sorted.  Rows equal in id
+and text have one key; they are told apart by their place in the input.  The
+texts themselves never move.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ def word_count(text: Column) -> Column:
     return F.when(text.rlike(WORD), F.length(marks)).otherwise(0).cast("long")
 
 
-def random_key(row_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(row_id.cast("string"), F.lit("null"))))
+def random_key(row_id: Column, text: Column, seed: str) -> Column:
+    """MD5 of seed, id and text: rows that share an id have keys of their own unless their texts are equal too."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(row_id.cast("string"), F.lit("null")), F.lit(":"),
+                          F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -53,29 +56,47 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         F.when(F.col("_found").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_found") * F.col("_w"))).alias("target"))
 
 
-def cuts(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Where each source's budget ends: ``(source, source_size, target, passes, cut_key, cut_words, cut_rows)``.
+def _last_step(steps: DataFrame, goal: DataFrame, order: str) -> DataFrame:
+    """Per source the step at which its budget ends: ``(source, <order>, _left)``, with what is left of it there.
+
+    ``steps(source, <order>, _words)`` are sums, ``goal(source, _left)`` is the budget.
+    """
+    ahead = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = steps.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
+    return placed.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).filter(
+        (F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_words"))).select(
+        "s.source", order, (F.col("_left") - F.col("_before")).alias("_left"))
+
 
-    ``rows(source, key, size)``.  Rows before ``cut_key`` are taken once more
-    than ``passes`` times, the ``cut_rows`` rows with that very key (one, unless
-    an id repeats) take ``cut_words`` words together, later rows nothing more.
+def _within(rows: DataFrame, edge: DataFrame, at: Column, order: str) -> DataFrame:
+    """The rows of the step that ``edge`` names for their source."""
+    named = edge.select(F.col("source").alias("_source"), F.col(order).alias("_at"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source")) & (at == F.col("_at"))).drop("_source", "_at")
+
+
+def cuts(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Where each source's budget ends: ``(source, source_size, target, passes, cut_key, cut_row, cut_words)``.
+
+    ``rows(source, key, part, row, size)``, in the order of key and row; ``row``
+    matters among rows of one key only, and lies in the partition ``part``.
+    Rows before the cut are taken once more than ``passes`` times, the row at the
+    cut gives ``cut_words`` words, later rows nothing more.  Ranges of keys, keys,
+    partitions and rows are summed in turn, each inside the step found before,
+    so no window meets more rows than one range or one partition holds.
     """
     budget = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    budget = budget.withColumn("_rest", (F.floor("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    bins = rows.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("_bin")).agg(F.sum("size").alias("_words"))
-    ahead = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
-    edge = bins.alias("b").join(budget.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).filter(
-        (F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words"))).select(
-        F.col("t.source").alias("_source"), F.col("_bin").alias("_edge_bin"), (F.col("_rest") - F.col("_before")).alias("_left"))
-    inside = rows.join(edge, rows.source.eqNullSafe(edge["_source"]) & (F.substring("key", 1, RANGE_DIGITS) == F.col("_edge_bin")))
-    keyed = inside.groupBy("source", "key", "_left").agg(F.sum("size").alias("_words"), F.count("*").alias("cut_rows"))
-    ahead = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
-    cut = keyed.filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_words"))).select(
-        F.col("source").alias("_cut_source"), F.col("key").alias("cut_key"), (F.col("_left") - F.col("_before")).alias("cut_words"), "cut_rows")
+    left = budget.select("source", (F.floor("target") - F.col("passes") * F.col("source_size")).cast("long").alias("_left"))
+    digits = F.substring("key", 1, RANGE_DIGITS)
+    total = F.sum("size").alias("_words")
+    in_range = _last_step(rows.groupBy("source", digits.alias("_bin")).agg(total), left, "_bin")
+    key = stage(_last_step(_within(rows, in_range, digits, "_bin").groupBy("source", "key").agg(total), in_range, "key"))
+    same_key = _within(rows, key, F.col("key"), "key")
+    part = stage(_last_step(same_key.groupBy("source", "part").agg(total), key, "part"))
+    row = _last_step(_within(same_key, part, F.col("part"), "part").select("source", "row", F.col("size").alias("_words")), part, "row")
+    cut = key.alias("k").join(row.alias("r"), F.col("k.source").eqNullSafe(F.col("r.source"))).select(
+        F.col("k.source").alias("_cut_source"), F.col("key").alias("cut_key"), F.col("row").alias("cut_row"), F.col("r._left").alias("cut_words"))
     return budget.join(cut, budget.source.eqNullSafe(cut["_cut_source"]), "left").select(
-        "source", "source_size", "target", "passes", "cut_key", "cut_words", "cut_rows")
+        "source", "source_size", "target", "passes", "cut_key", "cut_row", "cut_words")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", seed: str = "mix",
@@ -85,22 +106,24 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", row_id: str
     ``mix_taken`` = ``mix_passes`` whole copies + the first ``mix_last`` words.  Per
     source the taken words add up to the floor of its target.  Null and empty
     texts have size 0 and take nothing; a null source is a source of its own;
-    a null id is one more id.  Rows that share an id share a key: if the budget
-    ends among them, they take equal parts, rounded.  An empty table gives an
-    empty result; other columns pass through, unless they bear a ``mix_`` name
-    from above, which is replaced.
+    a null id is one more id.  Keys come from id and text; rows equal in both are
+    taken one after the other, which of them first does not change the result.
+    An empty table gives an empty result; other columns pass through, unless
+    they bear a ``mix_`` name from above, which is replaced.
     """
     made = ["mix_size", "mix_source_size", "mix_target", "mix_passes", "mix_last", "mix_taken"]
     docs = docs.drop(*made)
-    sized = docs.select(F.col(source).alias("source"), random_key(F.col(row_id), seed).alias("key"), word_count(F.col(text)).alias("size"))
-    rows = stage(sized)
+    key = random_key(F.col(row_id), F.col(text), seed)
+    rows = stage(docs.select(F.col(source).alias("source"), key.alias("key"), F.spark_partition_id().alias("part"),
+                             F.monotonically_increasing_id().alias("row"), word_count(F.col(text)).alias("size")))
     goal = stage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
     cut = cuts(rows, goal).select(*[F.col(c).alias(f"_mix_{c}") for c in
-                                    ("source", "source_size", "target", "passes", "cut_key", "cut_words", "cut_rows")])
-    keyed = docs.withColumn("mix_size", word_count(F.col(text))).withColumn("_mix_key", random_key(F.col(row_id), seed))
+                                    ("source", "source_size", "target", "passes", "cut_key", "cut_row", "cut_words")])
+    keyed = docs.withColumns({"mix_size": word_count(F.col(text)), "_mix_key": key, "_mix_row": F.monotonically_increasing_id()})
     joined = keyed.join(stage(cut), F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    last = (F.when(F.col("_mix_key") < F.col("_mix_cut_key"), F.col("mix_size"))
-            .when(F.col("_mix_key") == F.col("_mix_cut_key"), F.least(F.col("mix_size"), F.round(F.col("_mix_cut_words") / F.col("_mix_cut_rows")).cast("long")))
+    same = F.col("_mix_key") == F.col("_mix_cut_key")
+    last = (F.when((F.col("_mix_key") < F.col("_mix_cut_key")) | (same & (F.col("_mix_row") < F.col("_mix_cut_row"))), F.col("mix_size"))
+            .when(same & (F.col("_mix_row") == F.col("_mix_cut_row")), F.col("_mix_cut_words"))
             .otherwise(F.lit(0)).cast("long"))
     return joined.withColumns({
         "mix_source_size": F.col("_mix_source_size"), "mix_target": F.col("_mix_target"), "mix_passes": F.col("_mix_passes"), "mix_last": last,
@@ -125,7 +148,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
   FROM sized GROUP BY source),

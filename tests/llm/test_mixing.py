@@ -33,12 +33,17 @@ def n_words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def place(row):
+    row_id, _, text = row
+    return hashlib.md5(f"mix:{'null' if row_id is None else row_id}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+
+
 def plain(rows):
     sizes = {}
     for _, source, text in rows:
         sizes[source] = sizes.get(source, 0) + n_words(text)
     target, taken, out = reshared(sizes), {}, []
-    for row_id, source, text in sorted(rows, key=lambda r: hashlib.md5(f"mix:{r[0] if r[0] is not None else 'null'}".encode()).hexdigest()):
+    for row_id, source, text in sorted(rows, key=place):
         n, size = n_words(text), sizes[source]
         passes = int(target[source] // size) if size else 0
         rest = int(target[source]) - passes * size
@@ -81,13 +86,19 @@ def test_rerun_agrees_and_an_empty_table_is_empty(spark):
     assert run(spark, []) == []
 
 
-def test_repeated_rows_share_the_end_of_the_budget(spark):
-    rows = [(7, "a", "x y z")] * 50 + [(i, "b", "u v") for i in range(100, 160)]
+@pytest.mark.parametrize("rows", [
+    [(7, "a", "x y z")] * 50 + [(i, "b", "u v") for i in range(100, 160)],
+    [(7, "a", f"w{i}") for i in range(500)] + [(7, "a", "v " * 1000)] + [(8, "b", "x " * 500)],
+    [(None, "a", " ".join(["x"] * (i % 90))) for i in range(400)] + [(None, "b", "y")] * 300 + [(None, None, "z z")] * 40,
+])
+def test_repeated_and_null_ids_reach_the_targets(spark, rows):
     got = run(spark, rows)
-    for source in ("a", "b"):
+    for source in {r[1] for r in rows}:
         own = [r for r in got if r[1] == source]
-        assert abs(sum(r[5] for r in own) - own[0][4]) <= len(own)
+        assert 0 <= own[0][4] - sum(r[5] for r in own) < 1
         assert all(r[5] <= 2 * r[2] for r in own)
+    full = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=full) == sorted(run(spark, rows[::-1]), key=full)
 
 
 def test_documents_of_the_mix(spark):
