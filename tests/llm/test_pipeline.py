@@ -62,3 +62,23 @@ def test_stages(spark, folder):
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
     assert all(r["length"] & (r["length"] - 1) == 0 for r in packed)
     assert corpus_pipeline.run(spark, folder).count() == len(packed)
+
+
+CLASHES = ["score", "block", "row", "n_words", "n_removed", "repeats", "kept_text", "mix_size", "mix_taken", "root", "id", "_copy", "ids", "start", "dotted.name"]
+
+
+@pytest.mark.parametrize("number", [0, 3])
+def test_clashing_columns_pass_through_and_empty_tables_stay_empty(spark, folder, number):
+    rows = [(10 * i, " ".join(f"u{i}x{j}" for j in range(40 + number * i)), "s", *[f"{c}{10 * i}" for c in CLASHES]) for i in range(4 * number)]
+    rows += [(None, None, None, *["n"] * len(CLASHES))] * number
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        after = function(spark, docs, folder)
+        assert after.columns == docs.columns, name
+        got = after.collect()
+        assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
+        assert all(r[c] == (f"{c}{r['doc_id']}" if r["doc_id"] is not None else "n") for r in got for c in CLASHES), name
+        assert name == "mixing" or len(got) == len(rows), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len({r["doc_id"] for r in packed}) == len({r[0] for r in rows})
