@@ -4,7 +4,9 @@ A vector belongs to the cell of its nearest pivot.  A cell is cut into chunks of
 bounded size by a hash of the id, so many copies of one vector never meet in one
 task.  Distance bounds between a vector and a cell decide which cells have to be
 visited; they only skip cells that provably hold nothing of interest, so the
-results stay exact.
+results stay exact.  Bounds are widened by what rounding may do to them, which
+follows the lengths of the vectors.  Pivots form a tree of two levels: groups
+whose bound fails are left out, and rows pass in tiles of a fixed size.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from relish.session import stage
 
 PIVOT_BYTES = 32 << 20  # size bound of the pivot matrix shipped with every task
 CHUNK_BITS = 20
+TILE_BYTES = 16 << 20  # size bound of the distances that a task holds at once
+ROUNDING = 4 * np.finfo(np.float64).eps
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -35,26 +39,155 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def rounding(d: np.ndarray, dim: int, lengths: np.ndarray | float) -> np.ndarray:
+    """What a distance ``d`` from ``squared_distances`` may be off, at squared lengths that sum to ``lengths``."""
+    off = ROUNDING * (dim + 4) * np.asarray(lengths, dtype=np.float64)
+    return np.minimum(np.sqrt(off), off / np.maximum(d, np.finfo(np.float64).tiny))
+
+
+class PivotTree:
+    """Pivots in about sqrt(n) groups, each a centre and its reach.
+
+    All distances are taken from the pivots' mean, so that vectors far from the
+    origin lose nothing by it.  ``looked`` counts the distances to pivots taken.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.shift = pivots.mean(0)
+        self.points = pivots - self.shift
+        self.dim = pivots.shape[1]
+        pick = np.random.default_rng(0).permutation(len(pivots))[:max(1, math.isqrt(len(pivots)))]
+        centres = self.points[np.sort(pick)]
+        owner = np.concatenate([squared_distances(self.points[a:a + 4096], centres).argmin(1) for a in range(0, len(pivots), 4096)])
+        owned = np.unique(owner)
+        self.members = [np.flatnonzero(owner == g) for g in owned]
+        self.centres = centres[owned]
+        self.longest = float((self.points ** 2).sum(1).max())
+        apart = [np.sqrt(squared_distances(self.points[m], c[None, :]).max()) for m, c in zip(self.members, self.centres, strict=True)]
+        self.reach = np.array(apart) + math.sqrt(ROUNDING * (self.dim + 4) * 2 * self.longest)
+        self.looked = 0
+
+    def tiles(self, vecs: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        width = max(len(self.centres), max(len(m) for m in self.members), self.dim)
+        rows = max(1, TILE_BYTES // (8 * width))
+        for start in range(0, len(vecs), rows):
+            yield slice(start, start + rows), vecs[start:start + rows] - self.shift
+
+    def distances(self, x: np.ndarray, to: np.ndarray) -> np.ndarray:
+        self.looked += len(x) * len(to)
+        return np.sqrt(squared_distances(x, to))
+
+    def slack(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return rounding(d, self.dim, (x * x).sum(1) + self.longest)
+
+    def nearest(self, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row the nearest pivot, its distance and what that may be off."""
+        cell, dist, off = np.zeros(len(vecs), dtype=np.int64), np.full(len(vecs), np.inf), np.zeros(len(vecs))
+        for rows, x in self.tiles(vecs):
+            low = np.sqrt(squared_distances(x, self.centres))
+            first = low.argmin(1)
+            low = low - self.reach - self.slack(x, np.zeros(len(x)))[:, None]
+            best, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+            for own in (True, False):
+                for g, members in enumerate(self.members):
+                    todo = np.flatnonzero(first == g) if own else np.flatnonzero((first != g) & (low[:, g] <= best))
+                    if len(todo):
+                        d = self.distances(x[todo], self.points[members])
+                        k = d.argmin(1)
+                        d = d[np.arange(len(todo)), k]
+                        better = (d < best[todo]) | ((d == best[todo]) & (members[k] < at[todo]))
+                        best[todo[better]], at[todo[better]] = d[better], members[k[better]]
+            cell[rows], dist[rows], off[rows] = at, best, self.slack(x, best)
+        return cell, dist, off
+
+    def reached(self, vecs: np.ndarray, group_bound, bound) -> list[np.ndarray]:
+        """For each row the pivots that pass ``bound(rows, x, pivots)``, asked for groups that pass ``group_bound(rows, x)`` only."""
+        out = []
+        for rows, x in self.tiles(vecs):
+            open_groups = group_bound(rows, x)
+            row, pivot = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for g, members in enumerate(self.members):
+                todo = np.flatnonzero(open_groups[:, g])
+                if len(todo):
+                    r, c = np.nonzero(bound(np.arange(rows.start, rows.start + len(x))[todo], x[todo], members))
+                    row.append(todo[r])
+                    pivot.append(members[c])
+            row, pivot = np.concatenate(row), np.concatenate(pivot)
+            order = np.lexsort((pivot, row))
+            out.extend(np.split(pivot[order], np.cumsum(np.bincount(row, minlength=len(x)))[:-1]))
+        return out
+
+    def most(self, values: np.ndarray) -> np.ndarray:
+        """The largest of the pivots' values in each group."""
+        return np.array([values[m].max() for m in self.members])
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Pivots with the radius and the number of chunks of each cell (all bounded by the pivot count)."""
+    """Pivots with the radius and the number of chunks of each cell (all bounded by the pivot count).
+
+    ``off`` bounds by how much a row may be farther from its pivot than from another.
+    """
 
     pivots: np.ndarray
     radius: np.ndarray
     chunks: np.ndarray
+    off: float = 0.0
 
     @property
     def dim(self) -> int:
         return self.pivots.shape[1]
 
+    def cells_within(self, vecs: np.ndarray, eps: float, tree: PivotTree | None = None) -> list[np.ndarray]:
+        """For each row the cells that may hold a vector within ``eps``.
+
+        A cell is skipped when it is farther than its radius plus ``eps``, or
+        when its pivot is more than ``2*eps`` farther than the nearest pivot.
+        """
+        tree = tree or PivotTree(self.pivots)
+        _, near, off = tree.nearest(vecs)
+        farthest = near + off + 2 * eps + self.off
+        reach = tree.most(self.radius)
+
+        def groups(rows, x):
+            d = np.sqrt(squared_distances(x, tree.centres)) - tree.slack(x, np.zeros(len(x)))[:, None] - tree.reach
+            return (d <= reach + eps) & (d <= farthest[rows, None])
+
+        def pivots(rows, x, members):
+            d = tree.distances(x, tree.points[members])
+            d = d - rounding(d, tree.dim, ((x * x).sum(1) + tree.longest)[:, None])
+            return (d <= self.radius[members] + eps) & (d <= farthest[rows, None])
+
+        return tree.reached(vecs, groups, pivots)
+
+    def cells_scoring(self, vecs: np.ndarray, low: np.ndarray, tree: PivotTree | None = None) -> list[np.ndarray]:
+        """For each row the cells that may hold an inner product of at least its ``low``."""
+        tree = tree or PivotTree(self.pivots)
+        length = np.sqrt((vecs * vecs).sum(1))
+        radius = np.maximum(self.radius, 0.0)
+        reach = tree.reach + tree.most(np.where(self.chunks > 0, radius, 0.0))
+        size = np.sqrt((self.pivots ** 2).sum(1).max()) + radius.max()
+        enough = low - ROUNDING * (tree.dim + 4) * length * size - 1e-12  # scores are compared at 12 digits
+
+        def groups(rows, x):
+            q = vecs[rows]
+            return q @ (tree.centres + tree.shift).T + length[rows, None] * reach >= enough[rows, None]
+
+        def pivots(rows, x, members):
+            tree.looked += len(x) * len(members)
+            best = vecs[rows] @ self.pivots[members].T + length[rows, None] * radius[members]
+            return (best >= enough[rows, None]) & (self.chunks[members] > 0)
+
+        return tree.reached(vecs, groups, pivots)
+
 
 def _assign(pivots: np.ndarray):
-    @F.pandas_udf("cell int, dist double")
+    @F.pandas_udf("cell int, dist double, off double")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tree = PivotTree(pivots)
         for vecs in batches:
-            d = squared_distances(matrix(vecs, pivots.shape[1]), pivots)
-            cell = d.argmin(1) if len(vecs) else np.zeros(0, dtype=int)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "dist": np.sqrt(d[np.arange(len(vecs)), cell])})
+            cell, dist, off = tree.nearest(matrix(vecs, pivots.shape[1]))
+            yield pd.DataFrame({"cell": cell.astype("int32"), "dist": dist + off, "off": off})
 
     return nearest
 
@@ -81,12 +214,12 @@ def partition_vectors(items: DataFrame, id_col: str, vec: str, rows_per_bucket:
     pivots = np.unique(np.array([r[vec] for r in chosen], dtype=np.float64), axis=0)
     placed = stage(items.withColumn("_a", _assign(pivots)(F.col(vec))))
     stats = placed.groupBy("_a.cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_a.dist").alias("r")).collect()  # one row per pivot
+        F.count(F.lit(1)).alias("n"), F.max("_a.dist").alias("r"), F.max("_a.off").alias("off")).collect()  # one row per pivot
     radius, chunks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
     for s in stats:
         radius[s["cell"]] = s["r"]
         chunks[s["cell"]] = math.ceil(s["n"] / rows_per_bucket)
-    cells = Cells(pivots, radius, chunks)
+    cells = Cells(pivots, radius, chunks, 2 * max((s["off"] for s in stats), default=0.0))
     counts = F.array(*[F.lit(int(c)) for c in chunks]) if len(chunks) <= 64 else None
     placed = placed.withColumn("cell", F.col("_a.cell"))
     if counts is not None:
@@ -108,20 +241,13 @@ def _codes(cells: Cells, chosen: np.ndarray) -> np.ndarray:
 
 
 def visits_within(df: DataFrame, vec: str, cells: Cells, eps: float) -> DataFrame:
-    """Rows repeated for every bucket that may hold a vector within ``eps`` (column ``bucket``).
-
-    A cell is skipped when it is farther than its radius plus ``eps``, or when
-    its pivot is more than ``2*eps`` farther than the nearest pivot.
-    """
-    tol = 1e-9
+    """Rows repeated for every bucket that may hold a vector within ``eps`` (column ``bucket``)."""
 
     @F.pandas_udf("array<long>")
     def route(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree = PivotTree(cells.pivots)
         for vecs in batches:
-            d = np.sqrt(squared_distances(matrix(vecs, cells.dim), cells.pivots))
-            near = d.min(1, keepdims=True) if len(vecs) else d
-            ok = (d <= cells.radius[None, :] + eps + tol) & (d <= near + 2 * eps + tol)
-            yield pd.Series([_codes(cells, np.nonzero(row)[0]) for row in ok])
+            yield pd.Series([_codes(cells, found) for found in cells.cells_within(matrix(vecs, cells.dim), eps, tree)], dtype=object)
 
     if len(cells.pivots) == 1:
         every = F.sequence(F.lit(0).cast("long"), F.lit(int(cells.chunks[0]) - 1).cast("long"))
@@ -131,16 +257,13 @@ def visits_within(df: DataFrame, vec: str, cells: Cells, eps: float) -> DataFram
 
 def visits_scoring(df: DataFrame, vec: str, floor: str, cells: Cells) -> DataFrame:
     """Rows repeated for every bucket that may hold an inner product of at least ``floor``."""
-    tol = 1e-9
 
     @F.pandas_udf("array<long>")
     def route(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tree = PivotTree(cells.pivots)
         for vecs, low in batches:
-            q = matrix(vecs, cells.dim)
-            length = np.sqrt((q * q).sum(1))[:, None]
-            best = q @ cells.pivots.T + length * np.maximum(cells.radius, 0.0)[None, :]
-            ok = (best >= low.to_numpy()[:, None] - tol) & (cells.chunks > 0)[None, :]
-            yield pd.Series([_codes(cells, np.nonzero(row)[0]) for row in ok])
+            found = cells.cells_scoring(matrix(vecs, cells.dim), low.to_numpy(dtype=np.float64), tree)
+            yield pd.Series([_codes(cells, f) for f in found], dtype=object)
 
     if len(cells.pivots) == 1:
         every = F.sequence(F.lit(0).cast("long"), F.lit(int(cells.chunks[0]) - 1).cast("long"))
@@ -154,9 +277,10 @@ def home_bucket(df: DataFrame, vec: str, cells: Cells) -> DataFrame:
 
     @F.pandas_udf("long")
     def home(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree = PivotTree(cells.pivots[full])
         for vecs in batches:
-            d = squared_distances(matrix(vecs, cells.dim), cells.pivots[full])
-            yield pd.Series((full[d.argmin(1)].astype(np.int64) << CHUNK_BITS) if len(vecs) else [], dtype="int64")
+            cell, _, _ = tree.nearest(matrix(vecs, cells.dim))
+            yield pd.Series(full[cell].astype(np.int64) << CHUNK_BITS)
 
     return df.withColumn("bucket", home(F.col(vec)))
 

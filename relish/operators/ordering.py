@@ -87,15 +87,16 @@ TOP_ROWS = 10_000  # so many first rows are taken by a bounded sort; deeper ones
 def seeded_window(df: DataFrame, id_col: str, seed: int = 42, start: int = 0, limit: int | None = None) -> DataFrame:
     """Shuffle the whole table by seed, skip ``start`` rows, keep ``limit`` rows.
 
-    The first TOP_ROWS rows come from a bounded top sort; deeper windows, and
-    those without a limit, from hash positions, in no particular row order.
+    The first TOP_ROWS rows come from a bounded top sort, deeper windows from
+    hash positions; both are in shuffled order.  The whole table is returned as
+    it is.
     """
     if limit is None and start == 0:
         return df
     if limit is not None and start + limit <= TOP_ROWS:
         return df.orderBy(shuffle_key(seed, id_col)).offset(start).limit(limit)
     placed = with_hash_position(df, shuffle_key(seed, id_col), name="_pos").filter(F.col("_pos") >= start)
-    return (placed if limit is None else placed.filter(F.col("_pos") < start + limit)).drop("_pos")
+    return (placed if limit is None else placed.filter(F.col("_pos") < start + limit)).orderBy("_pos").drop("_pos")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

@@ -87,6 +87,6 @@ def test_deep_windows_use_positions(spark):
     deep = ordering.seeded_window(df, "id", 7, 12_000, 40)
     assert "TakeOrdered" not in deep._jdf.queryExecution().executedPlan().toString()
     order = [r["id"] for r in df.orderBy(ordering.shuffle_key(7, "id")).collect()]
-    assert {r["id"] for r in deep.collect()} == set(order[12_000:12_040])
-    assert {r["id"] for r in ordering.sample_n(df, "id", 11_000, 7).collect()} == set(order[:11_000])
+    assert [r["id"] for r in deep.collect()] == order[12_000:12_040]
+    assert [r["id"] for r in ordering.sample_n(df, "id", 11_000, 7).collect()] == order[:11_000]
     assert [r["id"] for r in ordering.page(df, ["id"], 4000, 6).collect()] == list(range(24_000, 24_006))
