@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relish.functions import dietary, text
-from relish.operators import aggregates, filters, joins, ordering, setops, windows
+from relish.operators import aggregates, filters, joins, ordering, setops, sketches, windows
 from relish.plans.registry import Tables, query
+from relish.session import stage
 
 # Keywords found in the part names of the test tables.
 PART_KEYWORDS = {
@@ -569,3 +570,23 @@ def j9(t: Tables):
 @query("J10_not_in", "SELECT DISTINCT text FROM documents WHERE lang = 'en' AND text NOT IN (SELECT text FROM documents WHERE source = 'src1')")
 def j10(t: Tables):
     return joins.not_in(t.documents.filter("lang = 'en'"), "text", t.documents.filter("source = 'src1'")).select("text").distinct()
+
+
+@query("A7_merged_sketches", """SELECT c AS "column", count(*) AS "rows", count(*) - count(v) AS nulls, TRUE AS distinct_holds, TRUE AS quantiles_hold
+FROM (SELECT 'l_extendedprice' AS c, l_extendedprice::DOUBLE AS v FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity::DOUBLE FROM lineitem
+UNION ALL SELECT 'l_partkey', l_partkey::DOUBLE FROM lineitem) GROUP BY c""")
+def a7_sketches(t: Tables):
+    # a part per return flag, merged; errors are judged against the rows
+    columns, points = ["l_extendedprice", "l_quantity", "l_partkey"], {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    parts = sketches.profile_parts(t.lineitem, ["l_returnflag"], columns)
+    profile = stage(sketches.read_profile(sketches.merge_parts(parts), points))
+    values = t.lineitem.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    ranks = [x for name in points for x in (F.count_if(F.col("v") < F.col(name)).alias(f"{name}_low"), F.count_if(F.col("v") <= F.col(name)).alias(f"{name}_high"))]
+    exact = values.join(profile.select("column", *points), "column").groupBy("column").agg(F.count_distinct("v").alias("exact"), *ranks)
+    counted, slack = F.col("rows") - F.col("nulls"), 3 * sketches.RANK_ERROR
+    held = F.lit(True)
+    for name, p in points.items():
+        held = held & (F.col(f"{name}_low") <= counted * (p + slack)) & (F.col(f"{name}_high") >= counted * (p - slack))
+    return profile.join(exact, "column").select(
+        "column", "rows", "nulls", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * sketches.DISTINCT_ERROR * F.col("exact")).alias("distinct_holds"),
+        held.alias("quantiles_hold"))

@@ -14,7 +14,7 @@ from relish.plans.registry import Tables, query
 from relish.plans.store_queries import at
 from relish.plans.store_sql import store_ctes, store_of
 from relish.session import shared_dir
-from relish.sources import readers, writers
+from relish.sources import csv_ranges, readers, writers
 
 W = "WITH " + store_ctes()
 
@@ -30,6 +30,13 @@ def s1(t: Tables):
     return readers.read_csv(t.spark, path, t.documents.schema)
 
 
+@query("S1_read_csv_ranges", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def s1_ranges(t: Tables):
+    path = out(t)
+    writers.write_csv(t.documents, path)
+    return csv_ranges.read_csv_ranges(t.spark, path, t.documents.schema)
+
+
 @query("S2_read_parquet", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def s2(t: Tables):
     return readers.read_parquet(t.spark, f"{t.folder}/part.parquet").select("p_partkey", "p_name", "p_retailprice")

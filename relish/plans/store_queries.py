@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from relish.operators.store import Store
 from relish.plans.basic_queries import DIETS, diets
 from relish.plans.registry import Tables, query
 from relish.plans.store_sql import GENERATED_SQL, generated_rows, store_ctes, store_of
+from relish.session import shared_dir
+from relish.streaming import label_log
 
 W = "WITH " + store_ctes()
 
@@ -345,13 +349,27 @@ def label_edits(t: Tables) -> DataFrame:
         (F.col("l_linenumber") * 10000 + F.col("l_suppkey")).cast("long").alias("seq"))
 
 
-@query("M9_upsert_labels", f"""{W}, {EDITS}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY edited_at DESC, seq DESC) AS r FROM edits WHERE esci_label <> 'X') WHERE r = 1)
+M9_SQL = f"""{W}, {EDITS}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY edited_at DESC, seq DESC) AS r FROM edits WHERE esci_label <> 'X') WHERE r = 1)
 SELECT l.id, l.labeler_id, l.example_id, coalesce(e.esci_label, l.esci_label) AS esci_label, l.label_reason FROM s_label l LEFT JOIN last e ON e.example_id = l.example_id AND e.labeler_id = l.labeler_id
-UNION ALL SELECT (SELECT max(id) FROM s_label) + row_number() OVER (ORDER BY e.example_id), 1, e.example_id, e.esci_label, NULL FROM last e WHERE e.example_id NOT IN (SELECT example_id FROM s_label WHERE labeler_id = 1)""")
+UNION ALL SELECT (SELECT max(id) FROM s_label) + row_number() OVER (ORDER BY e.example_id), 1, e.example_id, e.esci_label, NULL FROM last e WHERE e.example_id NOT IN (SELECT example_id FROM s_label WHERE labeler_id = 1)"""
+
+
+@query("M9_upsert_labels", M9_SQL)
 def m9(t: Tables):
     return ops.upsert_labels(store_of(t, "label"), label_edits(t))[0].label.drop("created_at", "auto_label_score")
 
 
+@query("M9_label_log", M9_SQL)
+def m9_log(t: Tables):
+    # the edits arrive as files, some of them twice
+    base = f"{shared_dir(t.spark)}/relish-log-{uuid.uuid4().hex}"
+    edits = label_edits(t).select("example_id", "labeler_id", "esci_label", "edited_at", "seq")
+    edits.write.json(f"{base}/edits")
+    edits.filter("seq % 3 = 0").write.mode("append").json(f"{base}/edits")
+    label_log.start_label_log(t.spark, f"{base}/edits", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return label_log.labels_of(store_of(t, "label"), f"{base}/log").label.drop("created_at", "auto_label_score")
+
+
 @query("M10_delete_own_labels", f"{W}, {EDITS} SELECT id FROM s_label WHERE NOT (labeler_id = 1 AND example_id IN (SELECT example_id FROM edits))")
 def m10(t: Tables):
     return ops.delete_own_labels(store_of(t), label_edits(t)).label.select("id")

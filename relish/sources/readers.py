@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
     Give a schema for large inputs: inferring one reads the data twice.
     ``multi_line`` is needed when cells hold line breaks; a file is then read by
-    one task, so large inputs should be many files, or set it to False.
+    one task; ``csv_ranges.read_csv_ranges`` reads a large one with many.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
