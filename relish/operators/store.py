@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from relish.functions.text import valid_json
 from relish.operators.filters import constraint_violations
 from relish.operators.ordering import with_position
+from relish.operators.skew import salted_join
 from relish.session import stage
 
 # Roles, labels and table layouts of the store.
@@ -195,17 +196,19 @@ def promote(store: Store, rows: DataFrame, runs: DataFrame, created_at: Column)
         .join(runs, "run_id").withColumn("_order", order)
     )
     filters = F.nullif(valid_json("query_filters"), F.lit("{}"))
-    owners = valid.groupBy("query").agg(
-        F.min_by(F.struct(filters.alias("query_filters"), "run_id", "data_gen_hash", "mlflow_run_id"), "_order").alias("f"))
     stored = store.query.groupBy(F.col("query_content").alias("query")).agg(F.min("id").alias("query_id"))
-    new_texts = owners.join(stored, "query", "left_anti").select("query", "f.*")
+    owners = stage(valid.groupBy("query").agg(
+        F.min_by(F.struct(filters.alias("query_filters"), "run_id", "data_gen_hash", "mlflow_run_id"), "_order").alias("f"),
+    ).join(stored, "query", "left"))
+    new_texts = owners.filter(F.col("query_id").isNull()).select("query", "f.*")
     new_queries = allocate_ids(new_texts, ["query"], store.query)
     query_ids = (
-        owners.select("query").join(stored, "query")
+        owners.filter(F.col("query_id").isNotNull()).select("query", "query_id")
         .unionByName(new_queries.select("query", F.col("id").alias("query_id")))
     )
+    # one text may belong to most rows; its rows are dealt over many tasks
     pairs = (
-        valid.join(query_ids, "query").groupBy("query_id", "consumable_id")
+        salted_join(valid, query_ids, "query", ["run_id", "row_id"]).groupBy("query_id", "consumable_id")
         .agg(F.min_by(F.struct("run_id", "data_gen_hash", "labeler_id", "esci_label", "reasoning"), "_order").alias("p"))
         .join(store.example.select("query_id", "consumable_id"), ["query_id", "consumable_id"], "left_anti")
         .select("query_id", "consumable_id", "p.*")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from relish.operators import aggregates, generation
 from relish.operators.store import Store
-from relish.plans.dedup_queries import greedy
+from relish.plans.dedup_queries import greedy, vector_pairs
 from relish.plans.generation_queries import members
 from relish.plans.registry import Tables, query
 from relish.plans.store_queries import at
 from relish.plans.store_sql import store_ctes, store_of
 from relish.session import shared_dir
-from relish.sources import csv_ranges, readers, writers
+from relish.sources import csv_ranges, intent_sets, readers, writers
 
 W = "WITH " + store_ctes()
 
@@ -65,15 +65,7 @@ SELECT (least(pos // per, 6) + 1)::INT AS set_number, (pos - least(pos // per, 6
 def s6(t: Tables):
     # write the sets in the one-file-per-set layout, then load that folder
     folder = out(t)
-    rows = members(t)
-    for number in range(1, 8):
-        one = rows.filter(F.col("set_number") == number).agg(
-            F.sort_array(F.collect_list(F.struct("pos", "intent"))).alias("s"), F.count(F.lit(1)).alias("n"))
-        one.select(
-            F.struct(F.lit(number).alias("set_number"), F.lit("2025-01-01").alias("creation_date"), F.lit(42).alias("seed"),
-                     F.col("n").alias("total_intents")).alias("metadata"),
-            F.transform("s", lambda x: x["intent"]).alias("intents")).coalesce(1).write.json(f"{folder}/intent_set_{number:02d}.json")
-    t.spark.range(1).select(F.struct(F.lit(7).alias("total_sets")).alias("generation_info")).write.json(f"{folder}/intent_sets_summary.json")
+    intent_sets.export_intent_set_files(members(t), folder, "2025-01-01", 7)
     return readers.load_intent_sets(t.spark, folder)[0]
 
 
@@ -140,6 +132,16 @@ def s15(t: Tables):
     return readers.read_exported_intent_sets(t.spark, folder)
 
 
+@query("S15_intent_set_files", """WITH p AS (SELECT lang AS theme, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS pos, count(*) OVER () // 7 AS per FROM documents),
+n AS (SELECT (least(pos // per, 6) + 1)::INT AS set_number, coalesce(theme, '') AS theme, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT set_number, '2025-01-01' AS creation_date, 42 AS seed, theme, n::INT AS n, (sum(n) OVER (PARTITION BY set_number))::BIGINT AS total_intents FROM n""")
+def s15_files(t: Tables):
+    folder = out(t)
+    intent_sets.export_intent_set_files(members(t), folder, "2025-01-01", 7)
+    about = readers.load_intent_sets(t.spark, folder)[1]
+    return about.select("set_number", "creation_date", "seed", F.explode("theme_distribution").alias("theme", "n"), "total_intents")
+
+
 @query("S16_export_matches", "SELECT conv_id AS consumable_id, text AS intent FROM conversations WHERE role = 'user'")
 def s16(t: Tables):
     folder = out(t)
@@ -201,3 +203,15 @@ def l15(t: Tables):
     store: Store = store_of(t)
     loaded, _, _ = writers.load_catalogue(store, raw_catalogue(t), "doc_id", at(), 0.6)
     return loaded.consumable.filter("image_url NOT LIKE '%example%'").select("id", "image_url", "consumable_name")
+
+
+@query("L15_load_catalogue_vectors", f"""WITH RECURSIVE {vector_pairs(0.25, 'label')}, {greedy('rows', 'pairs')}, kept AS (SELECT id FROM decided WHERE kept_id IS NULL)
+SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY id) AS id, 'http://vec/' || id AS image_url, 'dish ' || block AS consumable_name
+FROM kept JOIN rows USING (id)""")
+def l15_vectors(t: Tables):
+    # dishes of one name are compared by their vectors; these are far apart, so a low threshold is needed for links
+    raw = t.embeddings.select(
+        "vec_id", "embedding", F.concat(F.lit("http://vec/"), F.col("vec_id").cast("string")).alias("image_url"),
+        F.concat(F.lit("dish "), F.col("label").cast("string")).alias("dish_name"), F.lit("[]").alias("ingredients"))
+    loaded, _, _ = writers.load_catalogue(store_of(t), raw, "vec_id", at(), 0.25, vec="embedding")
+    return loaded.consumable.filter("image_url LIKE 'http://vec/%'").select("id", "image_url", "consumable_name")
