@@ -34,18 +34,26 @@ def hot_keys(df: DataFrame, key: str, tasks: int) -> DataFrame:
     return df.sparkSession.createDataFrame(hot, HOT_SCHEMA)
 
 
+def hot_of_counts(counts: DataFrame, key: str, tasks: int) -> DataFrame:
+    """The same from the exact counts ``(key, n)`` of all keys; not more rows, since their shares add up to one."""
+    share = counts.agg(F.sum("n") / F.lit(min(tasks, MOST_TASKS))).scalar()
+    hot = counts.filter(F.col(key).isNotNull()).withColumn("_share", share).filter(2 * F.col("n") > F.col("_share"))
+    return hot.groupBy(F.xxhash64(key).alias("_key")).agg(F.max(F.ceil(PIECES * F.col("n") / F.col("_share"))).cast("int").alias("_pieces"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str], how: str = "inner",
-                tasks: int | None = None) -> DataFrame:
+                tasks: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key``, rows of hot keys of ``left`` dealt by ``spread_by``.
 
     ``how`` is inner or left.  Null keys match nothing.  ``spread_by`` names
     columns of ``left`` that tell its rows apart; equal rows stay together.
-    ``right`` is repeated for hot keys only, once per piece.
+    ``right`` is repeated for hot keys only, once per piece.  Where the rows of
+    ``left`` per key are known already, ``counts(key, n)`` spares the first pass.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"a salted join is inner or left, not {how}")
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(left, key, tasks))  # bounded: see MOST_TASKS
+    hot = F.broadcast(hot_keys(left, key, tasks) if counts is None else hot_of_counts(counts, key, tasks))  # bounded: see MOST_TASKS
     pieces = F.coalesce("_pieces", F.lit(1))
 
     def marked(df: DataFrame) -> DataFrame:

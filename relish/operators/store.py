@@ -199,6 +199,7 @@ def promote(store: Store, rows: DataFrame, runs: DataFrame, created_at: Column)
     stored = store.query.groupBy(F.col("query_content").alias("query")).agg(F.min("id").alias("query_id"))
     owners = stage(valid.groupBy("query").agg(
         F.min_by(F.struct(filters.alias("query_filters"), "run_id", "data_gen_hash", "mlflow_run_id"), "_order").alias("f"),
+        F.count(F.lit(1)).alias("n"),
     ).join(stored, "query", "left"))
     new_texts = owners.filter(F.col("query_id").isNull()).select("query", "f.*")
     new_queries = allocate_ids(new_texts, ["query"], store.query)
@@ -208,7 +209,7 @@ def promote(store: Store, rows: DataFrame, runs: DataFrame, created_at: Column)
     )
     # one text may belong to most rows; its rows are dealt over many tasks
     pairs = (
-        salted_join(valid, query_ids, "query", ["run_id", "row_id"]).groupBy("query_id", "consumable_id")
+        salted_join(valid, query_ids, "query", ["run_id", "row_id"], counts=owners.select("query", "n")).groupBy("query_id", "consumable_id")
         .agg(F.min_by(F.struct("run_id", "data_gen_hash", "labeler_id", "esci_label", "reasoning"), "_order").alias("p"))
         .join(store.example.select("query_id", "consumable_id"), ["query_id", "consumable_id"], "left_anti")
         .select("query_id", "consumable_id", "p.*")

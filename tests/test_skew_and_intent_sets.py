@@ -31,6 +31,10 @@ def test_a_text_with_most_rows_is_dealt_over_tasks(spark):
         sizes, plain_sizes = task_sizes(salted), task_sizes(plain)
         assert len(sizes) == tasks and sizes[-1] <= 3 * sizes[tasks // 2]
         assert plain_sizes[-1] > 10 * plain_sizes[tasks // 2]
+        counted = skew.salted_join(left, right, "query", ["id"], counts=left.groupBy("query").agg(F.count("*").alias("n")))
+        assert sorted(counted.select("id", "query_id").collect()) == sorted(plain.select("id", "query_id").collect())
+        sizes = task_sizes(counted)
+        assert len(sizes) == tasks and sizes[-1] <= 3 * sizes[tasks // 2]
         some = right.filter("query like 't1%'")
         kept = skew.salted_join(left, some, "query", ["id"], "left")
         assert kept.count() == 40_000
@@ -45,6 +49,9 @@ def test_hot_keys_are_named_and_bounded(spark):
     hashes = {r["k"]: r["h"] for r in df.filter("k in ('a', 'b')").select("k", F.xxhash64("k").alias("h")).distinct().collect()}
     hot = {r["_key"]: r["_pieces"] for r in skew.hot_keys(df, "k", 8).collect()}
     assert set(hot) == set(hashes.values()) and 17 <= hot[hashes["a"]] <= 20  # 2.4 shares of 8 pieces
+    exact = skew.hot_of_counts(df.groupBy("k").agg(F.count("*").alias("n")), "k", 8)
+    assert {r["_key"]: r["_pieces"] for r in exact.collect()} == {hashes["a"]: 20, hashes["b"]: 7}
+    assert skew.hot_of_counts(df.limit(0).withColumn("n", F.lit(1)), "k", 8).count() == 0
     assert skew.hot_keys(df.limit(0), "k", 8).count() == 0
     assert skew.hot_keys(df.withColumn("k", F.lit(None).cast("string")), "k", 8).count() == 0
     even = skew.salted_join(df.filter("k > 'a'"), df.limit(0).withColumn("v", F.lit(1)), "k", ["k"])
