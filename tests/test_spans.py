@@ -46,3 +46,17 @@ def test_search_over_several_spans(spark, small_spans):
     scores = np.round(x @ x.T, 12)
     want = {(i, r + 1): f"d{1000 + j}" for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), -scores[i]))[:4].tolist())}
     assert {(r["query_id"], r["rank"]): r["doc_id"] for r in got.collect()} == want
+
+
+def test_silhouette_has_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "LEAST_SPAN", 16)
+    x = np.random.default_rng(8).normal(size=(200, 3))
+    label = [i % 3 for i in range(200)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.stack([d[:, [j for j in range(200) if j % 3 == c]].sum(1) for c in range(3)], axis=1)
+    size = np.bincount(label)
+    own = np.array([means[i, label[i]] / (size[label[i]] - 1) for i in range(200)])
+    other = np.array([min(means[i, c] / size[c] for c in range(3) if c != label[i]) for i in range(200)])
+    df = frame(spark, x, **{"cluster int": label})
+    got = {r["id"]: r["silhouette"] for r in cluster.silhouette_points(df, "id", "vec").collect()}
+    assert np.allclose([got[i] for i in range(200)], (other - own) / np.maximum(own, other), atol=1e-9)
