@@ -6,6 +6,8 @@ import pytest
 from relish.functions.text import word_set
 from relish.operators import cluster, dedup
 from relish.operators.graph import components
+from relish.operators.lsh import Bands
+from relish.session import stage
 
 
 def greedy(rows, alike):
@@ -144,3 +146,22 @@ def test_neighbour_distances_far_from_the_origin(spark, scale):
     want = np.sort(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)), axis=1)[:, 4]
     got = {r["id"]: r["k_distance"] for r in cluster.k_distances(df, "id", "vec", 5).collect()}
     assert np.allclose([got[i] for i in range(300)], want, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("bands", [None, Bands(60, 2)])
+def test_vectors_are_not_repeated_for_buckets_or_bands(spark, monkeypatch, bands):
+    rng = np.random.default_rng(5)
+    data = [(i, "b" if i % 5 else "c", [float(v) for v in rng.normal(size=6)]) for i in range(240)]
+    df = spark.createDataFrame(data, "id long, block string, vec array<double>")
+    written = []
+
+    def counting(frame):
+        out = stage(frame)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "stage", counting)
+    got = decisions(dedup.resolve_vectors(df, "id", "vec", .9, ("block",), leaders=4, rows_per_bucket=8, bands=bands))
+    unit = [(i, b, np.array(v) / np.linalg.norm(v)) for i, b, v in data]
+    assert got == greedy(unit, lambda x, y: float(x @ y) >= .9)
+    assert sum(written) <= 6 * len(data)
