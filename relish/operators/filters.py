@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relish.functions.text import strip
+from relish.session import stage
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -91,7 +92,8 @@ def drop_trivial_matches_by_run(view: DataFrame, run: str, threshold_pct: float
         ).alias("_e")
     )
     same = F.coalesce(F.lower("query") == F.lower("consumable_name"), F.lit(False))
-    return view.join(share, run).filter((F.col("_e") <= threshold_pct) | ~same).drop("_e")
+    # one row per run, written out: joined by its known size, the view is not dealt by run
+    return view.join(stage(share), run).filter((F.col("_e") <= threshold_pct) | ~same).drop("_e")
 
 
 def find_by_ids(df: DataFrame, id_col: str, ids: Sequence[int] | DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relish.operators.store import Store, conform
 from relish.plans.registry import Tables
-from relish.session import stage
+from relish.session import dealt, parts_for, stage
 
 GIVEN = ["orders", "part", "lineitem"]
 
@@ -43,12 +43,16 @@ FROM {orders} GROUP BY o_custkey % 10""",
 
 
 def store_of(t: Tables, *stored: str) -> Store:
-    """The derived store; the tables named in ``stored`` are written out first, as a real store's are."""
+    """The derived store; the tables named in ``stored`` are written out first, as a real store's are.
+
+    So are the labelers, a row per generator, so that their size is known to the joins with them.
+    """
     given = {name: getattr(t, name) for name in GIVEN}
+    given["lineitem"] = dealt(given["lineitem"], parts_for(given["lineitem"]), "l_orderkey")
     tables = {
         name: conform(t.spark.sql(sql, **{g: df for g, df in given.items() if "{" + g + "}" in sql}), name)
         for name, sql in STORE_SQL.items()}
-    return Store(**{name: stage(df) if name in stored else df for name, df in tables.items()})
+    return Store(**{name: stage(df) if name in (*stored, "labeler") else df for name, df in tables.items()})
 
 
 def store_ctes() -> str:

@@ -150,3 +150,21 @@ def test_run_rules(spark):
                                                                    "run_id string, new_status string, seq int"))
     assert sorted((r["run_id"], r["reason"]) for r in bad.collect()) == [("a", "invalid transition"), ("b", "invalid transition"), ("z", "unknown run")]
     assert after.count() == 3 and {r["run_id"]: r["tags"]["data_status"] for r in after.collect()} == {"a": "migrated", "b": "migrated", "c": "approved"}
+
+
+def test_joins_have_parts_by_the_size_of_their_tables(spark, store, monkeypatch):
+    from relish import session
+
+    monkeypatch.setattr(session, "PART_INPUT", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = ops.annotation_view(store, 1)
+        after, stats = ops.deduplicate_queries(store)
+        preview = ops.preview_query_deletion(store, store.query.select("id"))
+        assert [df.rdd.getNumPartitions() > 8 for df in (view, after.label, preview)] == [True] * 3
+        assert {(r["example_id"], r["ai_esci_label"], r["human_esci_label"]) for r in view.collect()} == {
+            (1, "E", None), (2, "S", "I"), (3, "E", None), (4, None, None)}
+        assert stats.first().asDict() == {"duplicate_queries": 1, "duplicated_texts": 1, "examples_repointed": 1, "examples_collapsed": 1}
+        assert {(r["id"], r["examples"], r["labels"]) for r in preview.collect()} == {(1, 2, 3), (2, 1, 1), (3, 1, 0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
