@@ -7,8 +7,10 @@ score with global statistics.  Packed queries meet every shard without a
 shuffle.  In a shard a query of few words moves through its words' postings by
 WAND: the largest possible scores of words tell which document could still
 enter the top k, the largest scores of blocks of postings whether it is worth a
-look.  With many words these bounds exclude next to nothing, and all postings
-are added up.  The k best of every shard are merged by score.
+look.  Bounds summed over many words exclude next to nothing, so queries of many
+words go together: a product of matrices for the words that many documents
+hold, and the postings of the others, give all scores but for rounding; only documents that can be among the k best of the shard, and of the
+shards before it in the task, are scored exactly.  The k best of every shard are merged by score.
 """
 
 from __future__ import annotations
@@ -31,7 +33,12 @@ K1, B = 1.2, 0.75
 POSTINGS = 64  # postings with one common largest score
 SHORT = 12  # words up to which a query goes by WAND
 STEP = 1 << 18  # postings added up at once
-CHUNK = 2 << 20  # bytes of queries that go through a shard together
+CHUNK = 8 << 20  # bytes of queries that go through a shard together
+OFTEN = 24  # words in one of so many documents are common: they come first in queries, and have rows in a shard's matrix
+DOCUMENTS = 256  # documents from which a shard is worth a matrix
+MATRIX = 1 << 23  # numbers in a matrix; a shard of more has none
+CELLS = 1 << 20  # scores of queries and documents held at once
+VISITS = 1 << 16  # postings beside the matrix that are added up at once
 SHARD_POSTINGS = 1 << 20  # postings of a shard; more only where one text has more words
 HELD = 1 << 20  # hits after which those of a task are reduced
 INDEX = "block int, docs long, words long, ids binary, rows binary, sizes binary, keys binary, starts binary, at binary, tf binary, asked binary"
@@ -106,6 +113,11 @@ def idf(docs: int, frequency):
     return np.log(1 + (docs - frequency + 0.5) / (frequency + 0.5))
 
 
+def common(docs: int) -> float:
+    """Largest weight of a word in one of OFTEN documents or more."""
+    return float(idf(docs, docs / OFTEN))
+
+
 def _queries_of_block(key, table: pa.Table, answers: pa.Table, docs: int, words: int, terms: int | None) -> pa.Table:
     """The query made from each query document, in one row: the words of the whole text that other documents hold too; with ``terms``, those that weigh most in it."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
@@ -121,6 +133,7 @@ def _queries_of_block(key, table: pa.Table, answers: pa.Table, docs: int, words:
         order = some[np.lexsort((own[some], -weight[some], row[some]))]
         starts = np.searchsorted(row[order], np.arange(table.num_rows))
         some = order[np.arange(len(order)) - starts[row[order]] < terms]
+    some = some[np.lexsort((own[some], rare[some] > common(docs), row[some]))]  # the order in which a score is added up
     arrays = [table.column("id").to_numpy(zero_copy_only=False), table.column("row").to_numpy(zero_copy_only=False),
               np.bincount(row[some], minlength=table.num_rows).astype(np.int64), own[some], rare[some]]
     return pa.table({name: pa.array([packed(a)] if table.num_rows else [], pa.binary()) for name, a in zip(("query_ids", "rows", "lengths", "keys", "weights"), arrays)})
@@ -140,14 +153,14 @@ def _pack_queries(batches):
         yield flush()
 
 
-def wand(lists: list[tuple[list[int], list[float], list[float]]], k: int, skip: int) -> list[tuple[float, int]]:
+def wand(lists: list[tuple[list[int], list[float], list[float]]], k: int, skip: int, floor: float = 0.0) -> list[tuple[float, int]]:
     """The k best documents as (score, document), best first, ties to the smaller; never document ``skip``.
 
-    A list holds one word's documents in order, its scores, and the largest score
+    Documents that score less than ``floor`` may be left out.  A list holds one word's documents in order, its scores, and the largest score
     of every POSTINGS of them.
     """
     heap: list[tuple[float, int]] = []  # (score, -document): the worst first
-    limit = 0.0
+    limit = floor
     most = [max(blocks) for _, _, blocks in lists]
     at = [0] * len(lists)
     live = [i for i in range(len(lists)) if lists[i][0]]
@@ -186,7 +199,7 @@ def wand(lists: list[tuple[list[int], list[float], list[float]]], k: int, skip:
                     heapq.heappush(heap, (score, -document))
                 elif score > heap[0][0]:
                     heapq.heapreplace(heap, (score, -document))
-                limit = heap[0][0] if len(heap) == k else 0.0
+                limit = max(floor, heap[0][0]) if len(heap) == k else floor
         else:
             target = max(edge, document + 1)
             for i in ahead:
@@ -217,6 +230,80 @@ def full(places, weights, starts, at, share, docs: int, k: int, skip: int) -> li
     return list(zip(total[found].tolist(), found.tolist()))
 
 
+def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``firsts`` and have these sizes."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Dense:
+    """A shard for queries of many words: a matrix of the words ``often``, beside the postings."""
+
+    def __init__(self, starts, at, share, docs: int, often):
+        self.starts, self.sizes, self.share, self.docs = starts, np.diff(starts), share, docs
+        self.pairs = np.stack([at.astype(np.int32), share.astype(np.float32).view(np.int32)], axis=1).view(np.int64).ravel()  # side by side: one reach for both
+        self.line = np.full(len(self.sizes), -1)
+        self.line[often] = np.arange(len(often))
+        where = _spread(starts[often], self.sizes[often])
+        self.matrix = np.zeros((docs, len(often)))
+        self.matrix[at[where], np.repeat(np.arange(len(often)), self.sizes[often])] = share[where]
+        self.product = self.matrix.T.astype(np.float32, order="C")
+
+    def best(self, queries, skips, floors, k: int) -> list[list[tuple[float, int]]]:
+        """As ``full`` for each of many queries of (places, weights), in which words of the matrix come first and in order.
+
+        Documents that score less than a query's floor may be left out.
+        """
+        found = []
+        for first in range(0, len(queries), step := max(1, CELLS // max(self.docs, len(self.product)))):
+            some = queries[first:first + step]
+            words = np.array([len(places) for places, _ in some])
+            place, weight = (np.concatenate(x) for x in zip(*some))
+            query, line = np.repeat(np.arange(len(some)), words), self.line[place]
+            heavy = np.zeros((len(some), len(self.product)))
+            heavy[query[line >= 0], line[line >= 0]] = weight[line >= 0]
+            rough = heavy.astype(np.float32) @ self.product
+            rare = np.flatnonzero(line < 0)
+            query, place, weight = query[rare], place[rare], weight[rare]
+            ends = np.cumsum(np.bincount(query, self.sizes[place], minlength=len(some)))
+            a = 0
+            while a < len(some):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + VISITS, "right")))
+                own = slice(*np.searchsorted(query, [a, b]))
+                found += self._finish(rough[a:b], heavy[a:b], query[own] - a, place[own], weight[own], words[a:b],
+                                      np.array(skips[first + a:first + b]), np.array(floors[first + a:first + b]), k)
+                a = b
+        return found
+
+    def _finish(self, rough, heavy, query, place, weight, words, skips, floors, k: int) -> list[list[tuple[float, int]]]:
+        """Adds the words that are not in the matrix to rough scores, and scores exactly what can be among the k best."""
+        n, cells = self.sizes[place], rough.reshape(-1)
+        where = _spread(self.starts[place], n)
+        pair = self.pairs.take(where).view(np.int32)
+        cell = pair[::2] + np.repeat(query * self.docs, n)
+        np.add.at(cells, cell, pair.view(np.float32)[1::2] * np.repeat(weight.astype(np.float32), n))
+        cells[(np.arange(len(rough)) * self.docs + skips)[skips >= 0]] = 0.0
+        error = (words + 8) * 2.0 ** -23  # nothing is negative, so each rounding adds 2^-24 at most; doubled
+        sure = np.partition(rough, -k, axis=1)[:, -k] if self.docs >= k else np.zeros(len(rough))
+        low = np.maximum(sure * (1 - 2 * error), floors * (1 - error)).astype(np.float32)
+        low = np.maximum(np.nextafter(low, np.float32(0)), np.finfo(np.float32).smallest_subnormal)
+        chosen = np.flatnonzero((rough >= low[:, None]).reshape(-1))
+        owner, document = np.divmod(chosen, self.docs)
+        total, many = np.zeros(len(chosen)), max(1, CELLS // max(1, heavy.shape[1]))
+        for a in range(0, len(chosen) if heavy.shape[1] else 0, many):
+            part = heavy[owner[a:a + many]] * self.matrix[document[a:a + many]]
+            total[a:a + many] = np.cumsum(part, axis=1)[:, -1]  # one after the other, as everywhere: copies of a text tie
+        column = np.full(len(cells), -1, np.int32)
+        column[chosen] = np.arange(len(chosen))
+        target = column.take(cell)
+        hit = np.flatnonzero(target >= 0)
+        np.add.at(total, target[hit], self.share[where[hit]] * weight[np.searchsorted(np.cumsum(n), hit, "right")])
+        order = np.lexsort((document, -total, owner))
+        owner, document, total = owner[order], document[order], total[order]
+        starts = np.searchsorted(owner, np.arange(len(rough) + 1))
+        return [list(zip(total[a:min(b, a + k)].tolist(), document[a:min(b, a + k)].tolist())) for a, b in zip(starts[:-1], starts[1:])]
+
+
 def _leading(hits: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
     """The k best (row, query, id, score) of each query row; ties to the smaller id."""
     row, query, found, score = (np.concatenate(x) for x in zip(*hits))
@@ -230,6 +317,7 @@ def _leading(hits: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
 def _search_shards(batches, docs: int, words: int, k: int):
     """The best documents of a task's shards for each of its queries, from rows of a shard's index with some queries."""
     shard, hits, held = None, [], 0
+    reached: dict[int, list[float]] = {}  # the k best scores so far of a query's row
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
@@ -250,7 +338,9 @@ def _search_shards(batches, docs: int, words: int, k: int):
             terms, weights, ends = get("q_keys", np.uint64), get("q_weights", np.float64), np.cumsum(get("q_lengths", np.int64))
             places = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
             there = keys[places] == terms
+            often = np.unique(places[there & (weights <= common(docs))])
             out: list[list] = [[], [], [], []]
+            done, many = [], []
             first = 0
             for query, row, end in zip(get("q_query_ids", np.int64).tolist(), get("q_rows", np.int64).tolist(), ends.tolist()):
                 some = np.flatnonzero(there[first:end]) + first
@@ -259,11 +349,20 @@ def _search_shards(batches, docs: int, words: int, k: int):
                     continue
                 own = np.flatnonzero(own_rows == row)
                 skip = int(own[0]) if len(own) else -1
+                floor = scores[-1] if len(scores := reached.get(row, [])) == k else 0.0
                 if len(some) <= SHORT:
                     lists = [(d, (s * w).tolist(), (m * w).tolist()) for (d, s, m), w in zip(map(postings, places[some].tolist()), weights[some].tolist())]
-                    best = wand(lists, k, skip)
+                    sure = [float(np.partition(known[p][1], -k - 1)[-k - 1]) * w for p, w in zip(places[some].tolist(), weights[some].tolist()) if len(known[p][1]) > k]  # k others score that by one word
+                    done.append((query, row, wand(lists, k, skip, max(floor, *sure, 0.0))))
+                elif len(ids) < DOCUMENTS or len(often) * len(ids) > MATRIX:
+                    done.append((query, row, full(places[some], weights[some], starts, at, share, len(ids), k, skip)))
                 else:
-                    best = full(places[some], weights[some], starts, at, share, len(ids), k, skip)
+                    many.append((query, row, (places[some], weights[some]), skip, floor))
+            if many:
+                queries, own, *rest = zip(*many)
+                done += zip(queries, own, Dense(starts, at, share, len(ids), often).best(*rest, k))
+            for query, row, best in done:
+                reached[row] = sorted(reached.get(row, []) + [score for score, _ in best], reverse=True)[:k]
                 for score, document in best:
                     for column, value in zip(out, (row, query, int(ids[document]), score)):
                         column.append(value)

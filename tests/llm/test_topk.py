@@ -54,3 +54,58 @@ def test_repeated_ids_do_not_depend_on_partitions(spark, partitions, postings):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
     got = topk.search(df, lambda i: i % 100 == 0, k=2, shard_postings=postings)
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got.collect()) == [(100, 1, 100)] * 3 + [(100, 2, 100)] * 3
+
+
+def _postings(rng, docs):
+    lists = [np.sort(rng.choice(docs, rng.choice([2, 30, docs // 2]), replace=False)).astype(np.int32) for _ in range(60)]
+    starts, at = np.append(0, np.cumsum([len(x) for x in lists])), np.concatenate(lists)
+    copies = np.arange(docs) % 7  # documents of one remainder have equal shares
+    return starts, at, (rng.choice([0.5, 1.0, 0.7, 1.3], (60, 7))[np.repeat(np.arange(60), np.diff(starts)), copies[at]])
+
+
+@pytest.mark.parametrize("visits, cells", [(1 << 16, 1 << 20), (1 << 16, 1), (40, 3000)])
+def test_matrix_equals_adding_up(monkeypatch, visits, cells):
+    monkeypatch.setattr(topk, "VISITS", visits)
+    monkeypatch.setattr(topk, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    for docs in (256, 300, 1000):
+        starts, at, share = _postings(rng, docs)
+        often = np.flatnonzero(np.diff(starts) > 30)[:15 * (docs < 1000)]
+        queries = [(p := rng.choice(60, rng.integers(1, 60), replace=False), rng.random(len(p))) for _ in range(20)]
+        queries = [(p[np.lexsort((p, ~np.isin(p, often)))], w) for p, w in queries]
+        skips = [-1, *rng.integers(0, docs, 19).tolist()]
+        want = [topk.full(*q, starts, at, share, docs, 10, s) for q, s in zip(queries, skips)]
+        assert topk.Dense(starts, at, share, docs, often).best(queries, skips, [0.0] * 20, 10) == want
+        floors = [x[len(x) // 2][0] for x in want]
+        got = topk.Dense(starts, at, share, docs, often).best(queries, skips, floors, 10)
+        assert [[x for x in g if x[0] >= f] for g, f in zip(got, floors)] == [[x for x in w if x[0] >= f] for w, f in zip(want, floors)]
+
+
+def test_wand_with_a_floor_keeps_what_reaches_it():
+    rng = np.random.default_rng(9)
+    starts, at, share = _postings(rng, 400)
+    lists = [(at[a:b].tolist(), share[a:b].tolist(), np.maximum.reduceat(share[a:b], np.arange(0, b - a, topk.POSTINGS)).tolist()) for a, b in zip(starts[:8], starts[1:9])]
+    want = topk.wand(lists, 10, -1)
+    for floor in {s for s, _ in want}:
+        assert [x for x in topk.wand(lists, 10, -1, floor) if x[0] >= floor] == [x for x in want if x[0] >= floor]
+
+
+def test_many_words_do_not_add_up_all_postings(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(900), rng.randrange(900))}" for _ in range(60))) for i in range(1, 700)]
+    rows += [(i + 1000, text) for i, text in rows[:60]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    best = lambda n, **more: sorted(map(tuple, topk.search(table.repartition(n), lambda i: i % 100 == 0, k=5, **more).collect()))
+    assert best(1) == best(6) == best(1, shard_postings=20_000)
+
+    words = np.arange(400, dtype=np.uint64)
+    at = np.tile(np.arange(600, dtype=np.int32), 400)
+    shard = {"ids": np.arange(600), "rows": np.arange(600), "sizes": np.full(600, 400, np.int32), "keys": words, "starts": np.arange(401) * 600, "at": at,
+             "tf": np.random.default_rng(1).integers(1, 9, len(at)).astype(np.int32), "q_query_ids": np.array([7]), "q_rows": np.array([7]), "q_lengths": np.array([400]),
+             "q_keys": words, "q_weights": np.linspace(0.1, 2, 400)}
+    batch = topk.pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in shard.items()})
+    share = shard["tf"] * 2.2 / (shard["tf"] + 1.2)
+    want = topk.full(np.arange(400), shard["q_weights"], shard["starts"], at, share, 600, 5, 7)
+    monkeypatch.setattr(topk, "full", None)
+    found = topk.pa.Table.from_batches(topk._search_shards([batch], 600, 240_000, 5))
+    assert found["id"].to_pylist() == [d for _, d in want] and np.allclose(found["score"], [s for s, _ in want], rtol=1e-12)
