@@ -66,6 +66,16 @@ def _word_table(batches):
     return cat(rows, np.int32), cat(keys, np.uint64), cat(counts, np.int32), cat(sizes, np.int64)
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes as hold them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def wide(data, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``narrow`` packed."""
+    return np.frombuffer(data, f"u{len(memoryview(data)) // n}").astype(np.int32)
+
+
 def _index_block(key, table: pa.Table, most: int) -> pa.Table:
     """The inverted indexes of the shards of a block: runs of its documents, in order of ids, with a bounded number of postings."""
     table = table.take(pa.array(np.argsort(table.column("id").to_numpy(zero_copy_only=False), kind="stable")))
@@ -84,7 +94,7 @@ def _index_block(key, table: pa.Table, most: int) -> pa.Table:
         words, starts = np.unique(keys[order], return_index=True)
         part = table.slice(low, high - low)
         arrays = [part.column("id").to_numpy(zero_copy_only=False), part.column("row").to_numpy(zero_copy_only=False), all_sizes[low:high].astype(np.int32), words,
-                  np.append(starts, len(keys)).astype(np.int64), row[order].astype(np.int32), counts[order].astype(np.int32), wanted]
+                  np.append(starts, len(keys)).astype(np.int64), narrow(row[order]), narrow(counts[order]), wanted]
         out.append((key[0].as_py(), part.num_rows, int(all_sizes[low:high].sum()), *(packed(a) for a in arrays)))
         low = high
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -321,11 +331,12 @@ def _search_shards(batches, docs: int, words: int, k: int):
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-            ids, own_rows, sizes, keys, starts, at, tf = (get(n, t) for n, t in (
-                ("ids", np.int64), ("rows", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64), ("at", np.int32), ("tf", np.int32)))
+            ids, own_rows, sizes, keys, starts = (get(n, t) for n, t in (
+                ("ids", np.int64), ("rows", np.int64), ("sizes", np.int32), ("keys", np.uint64), ("starts", np.int64)))
             if not len(keys):
                 continue
             if shard != own_rows[0]:
+                at, tf = (wide(batch.column(n)[i].as_buffer(), int(starts[-1])) for n in ("at", "tf"))
                 shard, known = int(own_rows[0]), {}
                 share = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / (words / docs)))[at])
 
@@ -398,7 +409,8 @@ def search(docs: DataFrame, is_query, k: int = 10, text: str = "text", row_id: s
     known = answer(index.select("block", "keys", "starts", "asked").mapInArrow(per_batches(_send_frequencies, bits=bits), SENT), _frequencies, np.int64)
     queries = stage(blocks.filter("is_query").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         per_pair(_queries_of_block, terms=terms, **sizes), QUERIES))
-    asked = stage(queries.mapInArrow(per_batches(_pack_queries), QUERIES))
+    size = queries.agg(F.sum(sum(F.length(x.split()[0]) for x in QUERIES.split(", ")))).first()[0] or 0
+    asked = stage(queries.coalesce(-(-size // CHUNK) or 1).mapInArrow(per_batches(_pack_queries), QUERIES))
     asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).hint("shuffle_replicate_nl")  # read again for each part of the index: a shuffle would write all queries once per shard
     found = index.select("ids", "rows", "sizes", "keys", "starts", "at", "tf").crossJoin(asked).mapInArrow(per_batches(_search_shards, k=k, **sizes), HITS)
     place = Window.partitionBy("row").orderBy(F.desc("score"), "id")

@@ -109,3 +109,10 @@ def test_many_words_do_not_add_up_all_postings(spark, monkeypatch):
     monkeypatch.setattr(topk, "full", None)
     found = topk.pa.Table.from_batches(topk._search_shards([batch], 600, 240_000, 5))
     assert found["id"].to_pylist() == [d for _, d in want] and np.allclose(found["score"], [s for s, _ in want], rtol=1e-12)
+
+
+@pytest.mark.parametrize("most, size", [(0, 1), (255, 1), (256, 2), (65_536, 4)])
+def test_numbers_of_an_index_take_few_bytes(most, size):
+    values = np.array([most, 0, most // 2])
+    data = topk.packed(topk.narrow(values))
+    assert len(data) == 3 * size and topk.wide(data, 3).tolist() == values.tolist()
