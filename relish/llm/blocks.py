@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relish.session import shared_dir
+from relish.session import UNKNOWN_SIZE, shared_dir
 
 MOST_BLOCKS = 32_768
 
@@ -29,16 +29,28 @@ def _bucket_values(spark: SparkSession, buckets: int) -> tuple[int, ...]:
     return tuple(found.get(b, 0) for b in range(buckets))
 
 
-def stage_blocks(df: DataFrame) -> DataFrame:
-    """``df`` with the column ``block``, in a table bucketed by it; one block per partition of ``df``.
+def parts_of(df: DataFrame, most: int) -> int:
+    """Into how many parts a partition of ``df`` is to be cut for parts of at most ``most`` bytes of the files behind it."""
+    if not hasattr(df.sparkSession, "_jsparkSession"):
+        return 1
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max([0, *[int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]])
+    return -(-size // (most * max(1, df.rdd.getNumPartitions()))) if 0 < size < UNKNOWN_SIZE else 1
 
-    Beyond MOST_BLOCKS partitions, several make one block.
+
+def stage_blocks(df: DataFrame, parts: int = 1) -> DataFrame:
+    """``df`` with the column ``block``, in a table bucketed by it; ``parts`` blocks per partition of ``df``.
+
+    Beyond MOST_BLOCKS, several make one block.
     """
     spark = df.sparkSession
-    blocks = max(1, min(df.rdd.getNumPartitions(), MOST_BLOCKS))
+    blocks = max(1, min(df.rdd.getNumPartitions() * parts, MOST_BLOCKS))
     values = F.array(*[F.lit(v) for v in _bucket_values(spark, blocks)])
+    number = F.spark_partition_id()
+    if parts > 1:
+        number = (number.cast("long") * parts + F.pmod(F.monotonically_increasing_id(), F.lit(parts))).cast("int")
     name = f"relish_{uuid.uuid4().hex}"
-    (df.withColumn("block", F.element_at(values, F.spark_partition_id() % blocks + 1))
+    (df.withColumn("block", F.element_at(values, number % blocks + 1))
      .write.bucketBy(blocks, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd")
      .option("parquet.block.size", 8 << 20).format("parquet").saveAsTable(name))
     return spark.table(name)

@@ -21,7 +21,9 @@ each sort, positions whose name is unique, or settled, drop out.
 
 A block of documents sends each name once with its smallest id, so the most
 frequent string costs as many entries as there are blocks, and texts are
-written once and never shuffled.
+written once and never shuffled.  A block is made of a few megabytes of the
+input, since a text without settled positions has 13 names of windows for each
+synchronising one, and a bin is sorted range by range.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from relish.llm.arrow import per_batches, per_group, per_pair
-from relish.llm.blocks import stage_blocks
+from relish.llm.blocks import parts_of, stage_blocks
 from relish.llm.exchange import bin_bits, count_sorted, is_in
 from relish.llm.words import mix, text_bytes
 from relish.session import stage
@@ -44,6 +46,8 @@ from relish.session import stage
 LENGTH = 50
 SHORTEST = 16  # a threshold of less than two exact names of eight bytes is not supported
 GROUP_BYTES = 1 << 18  # texts are named in groups of about this many bytes
+BLOCK_INPUT = 4 << 20  # bytes of the input's files for each block
+SORTED = 1 << 20  # keys of a bin sorted at a time, about
 SENT = "step int, bin int, block int, keys binary, extra binary"
 ANSWER = "step int, block int, keys binary"
 LAST_ID = np.iinfo(np.int64).max
@@ -174,19 +178,37 @@ def _deal(step: int, block: int, keys: np.ndarray, extra: np.ndarray, bits: int)
                    "extra": [squeeze(extra[a:b]) for a, b in zip(starts, ends)]}, SENT)
 
 
+def _judged(judge, parts: list[np.ndarray], extras: list[np.ndarray], low: int, high: int) -> list[np.ndarray]:
+    """The keys of each part from ``low`` to below ``high`` that concern their block."""
+    slices = [slice(int(np.searchsorted(part, np.uint64(low))), int(np.searchsorted(part, np.uint64(high - 1), "right"))) for part in parts]
+    back = judge(np.concatenate([part[x] for part, x in zip(parts, slices)]), np.concatenate([extra[x] for extra, x in zip(extras, slices)]))
+    chosen, at = [], 0
+    for part, x in zip(parts, slices):
+        n = x.stop - x.start
+        chosen.append(part[x][back[at:at + n]])
+        at += n
+    return chosen
+
+
 def _sort_bin(key, table: pa.Table) -> pa.Table:
-    """The keys of all blocks in one bin, sorted: which of them concern their block."""
+    """The keys of all blocks in one bin, sorted range by range: which of them concern their block."""
     judge = {1: _repeated, 2: _earlier_elsewhere, 3: _several, 4: _earlier_elsewhere}[key[0].as_py()]
     parts = [unsqueeze(b, True) for b in table.column("keys").to_pylist()]
-    keys, extra = np.concatenate(parts), np.concatenate([unsqueeze(b) for b in table.column("extra").to_pylist()])
-    back = judge(keys, extra)
-    blocks, lists, at = [], [], 0
-    for block, part in zip(table.column("block").to_pylist(), parts):
-        chosen = part[back[at:at + len(part)]]
-        at += len(part)
-        if len(chosen):
+    extras = [unsqueeze(b) for b in table.column("extra").to_pylist()]
+    first, last = int(min(part[0] for part in parts)), int(max(part[-1] for part in parts)) + 1
+    ranges = 1 + sum(map(len, parts)) // SORTED
+    borders = [first + (last - first) * i // ranges for i in range(ranges + 1)]
+    found: list[list[np.ndarray]] = [[] for _ in parts]
+    for low, high in zip(borders, borders[1:]):
+        if low < high:
+            for own, chosen in zip(found, _judged(judge, parts, extras, low, high)):
+                own.append(chosen)
+    blocks, lists = [], []
+    for block, chosen in zip(table.column("block").to_pylist(), found):
+        keys = np.concatenate(chosen)
+        if len(keys):
             blocks.append(block)
-            lists.append(squeeze(chosen, True))
+            lists.append(squeeze(keys, True))
     return _table({"step": [key[0].as_py()] * len(blocks), "block": blocks, "keys": lists}, ANSWER)
 
 
@@ -247,8 +269,12 @@ def _ids(table: pa.Table, row_id: str) -> np.ndarray:
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the smallest id of each."""
-    order, starts, _ = count_sorted(keys)
-    return keys[order][starts], np.minimum.reduceat(ids[order], starts) if len(starts) else np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(fresh)
+    return keys[starts], np.minimum.reduceat(ids[order], starts) if len(starts) else np.zeros(0, np.int64)
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -396,10 +422,11 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", row_id: str = "do
         raise ValueError(f"length must be {SHORTEST} or more")
     made = ["n_bytes", "n_removed", "removed", "kept_bytes"]
     kept_names = [c for c in (docs.columns if keep is None else keep) if c not in [*made, "block"]]
-    blocks = stage_blocks(docs.select(*dict.fromkeys([*kept_names, row_id, text])).withColumn(text, F.col(text).cast("string"))
-                          .withColumn(row_id, F.col(row_id).cast("long")))
+    given = docs.select(*dict.fromkeys([*kept_names, row_id, text])).withColumn(text, F.col(text).cast("string")).withColumn(row_id, F.col(row_id).cast("long"))
+    parts = parts_of(given, BLOCK_INPUT)
+    blocks = stage_blocks(given, parts)
     options = {"length": length, "text": text, "row_id": row_id}
-    bits = bin_bits(blocks.select("block").distinct().count())
+    bits = bin_bits(-(-blocks.select("block").distinct().count() // parts))
     rows = blocks.select("block", row_id, text)
     ask = lambda fn, known: rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(per_pair(fn, bits=bits, **options), SENT)
     known = stage(_sorted_names(blocks.select("block", text).mapInArrow(per_batches(_send_names, text=text, length=length, bits=bits), SENT)))

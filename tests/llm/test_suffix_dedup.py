@@ -73,3 +73,25 @@ def test_empty_table_and_short_threshold(spark):
     assert suffix_dedup.remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string"), length=15)
+
+
+def test_blocks_follow_the_size_of_the_files(spark, monkeypatch, tmp_path):
+    data = [(i, "".join(random.Random(i % 60).choices("abcdefgh ", k=300))) for i in range(90)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    blocks, most = [], []
+    stage_blocks, judge = suffix_dedup.stage_blocks, suffix_dedup._earlier_elsewhere
+    monkeypatch.setattr(suffix_dedup, "stage_blocks", lambda *x: blocks.append(stage_blocks(*x)) or blocks[-1])
+    monkeypatch.setattr(suffix_dedup, "BLOCK_INPUT", 4096)
+    got = suffix_dedup.remove_repeated_bytes(spark.read.parquet(f"{tmp_path}/docs"))
+    assert result(got) == plain(data, 50)
+    sizes = [r["count"] for r in blocks[0].groupBy("block").count().collect()]
+    assert len(sizes) > 2 and max(sizes) <= 45  # one file of one row group would be one block
+
+    monkeypatch.setattr(suffix_dedup, "SORTED", 100)
+    keys = [suffix_dedup.np.arange(i, 3000, 3, dtype="u8") << suffix_dedup.np.uint64(50) for i in (0, 0, 1)]
+    sent = suffix_dedup._table({"step": [2] * 3, "bin": [0] * 3, "block": [1, 2, 3], "keys": [suffix_dedup.squeeze(k, True) for k in keys],
+                                "extra": [suffix_dedup.squeeze(k * 0 + i) for i, k in enumerate(keys)]}, suffix_dedup.SENT)
+    monkeypatch.setattr(suffix_dedup, "_earlier_elsewhere", lambda k, ids: most.append(len(k)) or judge(k, ids))
+    back = suffix_dedup._sort_bin([suffix_dedup.pa.scalar(2)], sent).to_pylist()
+    assert [r["block"] for r in back] == [2] and suffix_dedup.unsqueeze(back[0]["keys"], True).tolist() == keys[1].tolist()
+    assert max(most) <= 300 and sum(most) == sum(map(len, keys))
