@@ -60,3 +60,17 @@ def test_silhouette_has_few_blocks(spark, monkeypatch):
     df = frame(spark, x, **{"cluster int": label})
     got = {r["id"]: r["silhouette"] for r in cluster.silhouette_points(df, "id", "vec").collect()}
     assert np.allclose([got[i] for i in range(200)], (other - own) / np.maximum(own, other), atol=1e-9)
+
+
+def test_few_pairs_of_rows_and_cells_are_listed_at_once(spark, small_spans, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(500, 24))
+    _, found = cells.partition_vectors(frame(spark, x), "id", "vec", 8, 500)
+    spans, tree = cells.Spans(found, cells.span_rows(500)), cells.PivotTree(found.pivots)
+    want, listed = spans.marks(found.cells_within(x, 9.0)), []
+    reached = cells.PivotTree.reached
+    monkeypatch.setattr(cells.PivotTree, "reached", lambda self, vecs, *x: listed.append(reached(self, vecs, *x)) or listed[-1])
+    monkeypatch.setattr(cells, "REACHED", 1000)
+    got = cells._marked(spans, found, tree, cells.pd.Series(list(x)), None, 9.0)
+    assert got["wanted"].tolist() == want["wanted"].tolist() and [s.tolist() for s in got["span"]] == [s.tolist() for s in want["span"]]
+    assert max(sum(map(len, r)) for r in listed) <= 1000 and sum(map(len, listed)) == 500
+    assert [len(m) for m in cells._marked(spans, found, tree, cells.pd.Series(list(x[:3])), np.full(3, -1e9), None)["wanted"]]
