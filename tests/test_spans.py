@@ -74,3 +74,22 @@ def test_few_pairs_of_rows_and_cells_are_listed_at_once(spark, small_spans, monk
     assert got["wanted"].tolist() == want["wanted"].tolist() and [s.tolist() for s in got["span"]] == [s.tolist() for s in want["span"]]
     assert max(sum(map(len, r)) for r in listed) <= 1000 and sum(map(len, listed)) == 500
     assert [len(m) for m in cells._marked(spans, found, tree, cells.pd.Series(list(x[:3])), np.full(3, -1e9), None)["wanted"]]
+
+
+def test_only_scores_that_reach_the_floor_are_sorted(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, d = rng.normal(size=(40, 8)), rng.normal(size=(400, 8))
+    d[7] = d[3]
+    q_ids, d_ids = np.arange(40), np.arange(400)[::-1]
+    want = retrieval._best(5, True, q_ids, q, d_ids, d)
+    low = want.groupby("query_id")["score"].min().to_numpy()
+    best, sorted_whole = retrieval._best, []
+    monkeypatch.setattr(retrieval, "_best", lambda k, skip, ids, *x: sorted_whole.extend(ids) or best(k, skip, ids, *x))
+    floor = np.where(q_ids == 0, -np.inf, low)
+    for factor in (1.0, 1e20):
+        queries = cells.pd.DataFrame({"query_id": q_ids, "vec": list(q * factor), "floor": floor * factor, "wanted": [b"\x80"] * 40})
+        items = cells.pd.DataFrame({"doc_id": d_ids, "vec": list(d), "place": 0})
+        got = retrieval._span_top_k(5, True)(queries, items).sort_values(["query_id", "score"], ascending=[True, False], kind="stable")
+        assert got["query_id"].tolist() == want["query_id"].tolist() and got["doc_id"].tolist() == want["doc_id"].tolist()
+        assert np.allclose(got["score"], want["score"] * factor, rtol=1e-11) and sorted_whole == [0]
+        sorted_whole.clear()
